@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import lookalikes
+from verisift.llm import boilerplate, duplicates, lookalikes
 from verisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,67 @@ def p1_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalize(columns, ["text", "title"])
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.find(table(spark, sf, "evidence"), "evidence_id", "text")
+
+
+def p4_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    columns = table(spark, sf, "evidence").select("evidence_id", "text", "fingerprint")
+    return duplicates.collapse(columns, "evidence_id", "text")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = boilerplate.find(table(spark, sf, "evidence"), "evidence_id", "url", "text")
+    return found.select("evidence_id", "line_no").distinct()
+
+
+def p5_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.lines_of_sources(table(spark, sf, "evidence"), "evidence_id", "url", "text")
+
+
+def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    columns = table(spark, sf, "evidence").select("evidence_id", "url", "text")
+    return boilerplate.clean(columns, "url", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized)}
+    return {f.__name__: f for f in (p1_found, p1_normalized, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned)}
+
+
+#: Lines of the texts with their source, as problem 5 compares them.
+LINES = r"""
+    WITH hosts AS (
+        SELECT evidence_id, text, coalesce(substr(lower(regexp_extract(
+                   regexp_replace(regexp_replace(url, '^[\x00-\x20]+', ''), '[\t\r\n]', '', 'g'),
+                   '^(?i:https?)://(?:[^/?#\[\]]*@)?([A-Za-z0-9.\-]+)(?::[^/?#\[\]@]*)?(?:[/?#]|$)', 1)), 1, 253), '') AS source
+        FROM evidence WHERE text IS NOT NULL),
+    records AS (SELECT * FROM hosts WHERE source <> ''),
+    parts AS (
+        SELECT evidence_id, source, unnest(string_split(text, chr(10))) AS part,
+               unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no
+        FROM records),
+    lines AS (
+        SELECT evidence_id, source, CAST(line_no AS INTEGER) AS line_no,
+               trim(regexp_replace(lower(part), '[\s\pZ]+', ' ', 'g')) AS line
+        FROM parts),
+    counted AS (
+        SELECT source, line, count(DISTINCT evidence_id) AS records FROM lines WHERE line <> '' GROUP BY ALL),
+    excessive AS (
+        SELECT c.* FROM counted c JOIN (SELECT source, count(*) AS total FROM records GROUP BY 1) t USING (source)
+        WHERE records >= 10 AND records >= 0.04 * total)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": LINES + "SELECT evidence_id, line_no FROM lines SEMI JOIN excessive USING (source, line)",
+        "p5_cleaned": LINES
+        + """, kept AS (
+            SELECT evidence_id, string_agg(part, chr(10) ORDER BY p.line_no) AS kept
+            FROM parts p JOIN lines l USING (evidence_id, source, line_no)
+            WHERE (p.source, l.line) NOT IN (SELECT (source, line) FROM excessive)
+            GROUP BY evidence_id)
+        SELECT e.evidence_id, e.url,
+               CASE WHEN r.evidence_id IS NULL THEN e.text ELSE coalesce(k.kept, '') END AS text
+        FROM evidence e LEFT JOIN records r USING (evidence_id) LEFT JOIN kept k USING (evidence_id)""",
+    }
