@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import boilerplate, duplicates, lookalikes
+from verisift.llm import boilerplate, duplicates, leakage, lookalikes, quality
 from verisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,41 @@ def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     return boilerplate.clean(columns, "url", "text")
 
 
+def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    documents, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    return leakage.find(documents, "doc_id", "text", items, "item_id", "text", "answer")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_leaks(spark, sf).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    leaks = p6_leaks(spark, sf).groupBy("item_id").agg(
+        F.count("*").alias("documents"), F.max("run").alias("longest_run"), F.max("share").alias("largest_share")
+    )
+    split = table(spark, sf, "eval_items").select("item_id", "split_name")
+    return leaks.join(F.broadcast(split), "item_id")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.find(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "common_words"))
+
+
+def p8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    columns = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.measure(columns, "text", table(spark, sf, "common_words")).drop("text")
+
+
+def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_quality(spark, sf).select("doc_id", *list(quality.STATISTICS)[:5])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_normalized, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned)}
+    return {f.__name__: f for f in (
+        p1_found, p1_normalized, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
+        p6_found, p6_leaks, p6_leaked_items, p8_found, p8_quality, p8_statistics,
+    )}
 
 
 #: Lines of the texts with their source, as problem 5 compares them.
@@ -73,8 +106,40 @@ LINES = r"""
 """
 
 
+#: The word, symbol, line-end and common-word statistics of problem 8.
+STATISTICS = r"""
+    WITH words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS raw
+        FROM documents WHERE text IS NOT NULL),
+    parts AS (
+        SELECT doc_id, unnest(raw) AS word FROM words),
+    hits AS (
+        SELECT doc_id, lang, count(*) AS hits
+        FROM parts JOIN (SELECT DISTINCT lang, lower(word) AS known FROM common_words) c
+          ON trim(lower(trim(word, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~“”‘’«»…–—¿¡·•'))) = known
+        GROUP BY ALL),
+    best AS (SELECT doc_id, max(hits) AS hits FROM hits GROUP BY 1),
+    ends AS (
+        SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s', '', 'g')) <> '') AS lines
+        FROM documents)
+    SELECT d.doc_id,
+           CASE WHEN d.text IS NULL THEN NULL ELSE CAST(len(raw) AS BIGINT) END AS word_count,
+           CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
+                ELSE length(array_to_string(raw, '')) / len(raw) END AS mean_word_length,
+           CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
+                ELSE length(regexp_replace(d.text, '[\pL\pN\s]', '', 'g')) / length(d.text) END AS symbol_ratio,
+           CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
+                ELSE len(list_filter(lines, lambda x: regexp_matches(rtrim(x, chr(32) || chr(9) || chr(13)),
+                     '[.!?…]["''“”‘’»)\]]*$'))) / len(lines) END AS punctuated_line_share,
+           CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
+                ELSE coalesce(hits, 0) / len(raw) END AS common_word_share
+    FROM documents d LEFT JOIN words USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN ends USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p8_statistics": STATISTICS,
         "p5_found": LINES + "SELECT evidence_id, line_no FROM lines SEMI JOIN excessive USING (source, line)",
         "p5_cleaned": LINES
         + """, kept AS (
