@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import boilerplate, duplicates, leakage, lookalikes, quality
+from verisift.llm import boilerplate, duplicates, leakage, lookalikes, mixing, quality, residue
+from verisift.functions.text import provider_key, source_host
 from verisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,33 @@ def p1_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalize(columns, ["text", "title"])
 
 
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence and searches as records (record_type, record_id, source, url, title, text); the source of
+    evidence is its host, that of searches the provider, and a search's query stands for the title."""
+    evidence, searches = table(spark, sf, "evidence"), table(spark, sf, "searches")
+    url, none = F.col("url"), F.lit(None).cast("string")
+    provider = provider_key(F.col("provider"))
+    return residue.as_records("evidence", evidence, "evidence_id", source_host(url), url, F.col("title"), "text").unionAll(
+        residue.as_records("search", searches, "search_id", provider, none, F.col("query"), "result")
+    )
+
+
+def p3_residue(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.find(records(spark, sf))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_residue(spark, sf).select("record_type", "record_id")
+
+
+def p3_evidence_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.keep_content(table(spark, sf, "evidence"), "evidence_id", p3_residue(spark, sf), "evidence")
+
+
+def p3_searches_kept(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.keep_content(table(spark, sf, "searches"), "search_id", p3_residue(spark, sf), "search")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return duplicates.find(table(spark, sf, "evidence"), "evidence_id", "text")
 
@@ -62,6 +90,16 @@ def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.join(F.broadcast(split), "item_id")
 
 
+def p7_uses(spark: SparkSession, sf: str) -> DataFrame:
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    return mixing.mix(documents, "doc_id", "text", "source", targets)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    return mixing.mix(documents, "doc_id", "text", "source", targets)[1]
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return quality.find(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "common_words"))
 
@@ -77,8 +115,8 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_normalized, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
-        p6_found, p6_leaks, p6_leaked_items, p8_found, p8_quality, p8_statistics,
+        p1_found, p1_normalized, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
+        p6_found, p6_leaks, p6_leaked_items, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics,
     )}
 
 
