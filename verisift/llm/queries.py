@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verisift.llm import boilerplate, duplicates, leakage, lookalikes, mixing, quality, residue
+from verisift.llm import boilerplate, duplicates, leakage, lookalikes, mixing, quality, residue, truncation
 from verisift.functions.text import provider_key, source_host
 from verisift.session import table
 
@@ -34,6 +34,19 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def function_words(spark: SparkSession, sf: str) -> frozenset[str]:
+    bits, _ = quality.common_bits(table(spark, sf, "common_words"))
+    return frozenset(bits)
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.find(records(spark, sf), function_words(spark, sf))
+
+
+def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(records(spark, sf), function_words(spark, sf))
+
+
 def p3_residue(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find(records(spark, sf))
 
@@ -115,7 +128,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_normalized, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
+        p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
         p6_found, p6_leaks, p6_leaked_items, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics,
     )}
 
