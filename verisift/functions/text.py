@@ -48,3 +48,28 @@ def normalize_label(value: Column) -> Column:
 def provider_key(provider: Column) -> Column:
     """Provider names in one spelling: stripped and in lower case, 'unknown' when null or blank."""
     return F.coalesce(F.nullif(F.lower(strip(provider)), F.lit("")), F.lit("unknown"))
+
+
+def segment_join(parts: list[Column | list[Column]], separator: str = "\n\n\n") -> Column:
+    """Texts joined by ``separator``: single ones stripped, members of lists as they are, the whole
+    stripped. Null texts count as the word None, as Python prints them."""
+    columns: list[Column] = []
+    for part in parts:
+        if isinstance(part, list):
+            columns.extend(F.coalesce(p, F.lit("None")) for p in part)
+        else:
+            columns.append(strip(F.coalesce(part, F.lit("None"))))
+    return strip(F.array_join(F.array(*columns), separator))
+
+
+def with_postamble(query: Column, postamble: str = "") -> Column:
+    """The query with a fixed addition behind a space; unchanged without one."""
+    return F.concat(query, F.lit(f" {postamble}")) if postamble else query
+
+
+def backoff_seconds(retries: Column, most: int = 30) -> Column:
+    """Seconds waited before each of ``retries`` retries: powers of two, at most ``most``."""
+    attempts = F.when(retries > 0, F.sequence(F.lit(0), F.greatest(retries, F.lit(1)) - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return F.transform(attempts, lambda a: F.least(F.pow(F.lit(2.0), a), F.lit(float(most))).cast("int"))

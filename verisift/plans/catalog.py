@@ -4,14 +4,354 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from verisift.config import LoopSettings
+from verisift.functions import decisions, prompts, similarity, snippets, text
+from verisift.operators import evidence
+from verisift.plans import loop
+from verisift.session import table
+from verisift.sources.search import CorpusSearch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Tolerance and threshold of the repetition queries over the table of embeddings, whose cosines are small.
+TOLERANCE, CLOSE = 3, 0.1
+
+
+def evidence_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "evidence").select("evidence_id", text.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+def evidence_source_host(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "evidence").select("evidence_id", text.source_host(F.col("url")).alias("source"))
+
+
+def evidence_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.ingest(table(spark, sf, "evidence"), fail=False)
+
+
+def evidence_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.rejected(table(spark, sf, "evidence"))
+
+
+def evidence_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.dedup(table(spark, sf, "evidence"), "evidence_id", "text")
+
+
+def build_knowledge(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.knowledge(table(spark, sf, "searches"))
+
+
+def final_knowledge(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.knowledge(table(spark, sf, "searches"), empty="")
+
+
+def query_history(spark: SparkSession, sf: str) -> DataFrame:
+    past = evidence.history(table(spark, sf, "searches"))
+    queries = evidence.queries_of(F.col("searches"))
+    return past.select("claim_id", F.size(queries).cast("bigint").alias("turns"), F.array_join(queries, "\n").alias("queries"))
+
+
+def search_history(spark: SparkSession, sf: str) -> DataFrame:
+    past = evidence.history(table(spark, sf, "searches"))
+    results = evidence.results_of(F.col("searches"))
+    return past.select("claim_id", F.size(results).cast("bigint").alias("turns"), F.array_join(results, "\n").alias("results"))
+
+
+def _claims_with_results(spark: SparkSession, sf: str) -> DataFrame:
+    past = evidence.history(table(spark, sf, "searches").where("result IS NOT NULL"))
+    known = table(spark, sf, "claims").select("claim_id", "claim").join(past, "claim_id", "left")
+    none = F.array().cast("array<string>")
+    return known.select("claim_id", "claim", F.coalesce(evidence.results_of(F.col("searches")), none).alias("results"))
+
+
+def decision_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    known = _claims_with_results(spark, sf)
+    return known.select("claim_id", prompts.decision_prompt(F.col("claim"), F.col("results")).alias("prompt"))
+
+
+def final_prompt(spark: SparkSession, sf: str) -> DataFrame:
+    known = _claims_with_results(spark, sf)
+    return known.select("claim_id", prompts.final_prompt(F.col("claim"), F.col("results")).alias("prompt"))
+
+
+def _vector_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector with those before it that share its label, as far as the checks look back."""
+    before = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-TOLERANCE, -1)
+    seen = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    return table(spark, sf, "embeddings").select(
+        "vec_id", "embedding", F.collect_list("embedding").over(before).alias("history"), F.count("*").over(seen).alias("turns")
+    )
+
+
+def similarity_count(spark: SparkSession, sf: str) -> DataFrame:
+    near = similarity.count_similar(F.col("embedding"), F.col("history"), CLOSE).cast("bigint")
+    strict = similarity.count_similar(F.col("embedding"), F.col("history"), similarity.THRESHOLD).cast("bigint")
+    return _vector_history(spark, sf).select("vec_id", near.alias("close"), strict.alias("very_close"))
+
+
+def early_stop_query(spark: SparkSession, sf: str) -> DataFrame:
+    stop = similarity.repeats_query(F.col("embedding"), F.col("history"), TOLERANCE, CLOSE)
+    return _vector_history(spark, sf).where(stop).select("vec_id")
+
+
+def early_stop_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    results = F.array_append("history", F.col("embedding"))
+    stop = similarity.repeats_evidence(results, TOLERANCE, CLOSE)
+    return _vector_history(spark, sf).where(stop).select("vec_id")
+
+
+def diversity_hints(spark: SparkSession, sf: str) -> DataFrame:
+    past = F.array_append("history", F.col("embedding"))
+    like = similarity.similar_lately(past, TOLERANCE, CLOSE)
+    none = F.array_repeat(F.lit("q"), (F.col("turns") + 1).cast("int"))
+    return _vector_history(spark, sf).select("vec_id", prompts.hints(none, like, like).alias("hints"))
+
+
+def search_topk(spark: SparkSession, sf: str) -> DataFrame:
+    search = CorpusSearch(table(spark, sf, "documents"), "doc_id", "text", 3)
+    asked = table(spark, sf, "claims").where("claim_id % 20 = 0")
+    return search.ranked(asked, "claim_id", "claim").select(
+        "claim_id", F.col("rank").cast("bigint").alias("rank"), F.col("document").alias("doc_id"), "score"
+    )
+
+
+def _joined(spark: SparkSession, sf: str, separator: str) -> DataFrame:
+    past = evidence.history(table(spark, sf, "searches").where(text.not_blank(F.col("result"))))
+    joined = F.array_join(evidence.results_of(F.col("searches")), separator)
+    return past.select("claim_id", snippets.joined_or_default(joined).alias("result"))
+
+
+def snippet_join_space(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(spark, sf, " ")
+
+
+def snippet_join_para(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(spark, sf, "\n\n")
+
+
+def snippet_parse_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    answer = F.to_json(
+        F.struct(
+            F.struct(F.col("title").alias("answer"), F.concat(F.col("source"), F.lit("\n"), F.col("lang")).alias("snippet")).alias("answerBox"),
+            F.struct(F.col("source").alias("title"), F.col("lang").alias("type"), F.create_map(F.lit("chars"), "n_chars").alias("attributes")).alias("knowledgeGraph"),
+            F.array(
+                F.struct(F.col("text").alias("snippet"), F.create_map(F.lit("lang"), "lang").alias("attributes")),
+                F.struct(F.col("url").alias("snippet"), F.lit(None).cast("map<string,string>").alias("attributes")),
+            ).alias("organic"),
+        )
+    )
+    return table(spark, sf, "documents").select("doc_id", snippets.keyed_result(answer, 1).alias("result"))
+
+
+def snippet_parse_listed(spark: SparkSession, sf: str) -> DataFrame:
+    content = lambda c: F.struct(F.col(c).alias("content"))
+    answer = F.to_json(F.struct(F.array(content("title"), content("text"), content("url")).alias("results")))
+    return table(spark, sf, "documents").select("doc_id", snippets.listed_result(answer, 2).alias("result"))
+
+
+def no_result_default(spark: SparkSession, sf: str) -> DataFrame:
+    shown = snippets.joined_or_default(text.strip(F.col("result")))
+    return table(spark, sf, "searches").select("search_id", shown.alias("result"))
+
+
+def query_postamble(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "searches").select("search_id", text.with_postamble(F.col("query"), "site:example").alias("query"))
+
+
+def normalize_label(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "claims").select("claim_id", text.normalize_label(F.col("verdict")).alias("label"))
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Model calls, each once: some are delivered again unchanged."""
+    return table(spark, sf, "model_calls").dropDuplicates(["call_id"])
+
+
+def extract_decision(spark: SparkSession, sf: str) -> DataFrame:
+    read = _calls(spark, sf).select("call_id", decisions.read_decision("response").alias("read"))
+    return read.select(
+        "call_id", decisions.decision_kind(F.col("read")).alias("kind"), decisions.decision_value(F.col("read")).alias("value")
+    )
+
+
+def final_answer_valid(spark: SparkSession, sf: str) -> DataFrame:
+    read = _calls(spark, sf).where("phase = 'final'").select("call_id", decisions.read_decision("response").alias("read"))
+    return read.select("call_id", decisions.final_label(F.col("read")).alias("answer"))
+
+
+def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.usage_totals(_calls(spark, sf), ["claim_id"], F.col("raises").isNotNull())
+
+
+def backoff_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    retries = spark.range(0, 9, 1, 1).select(F.col("id").alias("retries"))
+    waits = text.backoff_seconds(F.col("retries").cast("int"))
+    return retries.select("retries", F.array_join(waits.cast("array<string>"), ",").alias("seconds"))
+
+
+def segment_join(spark: SparkSession, sf: str) -> DataFrame:
+    joined = text.segment_join([F.col("title"), [F.col("provider"), F.col("url")], F.col("text")])
+    return table(spark, sf, "evidence").select("evidence_id", joined.alias("segments"))
+
+
+def search_dicts(spark: SparkSession, sf: str) -> DataFrame:
+    past = evidence.history(table(spark, sf, "searches"))
+    return past.select("claim_id", evidence.search_dicts(F.col("searches")).alias("searches"))
+
+
+def _verified(spark: SparkSession, sf: str) -> DataFrame:
+    search = CorpusSearch(table(spark, sf, "documents"), "doc_id", "text", 3)
+    return loop.verify(table(spark, sf, "claims").select("claim_id", "claim"), LoopSettings(), search)
+
+
+def verify_claims(spark: SparkSession, sf: str) -> DataFrame:
+    return _verified(spark, sf).select(
+        "claim_id", "claim", "status", F.col("answer.answer").alias("answer"), F.size("searches").alias("searches"),
+        "fallback_reason", "error", "rounds",
+    )
+
+
+def verify_claims_usage(spark: SparkSession, sf: str) -> DataFrame:
+    verified = _verified(spark, sf)
+    names = ("input_tokens", "output_tokens", "unreported_calls")
+    return verified.groupBy("status").agg(F.count("*").alias("claims"), *[F.sum(f"usage.{n}").alias(n) for n in names])
+
+
+def verify_claims_json(spark: SparkSession, sf: str) -> DataFrame:
+    return loop.as_json(_verified(spark, sf))
+
+
+QUERIES: tuple[Query, ...] = (
+    evidence_fingerprint, evidence_source_host, evidence_ingest, evidence_rejected, evidence_dedup, build_knowledge,
+    final_knowledge, query_history, search_history, decision_prompt, final_prompt, diversity_hints, similarity_count,
+    early_stop_query, early_stop_evidence, search_topk, snippet_join_space, snippet_join_para, snippet_parse_keyed,
+    snippet_parse_listed, no_result_default, query_postamble, normalize_label, extract_decision, final_answer_valid,
+    usage_totals, backoff_schedule, segment_join, search_dicts, verify_claims, verify_claims_usage, verify_claims_json,
+)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {query.__name__: query for query in QUERIES}
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _filled(template: str, claim: str, known: str) -> str:
+    """SQL that puts a template together around its values."""
+    sql, rest = "", template
+    for placeholder, value in ((prompts.KNOWLEDGE, known), (prompts.STATEMENT, claim)):
+        before, rest = rest.split(placeholder)
+        sql += f"{_quoted(before)} || {value} || "
+    return f"trim({sql}{_quoted(rest)}, {WHITE})"
+
+
+WHITE = _quoted(text.WHITESPACE)
+HOST = f"""coalesce(substr(lower(regexp_extract(
+    regexp_replace(regexp_replace(url, '^[\\x00-\\x20]+', ''), '[\\t\\r\\n]', '', 'g'), {_quoted(text.HOST_PATTERN)}, 1)), 1, 253), '')"""
+VALID = f"trim(coalesce(text, ''), {WHITE}) <> '' AND url IS NOT NULL AND title IS NOT NULL AND provider IS NOT NULL"
+RESULTS = """(SELECT claim_id, string_agg(result, chr(10) ORDER BY step, search_id) AS results
+    FROM searches WHERE result IS NOT NULL AND claim_id IS NOT NULL GROUP BY 1)"""
+COSINE = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
+LAGS = "".join(f", lag(embedding, {n}) OVER w AS before{n}" for n in (1, 2, 3))
+VECTORS = f"""(SELECT vec_id, embedding, row_number() OVER w - 1 AS turns{LAGS}
+    FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))"""
+
+
+def _near(n: int, threshold: float) -> str:
+    return f"coalesce({COSINE.format('embedding', f'before{n}')} > {threshold}, false)"
+
+
+def _label(value: str) -> str:
+    low = f"lower(trim({value}, {WHITE}))"
+    return f"CASE WHEN {low} = 'true' THEN 'True' WHEN {low} = 'false' THEN 'False' END"
+
+
+#: The last object without inner objects in a response, and its two keys. All responses of the table are
+#: free text around at most one such object.
+READ = """(SELECT *, object ->> '$.final_answer' AS said, object ->> '$.search_query' AS asked,
+        coalesce(json_exists(object, '$.final_answer'), false) AS has_answer,
+        coalesce(json_exists(object, '$.search_query'), false) AS has_query FROM (
+    SELECT call_id, phase, CASE WHEN json_valid(part) THEN part END AS object FROM (
+        SELECT DISTINCT ON (call_id) call_id, phase, list_last(regexp_extract_all(response, '\\{[^{}]*\\}')) AS part FROM model_calls)))"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    joined = f"""SELECT claim_id, string_agg(result, {{}} ORDER BY step, search_id) AS result FROM searches
+        WHERE trim(coalesce(result, ''), {WHITE}) <> '' AND claim_id IS NOT NULL GROUP BY 1"""
+    knowledge = "SELECT claim_id, coalesce(nullif(results, ''), {}) AS knowledge FROM " + RESULTS
+    asked = "SELECT c.claim_id, {} AS prompt FROM claims c LEFT JOIN " + RESULTS + " r USING (claim_id)"
+    return {
+        "evidence_fingerprint": "SELECT evidence_id, substr(sha256(text), 1, 16) AS fingerprint FROM evidence",
+        "evidence_source_host": f"SELECT evidence_id, {HOST} AS source FROM evidence",
+        "evidence_ingest": f"""SELECT text, url, title, provider, {HOST} AS source,
+            substr(sha256(text), 1, 16) AS fingerprint FROM evidence WHERE {VALID}""",
+        "evidence_rejected": f"SELECT text, url, title, provider FROM evidence WHERE NOT ({VALID})",
+        "evidence_dedup": """SELECT substr(sha256(text), 1, 16) AS fingerprint, min(evidence_id) AS evidence_id,
+            count(*) AS copies FROM evidence WHERE text IS NOT NULL GROUP BY 1""",
+        "build_knowledge": knowledge.format("'N/A'"),
+        "final_knowledge": knowledge.format("''"),
+        "query_history": """SELECT claim_id, count(*) AS turns,
+            coalesce(string_agg(query, chr(10) ORDER BY step, search_id), '') AS queries FROM searches
+            WHERE claim_id IS NOT NULL GROUP BY 1""",
+        "search_history": """SELECT claim_id, count(*) AS turns,
+            coalesce(string_agg(result, chr(10) ORDER BY step, search_id), '') AS results FROM searches
+            WHERE claim_id IS NOT NULL GROUP BY 1""",
+        "decision_prompt": asked.format(_filled(prompts.DECISION_TEMPLATE, "claim", "coalesce(nullif(results, ''), 'N/A')")),
+        "final_prompt": asked.format(_filled(prompts.FINAL_TEMPLATE, "claim", "coalesce(results, '')")),
+        "diversity_hints": f"""SELECT vec_id,
+            CASE WHEN turns + 1 >= 2 THEN {_quoted(prompts.DIVERSE_HINT)} ELSE '' END
+            || CASE WHEN turns + 1 >= {TOLERANCE - 1} AND {_near(1, CLOSE)} THEN {_quoted(prompts.EVIDENCE_HINT + prompts.QUERY_HINT)} ELSE '' END AS hints
+            FROM {VECTORS}""",
+        "similarity_count": f"""SELECT vec_id,
+            CAST({' + '.join(f'CAST({_near(n, CLOSE)} AS BIGINT)' for n in (1, 2, 3))} AS BIGINT) AS close,
+            CAST({' + '.join(f'CAST({_near(n, similarity.THRESHOLD)} AS BIGINT)' for n in (1, 2, 3))} AS BIGINT) AS very_close
+            FROM {VECTORS}""",
+        "early_stop_query": f"SELECT vec_id FROM {VECTORS} WHERE {_near(1, CLOSE)} AND {_near(2, CLOSE)}",
+        "early_stop_evidence": f"SELECT vec_id FROM {VECTORS} WHERE {_near(1, CLOSE)} AND {_near(2, CLOSE)}",
+        "search_topk": r"""
+            WITH postings AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\pL{5,}')) AS term FROM documents),
+            kept AS (SELECT term FROM postings GROUP BY 1 HAVING count(*) <= greatest(1, 0.1 * (SELECT count(*) FROM documents))),
+            asked AS (SELECT DISTINCT claim_id, unnest(regexp_extract_all(lower(claim), '\pL{5,}')) AS term
+                      FROM claims WHERE claim_id % 20 = 0),
+            scores AS (SELECT claim_id, doc_id, count(*) AS score FROM asked SEMI JOIN kept USING (term) JOIN postings USING (term) GROUP BY ALL)
+            SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+            FROM scores QUALIFY rank <= 3""",
+        "snippet_join_space": joined.format("' '"),
+        "snippet_join_para": joined.format("chr(10) || chr(10)"),
+        "snippet_parse_keyed": f"""SELECT doc_id, coalesce(nullif(array_to_string(list_filter([
+                nullif(title, ''), source || ' ' || lang, coalesce(source, 'None') || ': ' || lang || '.',
+                coalesce(source, 'None') || ' chars: ' || coalesce(CAST(n_chars AS VARCHAR), 'None') || '.',
+                CASE WHEN trim(coalesce(text, ''), {WHITE}) <> '' THEN text END, 'lang: ' || coalesce(lang, 'None') || '.'],
+                lambda x: x IS NOT NULL), ' '), ''), {_quoted(snippets.NO_RESULT)}) AS result FROM documents""",
+        "snippet_parse_listed": f"""SELECT doc_id, coalesce(nullif(array_to_string(list_filter(
+                [trim(title, {WHITE}), trim(text, {WHITE})], lambda x: x <> ''), chr(10) || chr(10)), ''), {_quoted(snippets.NO_RESULT)}) AS result
+            FROM documents""",
+        "no_result_default": f"""SELECT search_id, coalesce(nullif(trim(result, {WHITE}), ''), {_quoted(snippets.NO_RESULT)}) AS result
+            FROM searches""",
+        "query_postamble": "SELECT search_id, query || ' site:example' AS query FROM searches",
+        "normalize_label": f"SELECT claim_id, {_label('verdict')} AS label FROM claims",
+        "extract_decision": f"""SELECT call_id, CASE WHEN has_answer = has_query THEN 'invalid'
+                WHEN has_answer AND {_label('said')} IS NOT NULL THEN 'answer'
+                WHEN has_query AND trim(asked, {WHITE}) <> '' THEN 'query' ELSE 'invalid' END AS kind,
+            CASE WHEN has_answer = has_query THEN NULL WHEN has_answer THEN {_label('said')}
+                ELSE nullif(trim(asked, {WHITE}), '') END AS value FROM {READ}""",
+        "final_answer_valid": f"""SELECT call_id, CASE WHEN NOT has_query THEN {_label('said')} END AS answer FROM {READ}
+            WHERE phase = 'final'""",
+        "usage_totals": """SELECT claim_id,
+            CAST(sum(CASE WHEN raises IS NULL THEN coalesce(input_tokens, 0) ELSE 0 END) AS BIGINT) AS input_tokens,
+            CAST(sum(CASE WHEN raises IS NULL THEN coalesce(output_tokens, 0) ELSE 0 END) AS BIGINT) AS output_tokens,
+            count(*) FILTER (raises IS NOT NULL OR input_tokens IS NULL OR output_tokens IS NULL) AS unreported_calls,
+            count(*) AS calls FROM (SELECT DISTINCT ON (call_id) * FROM model_calls) GROUP BY 1""",
+        "backoff_schedule": """SELECT retries, coalesce((SELECT string_agg(CAST(least(power(2, a), 30) AS INTEGER), ',' ORDER BY a)
+            FROM range(0, 8) t(a) WHERE a < retries), '') AS seconds FROM range(0, 9) r(retries)""",
+        "segment_join": f"""SELECT evidence_id, trim(trim(coalesce(title, 'None'), {WHITE}) || repeat(chr(10), 3) || coalesce(provider, 'None')
+            || repeat(chr(10), 3) || coalesce(url, 'None') || repeat(chr(10), 3) || trim(coalesce(text, 'None'), {WHITE}), {WHITE}) AS segments
+            FROM evidence""",
+        "search_dicts": """SELECT claim_id, CAST(to_json({'google_searches': list({'query': query, 'result': result}
+            ORDER BY step, search_id)}) AS VARCHAR) AS searches FROM searches WHERE claim_id IS NOT NULL GROUP BY 1""",
+    }
