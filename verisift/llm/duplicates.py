@@ -37,7 +37,8 @@ def _letters(text: Column) -> Column:
     does the gap between two numbers."""
     bare = F.regexp_replace(text, rf"(?<![0-9]){PUNCTUATION}+|{PUNCTUATION}+(?![0-9])|{PUNCTUATION}{{2,}}", " ")
     closed = F.regexp_replace(bare, rf"(?<=[0-9]){SPACE}+(?=[0-9])", "\u0001")
-    return F.lower(F.upper(F.translate(F.regexp_replace(closed, rf"{SPACE}+", ""), "\u0001", " ")))
+    low = F.lower(F.translate(F.regexp_replace(closed, rf"{SPACE}+", ""), "\u0001", " "))
+    return F.translate(F.replace(low, F.lit("ß"), F.lit("ss")), "ς", "σ")  # as capitals have them
 
 
 def _fields(pairs: Column) -> Column:
