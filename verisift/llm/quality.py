@@ -41,6 +41,8 @@ STATISTICS = {
 SCHEMA = ", ".join(f"{name} {kind}" for name, kind in STATISTICS.items())
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: Characters at which Python splits words, but these statistics do not.
+_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _SYMBOL = re.compile(r"[^\w\s]|_")
 _END = re.compile(r"[.!?…][\"'“”‘’»)\]]*$")
 _ITEM = re.compile(r"^\s*(?:[-–—*•·+>]|\[[ xX]?\]|[(#]?\d{1,4}[.):\]]?|[a-zA-Z][.)])\s+\S")
@@ -61,11 +63,12 @@ def line_is_prose(line: str, words: list[str], common: int) -> bool | None:
     number of them that are frequent words of one language.
     """
     n = len(words)
-    if len(_NO_LETTER.sub("", line)) < 0.55 * len("".join(line.split())):
+    least = 0.55 * len("".join(line.split()))
+    if len("".join(filter(str.isalpha, words))) < least and len(_NO_LETTER.sub("", line)) < least:
         return False
     if n >= 4:
-        odd = sum(1 for w in words if not (w.isalnum() or _CLEAN.fullmatch(w)))
-        if odd > 0.12 * n + 0.5:
+        odd = [w for w in words if not w.isalnum()]
+        if len(odd) > 0.12 * n + 0.5 and sum(1 for w in odd if not _CLEAN.fullmatch(w)) > 0.12 * n + 0.5:
             return False
     ended = bool(_END.search(line[-12:].rstrip()))
     if not (ended and common >= 0.15 * n and n >= 8) and _ROW.search(line.strip()):
@@ -113,19 +116,21 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
     if text is None:
         return (None,) * 9 + ("empty",)
     lines = [x for x in text.split("\n") if x.strip()]
-    raw = [w for w in _SPACE.split(text) if w]
-    if not raw:
+    solid = len(text) - sum(map(text.count, " \t\n\r\f\v"))
+    if not solid or not lines:
         return (0,) + (0.0,) * 8 + ("empty",)
-    words = [w.strip(EDGE).lower() for w in raw]
-    bits = [common.get(w, 0) for w in words]
-    marks, at = [], 0
+    plain = not _OTHER_SPACE.search(text)
+    words: list[str] = []
+    marks, hits = [], Counter()
     for line in lines:
-        n = len(words) if len(lines) == 1 else sum(1 for w in _SPACE.split(line) if w)
-        marks.append(line_is_prose(line, words[at : at + n], _most(bits[at : at + n], languages)))
-        at += n
+        low = line.lower()
+        here = [w.strip(EDGE) for w in (low.split() if plain else filter(None, _SPACE.split(low)))]
+        known = Counter(filter(None, map(common.get, here)))
+        marks.append(line_is_prose(line, here, _most(known, languages)))
+        hits += known
+        words += here
     chars = sum(map(len, lines))
     share = prose_characters(lines, marks) / chars
-    solid = sum(map(len, raw))
     repeats = Counter(lines)
     twice = sum((c - 1) * len(x) for x, c in repeats.items() if c > 1) / chars
     paragraphs = Counter(p for p in _PARAGRAPH.split(text) if p.strip())
@@ -133,11 +138,11 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
     if top > 0.5 or (twice > 0.6 and len(repeats) < 4):
         share = 0.0
     return (
-        len(raw),
-        solid / len(raw),
+        len(words),
+        solid / len(words),
         len(_SYMBOL.findall(text)) / len(text),
         sum(1 for x in lines if _END.search(x[-12:].rstrip())) / len(lines),
-        _most(bits, languages) / len(raw),
+        _most(hits, languages) / len(words),
         twice,
         sum((c - 1) * len(x) for x, c in paragraphs.items() if c > 1) / len(text),
         top,
@@ -146,10 +151,12 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
     )
 
 
-def _most(bits: list[int], languages: int) -> int:
-    """Number of the words that are frequent in one language, for the language with the most."""
-    counts = Counter(bits)
-    return max((sum(c for b, c in counts.items() if b >> k & 1) for k in range(languages)), default=0)
+def _most(counts: Counter, languages: int) -> int:
+    """Number of the words that are frequent in one language, for the language with the most. ``counts``
+    has the number of words for each set of languages."""
+    if not counts:
+        return 0
+    return max(sum(c for b, c in counts.items() if b >> k & 1) for k in range(languages))
 
 
 def _kind(lines: list[str], marks: list[bool | None]) -> str:

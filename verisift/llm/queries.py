@@ -178,7 +178,7 @@ STATISTICS = r"""
            CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
                 ELSE length(array_to_string(raw, '')) / len(raw) END AS mean_word_length,
            CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
-                ELSE length(regexp_replace(d.text, '[\pL\pN\s]', '', 'g')) / length(d.text) END AS symbol_ratio,
+                ELSE length(regexp_replace(d.text, '[\pL\pN\pZ\s]', '', 'g')) / length(d.text) END AS symbol_ratio,
            CASE WHEN d.text IS NULL THEN NULL WHEN len(raw) = 0 THEN 0.0
                 ELSE len(list_filter(lines, lambda x: regexp_matches(rtrim(x, chr(32) || chr(9) || chr(13)),
                      '[.!?…]["''“”‘’»)\]]*$'))) / len(lines) END AS punctuated_line_share,
