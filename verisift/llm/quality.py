@@ -47,11 +47,11 @@ _SYMBOL = re.compile(r"[^\w\s]|_")
 _END = re.compile(r"[.!?…][\"'“”‘’»)\]]*$")
 _ITEM = re.compile(r"^\s*(?:[-–—*•·+>]|\[[ xX]?\]|[(#]?\d{1,4}[.):\]]?|[a-zA-Z][.)])\s+\S")
 _PAIR = re.compile(r"^\s*[^\W\d_][\w /'’-]{0,30}\s*[:=]\s*\S")
-_ROW = re.compile(r"\t|\S {2,}\S|\|.*\||(?:[^;]*;){2,}[^;]*$|\.{4,}|(?: [·>/|»] ).*(?: [·>/|»] )")
+_ROW = re.compile(r"\t|\|.*\||(?:[^;]*;){2,}[^;]*$|\.{4,}|(?: [·>/|»] ).*(?: [·>/|»] )")
+_GAPS = re.compile(r"\S {2,}\S")
 _ADDRESS = re.compile(r"https?://|www\.")
 _CLEAN = re.compile(r"[^\W_]+(?:['’.,:/&+°-]*[^\W_]+)*[%°²³‰]?")
 _NO_LETTER = re.compile(r"[\W\d_]+")
-_TABLE = re.compile(r"\t|\S {2,}\S|^\|.*\|$|;.*;")
 _NAMES = re.compile(r"^[^,]{1,40}(?:, [^,]{1,40}){4,}$")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 
@@ -73,6 +73,8 @@ def line_is_prose(line: str, words: list[str], common: int) -> bool | None:
     ended = bool(_END.search(line[-12:].rstrip()))
     if not (ended and common >= 0.15 * n and n >= 8) and _ROW.search(line.strip()):
         return False
+    if common < max(0.1 * n, 1) and _GAPS.search(line.strip()):
+        return False
     if n < 12:
         if n < 6 and _ADDRESS.search(line):
             return False
@@ -87,12 +89,12 @@ def line_is_prose(line: str, words: list[str], common: int) -> bool | None:
 
 def prose_characters(lines: list[str], marks: list[bool | None]) -> int:
     """Characters of the lines that are running text. A line that is too short to tell follows the line
-    before it where it can be its continuation, else it is a heading, item or remainder."""
+    before it where it can be the rest of its sentence, else it is a heading, item or remainder."""
     total, before = 0, False
     for line, mark in zip(lines, marks, strict=True):
         if mark is None:
             mark = before and not _ITEM.match(line) and not _PAIR.match(line)
-        before = mark
+        before = mark and not _END.search(line[-12:].rstrip())
         if mark:
             total += len(line)
     return total
@@ -163,9 +165,9 @@ def _kind(lines: list[str], marks: list[bool | None]) -> str:
     """What the lines without running text mostly are."""
     rest = [x for x, mark in zip(lines, marks, strict=True) if not mark]
     chars = sum(map(len, rest))
-    if sum(len(x) for x in rest if len(_NO_LETTER.sub("", x)) < 0.2 * len(x) and not _TABLE.search(x)) > 0.5 * chars:
+    if sum(len(x) for x in rest if len(_SYMBOL.findall(x)) > 0.5 * len(x)) > 0.5 * chars:
         return "junk"
-    if sum(len(x) for x in rest if _ROW.search(x.strip())) > 0.5 * chars:
+    if sum(len(x) for x in rest if _ROW.search(x.strip()) or _GAPS.search(x.strip())) > 0.5 * chars:
         return "table"
     items = sum(len(x) for x in rest if _ITEM.match(x) or _PAIR.match(x) or _ADDRESS.search(x) or _NAMES.match(x))
     return "list" if items > 0.5 * chars else "junk"
