@@ -392,6 +392,7 @@ def unfinished(usual: float) -> Column:
         .when(F.col("state") == "dots", (complete == 0) | (seen == 0))
         .when((longer > 0) & (longer >= BEGUN * same), True)
         .when(same >= RECURRING, False)
+        .when((F.col("state") == "open") & ~F.col("skeleton").contains(" "), True)  # a lone word that is no line of its own
         .otherwise(sentence)
     )
 
