@@ -16,15 +16,16 @@ def sized_join(
     small: DataFrame,
     on: list[str],
     how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     salt: int = SALT,
 ) -> DataFrame:
     """Join ``large`` with ``small`` on ``on`` (inner, left, left_semi or left_anti).
 
-    ``small`` should be cut (checkpointed) or cheap: it is counted. Up to ``broadcast_rows`` rows it
-    is broadcast; beyond, both sides are shuffled on the key and a salt, ``small`` being repeated
+    ``small`` should be cut (checkpointed) or cheap: it is counted. Up to ``broadcast_rows`` rows
+    (BROADCAST_ROWS where not given) it is broadcast; beyond, both sides are shuffled on the key and a salt, ``small`` being repeated
     ``salt`` times, so that no key, however hot, has to fit one task. Null keys match nothing.
     """
+    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
     rows = small.limit(broadcast_rows + 1).count()
     if rows <= broadcast_rows:
         return large.join(F.broadcast(small), on, how)

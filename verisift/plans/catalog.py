@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verisift.config import LoopSettings
 from verisift.functions import decisions, prompts, similarity, snippets, text
-from verisift.operators import evidence
+from verisift.operators import defense, evidence
 from verisift.plans import loop
 from verisift.session import table
 from verisift.sources.search import CorpusSearch
@@ -224,12 +224,26 @@ def verify_claims_json(spark: SparkSession, sf: str) -> DataFrame:
     return loop.as_json(_verified(spark, sf))
 
 
+def evidence_risk(spark: SparkSession, sf: str) -> DataFrame:
+    scanned = defense.scan(table(spark, sf, "evidence"), "evidence_id", "text")
+    return scanned.select("evidence_id", F.round("risk", 6).alias("risk"), F.array_join("hits", ",").alias("hits"))
+
+
+def evidence_trust(spark: SparkSession, sf: str) -> DataFrame:
+    rows = defense.scored(table(spark, sf, "evidence"), table(spark, sf, "claims"))
+    return rows.select("evidence_id", "claim_id", "source", "risk", "trust")
+
+
+def evidence_structured(spark: SparkSession, sf: str) -> DataFrame:
+    return defense.structured(defense.scored(table(spark, sf, "evidence"), table(spark, sf, "claims")))
+
+
 QUERIES: tuple[Query, ...] = (
     evidence_fingerprint, evidence_source_host, evidence_ingest, evidence_rejected, evidence_dedup, build_knowledge,
     final_knowledge, query_history, search_history, decision_prompt, final_prompt, diversity_hints, similarity_count,
     early_stop_query, early_stop_evidence, search_topk, snippet_join_space, snippet_join_para, snippet_parse_keyed,
     snippet_parse_listed, no_result_default, query_postamble, normalize_label, extract_decision, final_answer_valid,
-    usage_totals, backoff_schedule, segment_join, search_dicts, verify_claims, verify_claims_usage, verify_claims_json,
+    usage_totals, backoff_schedule, segment_join, search_dicts, evidence_risk, evidence_trust, evidence_structured, verify_claims, verify_claims_usage, verify_claims_json,
 )
 
 
