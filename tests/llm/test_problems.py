@@ -45,14 +45,14 @@ def test_lookalikes_found_and_normalised(spark):
     texts = {
         1: "plain text with “quotes” – and… signs", 2: "the ﬁeld", 3: "архив города Тасрин.", 4: "fire 👩‍🚒 engine",
         5: "Тhe А list", 6: "το λιμάνι της Βελμόρα.", 7: "a b", 8: "港の記録。", 9: "café", 10: "café", 11: "می‌خواهم",
-        12: "don’t", 13: "x️",
+        12: "don’t", 13: "x\ufe0f", 14: "1\ufe0f\u20e3 ❤\ufe0f 🏴\U000e0067\U000e007f",
     }
     df = evidence(spark, [(i, None, "ｔ" if i == 1 else "t", t, None, None, None) for i, t in texts.items()])
     found = {(r.evidence_id, r.field_name) for r in lookalikes.find(df, "evidence_id", ["text", "title"]).collect()}
     assert found == {(1, "title"), (2, "text"), (5, "text"), (7, "text"), (9, "text"), (13, "text")}
     fixed = {r.evidence_id: r for r in lookalikes.normalize(df, ["text", "title"]).collect()}
     assert fixed[2].text == "the field" and fixed[5].text == "The A list" and fixed[7].text == "a b" and fixed[9].text == "café" and fixed[1].title == "t"
-    for kept in (1, 3, 4, 6, 8, 10, 11, 12):
+    for kept in (1, 3, 4, 6, 8, 10, 11, 12, 14):
         assert fixed[kept].text == texts[kept]
 
 
@@ -310,6 +310,12 @@ def test_words_and_subsequences():
         assert leakage.longest_run(a, b) == max(map(max, run))
 
 
+def test_leaks_in_blocks_of_items(spark, data, monkeypatch):
+    whole = rows_of(queries.p6_found(spark, data))
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 70)
+    assert rows_of(queries.p6_found(spark, data)) == whole
+
+
 def test_leaks_odd_tables(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six")], "item_id bigint, text string")
     docs = evidence(spark, [*ODD, (20, None, None, "zero one two three four five six seven", None, None, None)])
@@ -405,3 +411,12 @@ def test_quality_odd_tables(spark):
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_queries_run(spark, data, name):
     assert queries.queries()[name](spark, data).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p1_normalized", "p2_found", "p3_residue", "p3_evidence_kept", "p4_found", "p4_collapsed", "p5_found", "p5_cleaned", "p6_found"])
+def test_same_results_without_broadcasts(spark, data, name, monkeypatch):
+    from verisift.operators import joins
+
+    whole = rows_of(queries.queries()[name](spark, data))
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    assert rows_of(queries.queries()[name](spark, data)) == whole

@@ -138,11 +138,10 @@ def clean(df: DataFrame, url: str, text: str, **limits: float) -> DataFrame:
     """``df`` with the excessive lines of each record's source deleted from ``text``."""
     rows = df.select(
         source_host(F.col(url)).alias("source"),
-        F.monotonically_increasing_id().alias("id"),
         line_hashes(F.col(text)).alias("lines"),
         F.struct(*[df[c] for c in df.columns]).alias("row"),
     )
-    records = rows.where("source <> '' AND lines IS NOT NULL").select("id", "source", "lines")
+    records = rows.where("source <> '' AND lines IS NOT NULL").select("source", "lines")
     excessive = cut_lineage(blocks(records, **limits))
     by_source = excessive.groupBy("source").agg(F.sort_array(F.collect_set("line")).alias("nodes"))
     split = F.split(F.col("row").getField(text), "\n")

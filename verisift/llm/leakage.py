@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from verisift.llm.lookalikes import _PY, SUSPECT, looks_like
@@ -48,8 +49,9 @@ RANK = 512
 MIN_COSINE = 0.3
 #: Terms in a larger share of the documents have no weight; that of others grows from 0 with their rarity.
 MAX_DOCUMENT_SHARE = 0.1
-#: Largest number of held-out items of one call; more are to be given in several.
-MAX_ITEMS = 50_000
+#: Largest number of held-out items of one call, and of a block that has its own latent space: both the
+#: vocabulary and the space are of the size of a block.
+MAX_ITEMS, BLOCK_ITEMS = 50_000, 2_000
 
 _SUSPECT = re.compile(_PY(SUSPECT[1:-1]).pattern)
 _SIGN = re.compile(r"[^\w\s]|_")
@@ -111,17 +113,11 @@ def cut_passages(words: list, length: int, step: int) -> list[list]:
 class HeldOut:
     """The held-out items on the driver: words, vocabulary and passages."""
 
-    def __init__(self, items: DataFrame, key: str, text: str, answer: str | None = None) -> None:
-        columns = [F.col(key).alias("id"), F.col(text).alias("text")]
-        columns.append(F.col(answer).alias("answer") if answer else F.lit(None).cast("string").alias("answer"))
-        rows = items.select(*columns).limit(MAX_ITEMS + 1).collect()
-        if len(rows) > MAX_ITEMS:
-            raise ValueError(f"more than {MAX_ITEMS} held-out items; give them in several calls")
-        rows.sort(key=lambda r: (r["id"], r["text"] or ""))
-        texts = without_instructions([r["text"] for r in rows])
-        self.ids = [r["id"] for r in rows]
-        self.words = [normal_words(t) for t in texts]
-        self.answers = [(r["answer"] or "").strip().casefold() for r in rows]
+    def __init__(self, rows: list[tuple]) -> None:
+        """``rows`` are (id, text without instruction, answer)."""
+        self.ids = [r[0] for r in rows]
+        self.words = [normal_words(r[1]) for r in rows]
+        self.answers = [(r[2] or "").strip().casefold() for r in rows]
         terms = sorted({w for words in self.words for w in words})
         self.codes = {w: i + 1 for i, w in enumerate(terms)}
         self.kind = np.uint16 if len(terms) < 65_535 else np.uint32
@@ -133,6 +129,19 @@ class HeldOut:
         return np.fromiter((self.codes.get(w, 0) for w in words), self.kind, len(words))
 
 
+def held_out_blocks(items: DataFrame, key: str, text: str, answer: str | None = None) -> list[HeldOut]:
+    """The items, in blocks of BLOCK_ITEMS in the order of their ids; null ids are left out."""
+    columns = [F.col(key).alias("id"), F.col(text).alias("text")]
+    columns.append(F.col(answer).alias("answer") if answer else F.lit(None).cast("string").alias("answer"))
+    rows = items.select(*columns).where("id IS NOT NULL").limit(MAX_ITEMS + 1).collect()
+    if len(rows) > MAX_ITEMS:
+        raise ValueError(f"more than {MAX_ITEMS} held-out items; give them in several calls")
+    rows.sort(key=lambda r: (r["id"], r["text"] or ""))
+    texts = without_instructions([r["text"] for r in rows])
+    whole = [(r["id"], t, r["answer"]) for r, t in zip(rows, texts, strict=True)]
+    return [HeldOut(whole[i : i + BLOCK_ITEMS]) for i in range(0, len(whole), BLOCK_ITEMS)]
+
+
 def encoded(documents: DataFrame, key: str, text: str, held: HeldOut) -> DataFrame:
     """(id, codes) of each document: its words as numbers of the items' vocabulary, 0 for others."""
     codes, kind = held.codes, held.kind
@@ -291,18 +300,27 @@ def find(
     """(key, item_key, run, share, answer_found): each document that carries at least MIN_RUN
     consecutive words of an item, or MIN_SHARE of its words in order."""
     spark = documents.sparkSession
-    held = HeldOut(items, item_key, item_text, answer)
     id_type, item_type = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
     schema = f"`{key}` {id_type}, `{item_key}` {item_type}, run int, share double, answer_found boolean"
-    if not held.passages:
-        return spark.createDataFrame([], schema)
+    found = spark.createDataFrame([], schema)
+    kind = to_arrow_type(items.schema[item_key].dataType)
+    for held in held_out_blocks(items, item_key, item_text, answer):
+        if held.passages:
+            found = found.unionAll(_leaks_of_block(documents, key, text, held, schema, kind))
+    return found.dropDuplicates([key, item_key])
+
+
+def _leaks_of_block(documents: DataFrame, key: str, text: str, held: HeldOut, schema: str, item_kind: pa.DataType) -> DataFrame:
+    spark = documents.sparkSession
     coded = cut_lineage(encoded(documents, key, text, held))
     counts, total = document_frequencies(coded, held)
     weights = term_weights(counts, total)
     space, points = latent_space(spark, held, weights)
     pairs = cut_lineage(candidates(coded, held, weights, space, points))
     ids, words, answers = held.ids, held.words, held.answers
-    kinds = [to_arrow_type(items.schema[item_key].dataType), pa.int32(), pa.float64(), pa.bool_()]
+    kinds = [item_kind, pa.int32(), pa.float64(), pa.bool_()]
+
+    names = T._parse_datatype_string(schema).names
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,9 +337,8 @@ def find(
             at, *columns = map(list, zip(*out, strict=True)) if out else [[]] * 5
             rest = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
             taken = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken, *rest], [key, item_key, "run", "share", "answer_found"])
+            yield pa.RecordBatch.from_arrays([taken, *rest], names)
 
     lists = pairs.groupBy("id").agg(F.collect_set("item").alias("items"))  # at most as many as there are items
     texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    found = sized_join(texts, cut_lineage(lists), ["id"]).select("id", "text", "items").mapInArrow(check, schema)
-    return found.dropDuplicates([key, item_key])
+    return sized_join(texts, cut_lineage(lists), ["id"]).select("id", "text", "items").mapInArrow(check, schema)

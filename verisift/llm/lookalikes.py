@@ -78,7 +78,10 @@ def _own_use(script: str) -> str:
 _WORD = rf"\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}{HYPHENS}{STYLED}'’-"
 _EDGE_BEFORE, _EDGE_AFTER = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}])", rf"(?![\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}])"
 _EMOJI = r"[\x{2190}-\x{21FF}\x{2300}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
-_EMOJI_RUN = rf"{_EMOJI}(?:[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}]|\x{{200D}}{_EMOJI}|{_EMOJI})*+"
+_EMOJI_RUN = (
+    rf"(?:[0-9#*]\x{{FE0F}}?\x{{20E3}}"
+    rf"|{_EMOJI}(?:[\x{{FE0E}}\x{{FE0F}}\x{{20E3}}]|[\x{{E0020}}-\x{{E007F}}]|\x{{200D}}{_EMOJI}|{_EMOJI})*+)"
+)
 OWN_USE = rf"{_EDGE_BEFORE}(?:{'|'.join(_own_use(s) for s in _CONFUSED)}){_EDGE_AFTER}"
 #: Cuts a value into pieces that together are the value: runs in a script's own use, emoji, words, the rest.
 PIECE = rf"{OWN_USE}|{_EMOJI_RUN}|[{_WORD}]++|[^{_WORD}]"
@@ -195,27 +198,30 @@ def find(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def normalize(df: DataFrame, fields: list[str]) -> DataFrame:
     """``df`` with every value of ``fields`` in its one consistent form; all other columns unchanged.
 
-    The values without a suspect character pass by; the others are cut into pieces, which get the
-    canonical member of their class and are put together again in their order, value by value.
+    Rows without a suspect character pass by; the values of the others are cut into pieces, which get
+    the canonical member of their class and are put together again in their order, value by value.
     """
-    kept = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"))
+    row = F.struct(*[df[c] for c in df.columns])
+    suspects = [F.when(df[f].rlike(SUSPECT), df[f]) for f in fields]
+    values = (
+        df.select(F.explode(F.array_compact(F.array(*suspects))).alias("value"))
+        .distinct()
+        .withColumn("pieces", _pieces(F.col("value")))
+    )
+    values = cut_lineage(values)
+    exploded = values.select("value", F.posexplode("pieces").alias("pos", "piece"))
+    forms = cut_lineage(canonical_members(exploded.select("piece")))
+    put = cut_lineage(
+        sized_join(exploded, forms, ["piece"], "left")
+        .select("value", F.struct("pos", F.coalesce("canonical", "piece").alias("out")).alias("part"))
+        .groupBy("value")
+        .agg(F.array_sort(F.collect_list("part")).alias("parts"))  # the pieces of one value
+        .select("value", F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("form"))
+    )
+    suspect = F.exists(F.array(*suspects), lambda v: v.isNotNull())
+    rewritten = df.where(suspect).select(row.alias("row"))
     for field in fields:
         value = F.col("row").getField(field)
-        marked = kept.withColumn("suspect", F.coalesce(value.rlike(SUSPECT), F.lit(False)))
-        values = cut_lineage(
-            marked.where("suspect").select(value.alias("value")).distinct().withColumn("pieces", _pieces(F.col("value")))
-        )
-        exploded = values.select("value", F.posexplode("pieces").alias("pos", "piece"))
-        forms = cut_lineage(canonical_members(exploded.select("piece")))
-        put = (
-            sized_join(exploded, forms, ["piece"], "left")
-            .select("value", F.struct("pos", F.coalesce("canonical", "piece").alias("out")).alias("part"))
-            .groupBy("value")
-            .agg(F.array_sort(F.collect_list("part")).alias("parts"))
-            .select("value", F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("form"))
-        )
-        rewritten = sized_join(
-            marked.where("suspect").withColumn("value", value), cut_lineage(put), ["value"], "left"
-        ).select(F.col("row").withField(field, F.coalesce("form", "value")).alias("row"))
-        kept = marked.where("NOT suspect").select("row").unionAll(rewritten)
-    return kept.select("row.*")
+        found = sized_join(rewritten.withColumn("value", value), put, ["value"], "left")
+        rewritten = found.select(F.col("row").withField(field, F.coalesce("form", value)).alias("row"))
+    return df.where(~suspect).select(row.alias("row")).unionAll(rewritten).select("row.*")
