@@ -176,7 +176,8 @@ def test_same_content(spark):
         ["The harvest, of 4.2 tons - was good.", "the  HARVEST of 4.2 tons\nwas good", "“The harvest of 4.2 tons was good”", "The harvest | of 4.2 tons; was good..."],
         ["The harvest of 42 tons was good."], ["The harvest of 4,2 tons was good."],
         ['{"a": "x", "b": "1"}', '{\n "b":"1",\n "a":"X"}'], ['{"a": "1", "b": "x"}'], ["a: x; b: 1", "B = 1 | A = x", "a : x, b : 1"], ["a: 1; b: x"],
-        ["One. Two."], ["Two. One."], ["GROSSE STRASSE", "große straße"], ["x bridge: 4. x dam: 5."], ["x dam: 5. x bridge: 4."],
+        ["One. Two."], ["Two. One."], ["GROSSE STRASSE", "große straße"], ["Rin dam: 5. Rin mayor: Ane Lo. Rin area: 4.2.", "RIN  AREA: 4.2. RIN\nMAYOR: ANE LO - RIN DAM: 5", "Rin area: 4.2 | Rin dam: 5 | Rin mayor: Ane Lo"],
+        ["Rin dam: 4.2. Rin mayor: Ane Lo. Rin area: 5."], ["Rin dam: 5. Then it rained. Rin area: 4.2."], ["Rin area: 4.2. Then it rained. Rin dam: 5."],
         ["The x bridge: 4.\n\nThe x dam: 5.", "The x bridge: 4. The x dam: 5."], ["!!!"], ["???"], ["12 45"], ["1245"],
     ]
     rows, expected, i = [], set(), 0

@@ -28,8 +28,8 @@ PAIR = rf"(?s)^{SPACE}*[^:=]*[\p{{L}}\p{{N}}][^:=]{{0,60}}[:=].*[\p{{L}}\p{{N}}]
 #: A part that holds two names, or ends as a sentence: then the text is not a list but running text.
 TWO_PAIRS = rf"(?s)[:=]{SPACE}.*[^:={SPACE[1:-1]}]{SPACE}*[:=]{SPACE}"
 SENTENCE = rf"[.!?]['\"”»)]*{SPACE}*$"
-#: What may stand between the fields of a list.
-SEPARATORS = (";", r"\|", r"\n", rf",(?={SPACE})")
+#: What may stand between the fields of a list: one sign, or the ends of sentences of one field each.
+SEPARATORS = (";", r"\|", r"\n", rf",(?={SPACE})", rf"[.;|…]+[,.;|…]*{SPACE}+|{SPACE}[-–—|]{SPACE}")
 
 
 def _letters(text: Column) -> Column:
