@@ -203,25 +203,29 @@ def normalize(df: DataFrame, fields: list[str]) -> DataFrame:
     """
     row = F.struct(*[df[c] for c in df.columns])
     suspects = [F.when(df[f].rlike(SUSPECT), df[f]) for f in fields]
-    values = (
-        df.select(F.explode(F.array_compact(F.array(*suspects))).alias("value"))
-        .distinct()
-        .withColumn("pieces", _pieces(F.col("value")))
-    )
-    values = cut_lineage(values)
-    exploded = values.select("value", F.posexplode("pieces").alias("pos", "piece"))
+    values = cut_lineage(df.select(F.explode(F.array_compact(F.array(*suspects))).alias("value")))
+    exploded = values.select(*_value_hash(F.col("value")), F.posexplode(_pieces(F.col("value"))).alias("pos", "piece"))
     forms = cut_lineage(canonical_members(exploded.select("piece")))
-    put = cut_lineage(
-        sized_join(exploded, forms, ["piece"], "left")
-        .select("value", F.struct("pos", F.coalesce("canonical", "piece").alias("out")).alias("part"))
-        .groupBy("value")
-        .agg(F.array_sort(F.collect_list("part")).alias("parts"))  # the pieces of one value
-        .select("value", F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("form"))
+    changed = sized_join(exploded.where(F.col("piece").rlike(SUSPECT)), forms, ["piece"])
+    changes = cut_lineage(  # by value: the pieces that change, in sets, as values recur
+        changed.groupBy("high", "low")
+        .agg(F.collect_set(F.struct("pos", "canonical")).alias("changes"))
+        .select("high", "low", F.map_from_entries("changes").alias("changes"))
     )
     suspect = F.exists(F.array(*suspects), lambda v: v.isNotNull())
     rewritten = df.where(suspect).select(row.alias("row"))
     for field in fields:
         value = F.col("row").getField(field)
-        found = sized_join(rewritten.withColumn("value", value), put, ["value"], "left")
-        rewritten = found.select(F.col("row").withField(field, F.coalesce("form", value)).alias("row"))
+        marked = rewritten.select("row", *_value_hash(F.when(value.rlike(SUSPECT), value)))
+        put = F.array_join(
+            F.transform(_pieces(value), lambda p, i: F.coalesce(F.try_element_at("changes", i), p)), ""
+        )
+        form = F.when(F.col("changes").isNotNull(), put).otherwise(value)
+        rewritten = sized_join(marked, changes, ["high", "low"], "left").select(F.col("row").withField(field, form).alias("row"))
     return df.where(~suspect).select(row.alias("row")).unionAll(rewritten).select("row.*")
+
+
+def _value_hash(value: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a value in joins; null for null."""
+    high = F.when(value.isNotNull(), F.xxhash64(value)).alias("high")
+    return high, F.when(value.isNotNull(), F.xxhash64(F.lit(0x9E3779B9), value)).alias("low")
