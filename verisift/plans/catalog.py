@@ -294,6 +294,27 @@ READ = """(SELECT *, object ->> '$.final_answer' AS said, object ->> '$.search_q
         SELECT DISTINCT ON (call_id) call_id, phase, list_last(regexp_extract_all(response, '\\{[^{}]*\\}')) AS part FROM model_calls)))"""
 
 
+#: The corpus search, and the default rule over what it finds.
+RANKED = r"""
+    WITH postings AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\pL{{5,}}')) AS term FROM documents),
+    kept AS (SELECT term FROM postings GROUP BY 1 HAVING count(*) <= greatest(1, 0.1 * (SELECT count(*) FROM documents))),
+    asked AS (SELECT DISTINCT claim_id, unnest(regexp_extract_all(lower(claim), '\pL{{5,}}')) AS term FROM claims {}),
+    scores AS (SELECT claim_id, doc_id, count(*) AS score FROM asked SEMI JOIN kept USING (term) JOIN postings USING (term) GROUP BY ALL),
+    ranked AS (SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+               FROM scores QUALIFY rank <= 3)
+"""
+VERDICTS = r""",
+    results AS (SELECT claim_id, string_agg(text, ' ' ORDER BY rank) AS result FROM ranked JOIN documents USING (doc_id) GROUP BY 1),
+    words AS (SELECT claim_id, claim, list_distinct(regexp_extract_all(lower(claim), '\pL{5,}')) AS wanted,
+                     regexp_extract_all(lower(result), '\pL{5,}') AS known
+              FROM claims LEFT JOIN results USING (claim_id))
+    SELECT claim_id, claim, 'final' AS status,
+           CASE WHEN len(wanted) > 0 AND len(list_intersect(wanted, coalesce(known, []))) >= 0.7 * len(wanted) THEN 'True' ELSE 'False' END AS answer,
+           1 AS searches, CAST(NULL AS VARCHAR) AS fallback_reason, CAST(NULL AS VARCHAR) AS error, 2 AS rounds
+    FROM words
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     joined = f"""SELECT claim_id, string_agg(result, {{}} ORDER BY step, search_id) AS result FROM searches
         WHERE trim(coalesce(result, ''), {WHITE}) <> '' AND claim_id IS NOT NULL GROUP BY 1"""
@@ -327,14 +348,8 @@ def oracle_sql() -> dict[str, str]:
             FROM {VECTORS}""",
         "early_stop_query": f"SELECT vec_id FROM {VECTORS} WHERE {_near(1, CLOSE)} AND {_near(2, CLOSE)}",
         "early_stop_evidence": f"SELECT vec_id FROM {VECTORS} WHERE {_near(1, CLOSE)} AND {_near(2, CLOSE)}",
-        "search_topk": r"""
-            WITH postings AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\pL{5,}')) AS term FROM documents),
-            kept AS (SELECT term FROM postings GROUP BY 1 HAVING count(*) <= greatest(1, 0.1 * (SELECT count(*) FROM documents))),
-            asked AS (SELECT DISTINCT claim_id, unnest(regexp_extract_all(lower(claim), '\pL{5,}')) AS term
-                      FROM claims WHERE claim_id % 20 = 0),
-            scores AS (SELECT claim_id, doc_id, count(*) AS score FROM asked SEMI JOIN kept USING (term) JOIN postings USING (term) GROUP BY ALL)
-            SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
-            FROM scores QUALIFY rank <= 3""",
+        "search_topk": RANKED.format("WHERE claim_id % 20 = 0") + "SELECT * FROM ranked",
+        "verify_claims": RANKED.format("") + VERDICTS,
         "snippet_join_space": joined.format("' '"),
         "snippet_join_para": joined.format("chr(10) || chr(10)"),
         "snippet_parse_keyed": f"""SELECT doc_id, coalesce(nullif(array_to_string(list_filter([
