@@ -274,7 +274,6 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*taken, *arrays], ["record_type", "record_id", "source", *ENDING.names])
 
-    kinds = dict(records.dtypes)
     given = records.select("record_type", "record_id", "source", "text").where(not_blank(F.col("text")))
     schema = T.StructType(
         [
@@ -284,7 +283,6 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             *ENDING.fields,
         ]
     )
-    assert kinds["record_id"]
     return given.mapInArrow(run, schema)
 
 
