@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from verisift.llm.lookalikes import _PY, SUSPECT, looks_like
+from verisift.llm.lookalikes import _PY, SUSPECT_RANGES, looks_like
 from verisift.operators.joins import sized_join
 from verisift.session import cut_lineage
 
@@ -53,7 +53,7 @@ MAX_DOCUMENT_SHARE = 0.1
 #: vocabulary and the space are of the size of a block.
 MAX_ITEMS, BLOCK_ITEMS = 50_000, 2_000
 
-_SUSPECT = re.compile(_PY(SUSPECT[1:-1]).pattern)
+_SUSPECT = _PY(SUSPECT_RANGES)
 _SIGN = re.compile(r"[^\w\s]|_")
 
 

@@ -43,7 +43,9 @@ STYLED = r"\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{212A}\x{212B}\x{1D400}-\x{1D7FF}
 MARKS = r"\x{0300}-\x{034E}\x{0350}-\x{036F}"
 #: Scripts with letters that can pass for Latin ones.
 FOREIGN = r"\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{0530}-\x{058F}\x{13A0}-\x{13FF}\x{1F00}-\x{1FFF}"
-SUSPECT = f"[{INVISIBLE}{SPACES}{HYPHENS}{STYLED}{MARKS}{FOREIGN}]"
+SUSPECT_RANGES = f"{INVISIBLE}{SPACES}{HYPHENS}{STYLED}{MARKS}{FOREIGN}"
+#: The first part lets go of ordinary Latin characters after a look at three ranges instead of thirty.
+SUSPECT = rf"[[^\x00-\x{{009F}}\x{{00A1}}-\x{{00AC}}\x{{00AE}}-\x{{02FF}}]&&[{SUSPECT_RANGES}]]"
 
 # Letters of other scripts with the glyph of a Latin letter.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝүҽ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwye", strict=True))
