@@ -11,6 +11,12 @@ BROADCAST_ROWS = 200_000
 SALT = 16
 
 
+def fits_broadcast(small: DataFrame, broadcast_rows: int | None = None) -> bool:
+    """Whether ``small``, which is counted, has few enough rows to be broadcast."""
+    most = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    return small.limit(most + 1).count() <= most if most >= 0 else False
+
+
 def sized_join(
     large: DataFrame,
     small: DataFrame,
@@ -25,9 +31,7 @@ def sized_join(
     (BROADCAST_ROWS where not given) it is broadcast; beyond, both sides are shuffled on the key and a salt, ``small`` being repeated
     ``salt`` times, so that no key, however hot, has to fit one task. Null keys match nothing.
     """
-    broadcast_rows = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
-    rows = small.limit(broadcast_rows + 1).count()
-    if rows <= broadcast_rows:
+    if fits_broadcast(small, broadcast_rows):
         return large.join(F.broadcast(small), on, how)
     name = "_salt"
     hashed = [large[c] for c, kind in large.dtypes if not kind.startswith(("map", "variant"))]
