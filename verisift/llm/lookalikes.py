@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verisift.operators.joins import sized_join
+from verisift.operators.joins import fits_broadcast, sized_join
 from verisift.session import cut_lineage
 
 # Invisible characters (soft hyphen, joiners, directional marks, fillers, tags).
@@ -214,8 +214,10 @@ def normalize(df: DataFrame, fields: list[str]) -> DataFrame:
         .agg(F.collect_set(F.struct("pos", "canonical")).alias("changes"))
         .select("high", "low", F.map_from_entries("changes").alias("changes"))
     )
+    # Where the changes are broadcast, all rows pass by them; else only rows that may change are shuffled.
     suspect = F.exists(F.array(*suspects), lambda v: v.isNotNull())
-    rewritten = df.where(suspect).select(row.alias("row"))
+    one_pass = fits_broadcast(changes)
+    rewritten = (df if one_pass else df.where(suspect)).select(row.alias("row"))
     for field in fields:
         value = F.col("row").getField(field)
         marked = rewritten.select("row", *_value_hash(F.when(value.rlike(SUSPECT), value)))
@@ -224,7 +226,9 @@ def normalize(df: DataFrame, fields: list[str]) -> DataFrame:
         )
         form = F.when(F.col("changes").isNotNull(), put).otherwise(value)
         rewritten = sized_join(marked, changes, ["high", "low"], "left").select(F.col("row").withField(field, form).alias("row"))
-    return df.where(~suspect).select(row.alias("row")).unionAll(rewritten).select("row.*")
+    if not one_pass:
+        rewritten = df.where(~suspect).select(row.alias("row")).unionAll(rewritten)
+    return rewritten.select("row.*")
 
 
 def _value_hash(value: Column) -> tuple[Column, Column]:
