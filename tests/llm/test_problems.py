@@ -296,6 +296,18 @@ def test_leaks_against_brute_force(spark):
     assert got <= expected and len(got & expected) >= 0.95 * len(expected) and len(expected) > 100
 
 
+def test_hot_leaks_are_found(spark):
+    rng = random.Random(3)
+    rare = vocabulary(rng, 2000)
+    item, other = (" ".join(rng.choice(rare) for _ in range(45)) for _ in range(2))
+    reworked = " ".join(w for i, w in enumerate(item.split()) if i % 4)  # no run of 15 words
+    text = lambda d: (item if d % 6 == 0 else reworked if d % 6 == 3 else "") + " " + " ".join(rng.choice(rare) for _ in range(30))
+    docs = spark.createDataFrame([(d, text(d)) for d in range(120)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id int, text string")
+    found = leakage.find(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(d, 1) for d in range(0, 120, 3)]
+
+
 def test_words_and_subsequences():
     assert leakage.normal_words("The “Fｉeld” — of​ a-b, 4.2!") == ["the", "field", "of", "ab", "42"]
     rng = random.Random(2)

@@ -4,7 +4,8 @@ Method: latent semantic retrieval. The held-out items are cut into passages; the
 document frequencies counted over the whole corpus, gets a randomised SVD from one distributed pass
 (a sketch A'AΩ summed over partitions, then a Nyström decomposition of its small result); windows of
 all documents are projected into the latent space and compared by cosine with all passages, block by
-block; and the candidates are checked by the longest common run and the longest common subsequence of
+block; documents that hold two thirds of an item's words are candidates whatever the frequency of the
+words is; and the candidates are checked by the longest common run and the longest common subsequence of
 words over the whole document. Whether the item's answer stands in the document is reported with it.
 
 The corpus is read once: its words are encoded as numbers of the items' vocabulary and kept in the
@@ -47,8 +48,10 @@ PASSAGE, PASSAGE_STEP = 80, 40
 RANK = 512
 #: Cosine from which a window and a passage are candidates.
 MIN_COSINE = 0.3
-#: Terms in a larger share of the documents have no weight; that of others grows from 0 with their rarity.
-MAX_DOCUMENT_SHARE = 0.1
+#: Least weight of a term, also of one that stands in every document.
+MIN_WEIGHT = 0.1
+#: Items compared at once with a document by the words they share.
+OVERLAP_ITEMS = 256
 #: Largest number of held-out items of one call, and of a block that has its own latent space: both the
 #: vocabulary and the space are of the size of a block.
 MAX_ITEMS, BLOCK_ITEMS = 50_000, 2_000
@@ -89,6 +92,11 @@ def longest_run(document: list[str], item: list[str]) -> int:
     return best
 
 
+def runs_of(words: list[str]) -> set[tuple[str, ...]]:
+    """The runs of MIN_RUN consecutive words."""
+    return set(zip(*(words[i:] for i in range(MIN_RUN)), strict=False))
+
+
 def common_words_in_order(document: list[str], item: list[str]) -> int:
     """Length of the longest common subsequence of words, by bit-parallel dynamic programming."""
     places: dict[str, int] = {}
@@ -128,6 +136,18 @@ class HeldOut:
     def encode(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.codes.get(w, 0) for w in words), self.kind, len(words))
 
+    def overlap_blocks(self) -> list[tuple]:
+        """(first item, terms, items, times, least) of each OVERLAP_ITEMS items: how often each term
+        stands in an item, and the words that make up MIN_SHARE of the item."""
+        blocks = []
+        for at in range(0, len(self.words), OVERLAP_ITEMS):
+            part = self.words[at : at + OVERLAP_ITEMS]
+            rows = [(self.codes[w], i, n) for i, words in enumerate(part) for w, n in Counter(words).items()]
+            terms, items, times = np.array(rows, np.int64).reshape(-1, 3).T
+            least = np.array([max(1, np.ceil(MIN_SHARE * len(words) - 1e-6)) for words in part], np.int64)
+            blocks.append((at, terms, items, times, least))
+        return blocks
+
 
 def held_out_blocks(items: DataFrame, key: str, text: str, answer: str | None = None) -> list[HeldOut]:
     """The items, in blocks of BLOCK_ITEMS in the order of their ids; null ids are left out."""
@@ -179,10 +199,9 @@ def document_frequencies(coded: DataFrame, held: HeldOut) -> tuple[np.ndarray, i
 
 
 def term_weights(counts: np.ndarray, documents: int) -> np.ndarray:
-    """Inverse document frequencies above that of MAX_DOCUMENT_SHARE, at least 0; 0 for no term. In a
-    corpus so small that a single document is a larger share, terms of one document keep a weight."""
-    most = max(MAX_DOCUMENT_SHARE * documents, 1.5)
-    weights = np.maximum(np.log((documents + 1) / (counts + 1)) - np.log((documents + 1) / (most + 1)), 0)
+    """Smoothed inverse document frequencies, at least MIN_WEIGHT, so that no leak, however often it
+    stands in the corpus, takes the weight from its own words; 0 for no term."""
+    weights = np.maximum(np.log((documents + 1) / (counts + 1)), MIN_WEIGHT)
     weights[0] = 0
     return weights.astype(np.float32)
 
@@ -266,8 +285,24 @@ def near_passages(
     return tuple(np.concatenate(found, axis=1))
 
 
+def overlapping(codes: list[np.ndarray], size: int, blocks: list[tuple]) -> np.ndarray:
+    """(documents, items) as two rows: all pairs in which the document holds enough of the item's words to
+    have MIN_SHARE of them in order, whatever the frequency of the words is."""
+    present = [np.unique(c).astype(np.int64) for c in codes]
+    pairs = [np.empty((2, 0), np.int64)]
+    for first, terms, items, times, least in blocks:
+        table = np.zeros((size, len(least)), np.uint16 if least.max() < 30_000 else np.int64)
+        table[terms, items] = times
+        for at, here in enumerate(present):
+            near = np.flatnonzero(np.add.reduce(table[here], axis=0, dtype=table.dtype) >= least)
+            if len(near):
+                pairs.append(np.stack([np.full(len(near), at), near + first]))
+    return np.concatenate(pairs, axis=1)
+
+
 def candidates(coded: DataFrame, held: HeldOut, weights: np.ndarray, space: np.ndarray, points: np.ndarray) -> DataFrame:
-    """(id, item) of the pairs with a window and a passage close in the latent space; item by number."""
+    """(id, item) of the pairs with a window and a passage close in the latent space, and of those that
+    share MIN_SHARE of the item's words; item by number."""
     kind = held.kind
     owner = np.array([i for i, _ in held.passages])
     # By Cauchy and Schwarz a window reaches the cosine only if its terms, with the weight they have in
@@ -278,16 +313,17 @@ def candidates(coded: DataFrame, held: HeldOut, weights: np.ndarray, space: np.n
         bound[terms] = np.maximum(bound[terms], (times * weights[terms]) ** 2)
         lightest = min(lightest, float(((times * weights[terms]) ** 2).sum()) or np.inf)
     least = MIN_COSINE**2 * lightest * 0.999
-    broadcast = coded.sparkSession.sparkContext.broadcast((weights, bound, space, points, owner))
+    broadcast = coded.sparkSession.sparkContext.broadcast((weights, bound, space, points, owner, held.overlap_blocks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bound, space, points, owner = broadcast.value
+        weights, bound, space, points, owner, blocks = broadcast.value
         for batch in batches:
             codes = [np.frombuffer(packed, kind) for packed in batch.column(1).to_pylist()]
             rows, documents = windows(codes)
             heavy = bound[rows].sum(axis=1) >= least
             near, passages = near_passages(rows[heavy], weights, space, points)
-            pairs = np.unique(np.stack([documents[heavy][near], owner[passages]]), axis=1)
+            latent = np.stack([documents[heavy][near], owner[passages]])
+            pairs = np.unique(np.concatenate([latent, overlapping(codes, len(weights), blocks)], axis=1), axis=1)
             taken = batch.column(0).take(pa.array(pairs[0]))
             yield pa.RecordBatch.from_arrays([taken, pa.array(pairs[1])], ["id", "item"])
 
@@ -323,13 +359,17 @@ def _leaks_of_block(documents: DataFrame, key: str, text: str, held: HeldOut, sc
     names = T._parse_datatype_string(schema).names
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times, runs = list(map(Counter, words)), list(map(runs_of, words))
         for batch in batches:
             out: list[tuple] = []
             for at, (value, numbers) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 document = normal_words(value)
-                present = set(document)
+                present, here = set(document), runs_of(document)
                 for number in sorted(set(numbers)):
                     item = words[number]
+                    shared = sum(n for w, n in times[number].items() if w in present)
+                    if shared < MIN_SHARE * len(item) - 1e-6 and here.isdisjoint(runs[number]):
+                        continue  # neither measure can be reached
                     run = longest_run(document, item)
                     share = common_words_in_order(document, item) / len(item)
                     if run >= MIN_RUN or share >= MIN_SHARE:
