@@ -308,6 +308,19 @@ def test_hot_leaks_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(d, 1) for d in range(0, 120, 3)]
 
 
+def test_runs_of_frequent_words_are_found(spark):
+    rng = random.Random(4)
+    common, rare = vocabulary(rng, 30), vocabulary(rng, 2000)
+    run = " ".join(rng.choice(common) for _ in range(15))
+    item = " ".join([*rng.sample(rare, 30), run, *rng.sample(rare, 30)])
+    docs = [(d, " ".join(rng.choice(common) for _ in range(40)) + f" {run if d % 50 == 0 else run[2:]} " + " ".join(rng.choice(common) for _ in range(40))) for d in range(300)]
+    docs += [(900, ""), (901, run[: len(run) // 2]), (902, run[len(run) // 2 :])]
+    docs = spark.createDataFrame(docs, "doc_id int, text string").coalesce(1)
+    items = spark.createDataFrame([(1, item), (2, item), (3, "too short")], "item_id int, text string")
+    found = leakage.find(docs, "doc_id", "text", items, "item_id", "text").collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(d, i) for d in range(0, 300, 50) for i in (1, 2)]
+
+
 def test_words_and_subsequences():
     assert leakage.normal_words("The “Fｉeld” — of​ a-b, 4.2!") == ["the", "field", "of", "ab", "42"]
     rng = random.Random(2)

@@ -4,8 +4,8 @@ Method: latent semantic retrieval. The held-out items are cut into passages; the
 document frequencies counted over the whole corpus, gets a randomised SVD from one distributed pass
 (a sketch A'AΩ summed over partitions, then a Nyström decomposition of its small result); windows of
 all documents are projected into the latent space and compared by cosine with all passages, block by
-block; documents that hold two thirds of an item's words are candidates whatever the frequency of the
-words is; and the candidates are checked by the longest common run and the longest common subsequence of
+block; documents that share a run of words with an item, or hold two thirds of its words, are candidates
+whatever the frequency of the words is; and the candidates are checked by the longest common run and the longest common subsequence of
 words over the whole document. Whether the item's answer stands in the document is reported with it.
 
 The corpus is read once: its words are encoded as numbers of the items' vocabulary and kept in the
@@ -136,6 +136,14 @@ class HeldOut:
     def encode(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.codes.get(w, 0) for w in words), self.kind, len(words))
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, items) of the runs of MIN_RUN words of all items, in the order of the hashes."""
+        hashes = [np.unique(run_hashes(self.encode(words))) for words in self.words]
+        owners = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        return flat[order], owners[order]
+
     def overlap_blocks(self) -> list[tuple]:
         """(first item, terms, items, times, least) of each OVERLAP_ITEMS items: how often each term
         stands in an item, and the words that make up MIN_SHARE of the item."""
@@ -300,9 +308,34 @@ def overlapping(codes: list[np.ndarray], size: int, blocks: list[tuple]) -> np.n
     return np.concatenate(pairs, axis=1)
 
 
+def run_hashes(codes: np.ndarray) -> np.ndarray:
+    """A hash of each run of MIN_RUN consecutive codes, equal for equal runs."""
+    hashes = np.zeros(max(0, len(codes) - MIN_RUN + 1), np.uint64)
+    for i in range(MIN_RUN):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(hashes)].astype(np.uint64)
+    return hashes
+
+
+def sharing_runs(codes: list[np.ndarray], hashes: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """(documents, items) as two rows: all pairs that share a run of MIN_RUN words. ``hashes`` are those of
+    the items' runs in their order, ``owners`` the items; no run of an item has a 0, so none of two documents'
+    words is one."""
+    gap = np.zeros(1, codes[0].dtype)
+    flat = np.concatenate([x for c in codes for x in (c, gap)])
+    document = np.repeat(np.arange(len(codes)), [len(c) + 1 for c in codes])
+    here = run_hashes(flat)
+    first = np.searchsorted(hashes, here)
+    hits = np.flatnonzero(first < len(hashes))
+    hits = hits[hashes[first[hits]] == here[hits]]
+    found = np.unique(np.stack([document[hits], first[hits]]), axis=1)
+    counts = np.searchsorted(hashes, hashes[found[1]], "right") - found[1]
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.stack([np.repeat(found[0], counts), owners[np.repeat(found[1], counts) + nth]])
+
+
 def candidates(coded: DataFrame, held: HeldOut, weights: np.ndarray, space: np.ndarray, points: np.ndarray) -> DataFrame:
     """(id, item) of the pairs with a window and a passage close in the latent space, and of those that
-    share MIN_SHARE of the item's words; item by number."""
+    share a run of MIN_RUN words or MIN_SHARE of the item's words; item by number."""
     kind = held.kind
     owner = np.array([i for i, _ in held.passages])
     # By Cauchy and Schwarz a window reaches the cosine only if its terms, with the weight they have in
@@ -313,17 +346,18 @@ def candidates(coded: DataFrame, held: HeldOut, weights: np.ndarray, space: np.n
         bound[terms] = np.maximum(bound[terms], (times * weights[terms]) ** 2)
         lightest = min(lightest, float(((times * weights[terms]) ** 2).sum()) or np.inf)
     least = MIN_COSINE**2 * lightest * 0.999
-    broadcast = coded.sparkSession.sparkContext.broadcast((weights, bound, space, points, owner, held.overlap_blocks()))
+    broadcast = coded.sparkSession.sparkContext.broadcast((weights, bound, space, points, owner, held.overlap_blocks(), held.runs()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bound, space, points, owner, blocks = broadcast.value
+        weights, bound, space, points, owner, blocks, runs = broadcast.value
         for batch in batches:
             codes = [np.frombuffer(packed, kind) for packed in batch.column(1).to_pylist()]
             rows, documents = windows(codes)
             heavy = bound[rows].sum(axis=1) >= least
             near, passages = near_passages(rows[heavy], weights, space, points)
             latent = np.stack([documents[heavy][near], owner[passages]])
-            pairs = np.unique(np.concatenate([latent, overlapping(codes, len(weights), blocks)], axis=1), axis=1)
+            exact = [overlapping(codes, len(weights), blocks), sharing_runs(codes, *runs)]
+            pairs = np.unique(np.concatenate([latent, *exact], axis=1), axis=1)
             taken = batch.column(0).take(pa.array(pairs[0]))
             yield pa.RecordBatch.from_arrays([taken, pa.array(pairs[1])], ["id", "item"])
 
