@@ -135,6 +135,13 @@ def test_corpus_search(spark):
     assert texts[1] == "alpha bridge tunnel alpha bridge" and texts[2] == texts[3] == NO_RESULT
 
 
+def test_corpus_search_counts_frequent_terms(spark):
+    docs = spark.createDataFrame([(i, "bridge tunnel" if i == 9 else "bridge") for i in range(20)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "bridge tunnel"), (2, "bridge")], "q int, query string")
+    ranked = search.CorpusSearch(docs, "doc_id", "text", 2).ranked(asked, "q", "query").collect()
+    assert sorted((r.q, r["rank"], r.document, r.score) for r in ranked) == [(1, 1, 9, 2), (1, 2, 0, 1), (2, 1, 0, 1), (2, 2, 1, 1)]
+
+
 def test_data_source(spark):
     search.register(spark)
     rows = spark.read.format("websearch").option("queries", '["a", "b"]').option("provider", "serper").load().collect()

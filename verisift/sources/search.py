@@ -187,31 +187,26 @@ class ScriptedSearch:
         return answer
 
 
-#: Letters of a word that counts in a corpus search, and the share of documents beyond which it does not.
-TERM_LETTERS, COMMON_SHARE = 5, 0.1
+#: Letters of a word that counts in a corpus search.
+TERM_LETTERS = 5
 
 
 class CorpusSearch:
     """Search over a table of documents: the ``k`` documents with most of the query's distinct terms.
 
-    Terms are words of at least five letters without case; those in more than a tenth of the documents
-    are left out. The inverted index is built once; a batch of queries is joined to it term by term
-    (broadcast where it is small, else salted) and ranked with a bounded window per query.
+    Terms are words of at least five letters without case, however many documents they stand in. A batch
+    of queries is joined to the postings term by term (broadcast where it is small, else salted), counts
+    are combined before they are shuffled, and ranked with a bounded window per query.
     """
 
-    def __init__(self, documents: DataFrame, key: str, text: str, k: int = 3, common_share: float = COMMON_SHARE) -> None:
+    def __init__(self, documents: DataFrame, key: str, text: str, k: int = 3) -> None:
         self.k = k
         self.texts = documents.select(F.col(key).alias("document"), F.col(text).alias("text"))
-        postings = self.texts.select("document", F.explode(terms(F.col("text"))).alias("term"))
-        total = self.texts.count()
-        counts = postings.groupBy("term").agg(F.count("*").alias("documents"))
-        self.kept = cut_lineage(counts.where(F.col("documents") <= max(1.0, common_share * total)).select("term"))
-        self.postings = postings
+        self.postings = self.texts.select("document", F.explode(terms(F.col("text"))).alias("term"))
 
     def ranked(self, queries: DataFrame, key: str, query: str) -> DataFrame:
         """(key, rank, document, score): the best documents of each query, ties by the smaller document."""
-        asked = queries.select(F.col(key), F.explode(terms(F.col(query))).alias("term"))
-        asked = cut_lineage(asked.join(self.kept, "term", "left_semi"))
+        asked = cut_lineage(queries.select(F.col(key), F.explode(terms(F.col(query))).alias("term")))
         scores = sized_join(self.postings, asked, ["term"]).groupBy(key, "document").agg(F.count("*").alias("score"))
         order = Window.partitionBy(key).orderBy(F.desc("score"), "document")
         return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select(
