@@ -143,6 +143,21 @@ def test_residue(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        *[(t, "error") for t in (
+            "401 Unauthorized", "400 Bad Request", "410 Gone", "Sorry, the page could not be found", "This content isn't available", "We can't find your page",
+            "Please complete the captcha", "404. Page missing", "La página que busca", "Der Inhalt ist nicht da", "One. <b>Oops</b>", "x\n  502 - server",
+        )],
+        ("Insert headline here", "filler"), ("Your headline here", "filler"), ("This page requires script", "script"), ("the TBC> left", "placeholder"),
+        ("Excepteur sint occaecat cupidatat non proident, sunt in culpa", "filler"), ("test testing bla blub test", "filler"),
+    ],
+)
+def test_every_alternative_is_tried(text, kind):
+    assert residue.residue_kind(text) == kind
+
+
 def test_unknown_responses_are_found_by_all_hosts_together(spark):
     rng = random.Random(5)
     rows = [

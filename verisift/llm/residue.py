@@ -78,10 +78,10 @@ KEYBOARD = frozenset("qwerty qwertz azerty asdf asdfg asdfgh zxcv foo bar baz qu
 FILLER_RUN = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
-_START = r"(?:^|(?<=[.!?…])\s+|(?<=\n)|(?<=>))\s*(?:<[a-z0-9]+>\s*)*[«“\"'(*\-–—•\s]*"
+#: Where a phrase that stands as content begins. What it ends with is no letter or digit, as which all phrases begin.
+_START = re.compile(r"(?:^|(?<=[.!?…])\s+|(?<=\n)|(?<=>))\s*(?:<[a-z0-9]+>\s*)*[«“\"'(*\-–—•\s]*", re.IGNORECASE)
 FILLER_PHRASE = re.compile(
-    _START
-    + r"(?:(?:dummy|sample|placeholder|filler|example) (?:paragraph|text|copy|body|content|title|headline)\b"
+    r"(?:(?:dummy|sample|placeholder|filler|example) (?:paragraph|text|copy|body|content|title|headline)\b"
     r"|(?:your|insert|add|enter) (?:text|title|content|copy|headline|article|description)[\w ]{0,20} (?:goes )?here\b"
     r"|your (?:text|title|content|copy|headline) (?:goes|here)|(?:text|content|copy|details?|more) (?:to follow|coming soon|to come)\b"
     r"|coming soon\b|under construction\b|todo: |tbd: |tbc: |fixme|this (?:is a )?(?:placeholder|sample|dummy)"
@@ -92,8 +92,7 @@ FILLER_PHRASE = re.compile(
     re.IGNORECASE,
 )
 ERROR_PHRASE = re.compile(
-    _START
-    + r"(?:(?:http )?(?:error|erreur|fehler) ?:? ?[45]\d\d\b|[45]\d\d(?: [-–—:])? (?:error|not found|forbidden|unauthorized|bad gateway|bad request"
+    r"(?:(?:http )?(?:error|erreur|fehler) ?:? ?[45]\d\d\b|[45]\d\d(?: [-–—:])? (?:error|not found|forbidden|unauthorized|bad gateway|bad request"
     r"|gateway time-?out|internal server error|service (?:temporarily )?unavailable|too many requests|gone)"
     r"|(?:404|403|500|502|503|504)[\s.:-]+(?:page|server|access|file|object|seite|página|la page)\b"
     r"|oops\b|(?:page|file|document|article|resource) not found|not found[.:!]|we can[’']?t find (?:that|the|this|your) page"
@@ -114,8 +113,7 @@ ERROR_PHRASE = re.compile(
     re.IGNORECASE,
 )
 SCRIPT_PHRASE = re.compile(
-    _START
-    + r"(?:(?:(?:please |kindly )|if (?:nothing happens|this (?:page|site) does not load),? )?(?:please )?(?:enable|turn on|switch on|activate|allow|permit|unblock) (?:java ?scripts?|scripts|cookies)|java ?script (?:is|must be|has to be|seems to be|appears to be)"
+    r"(?:(?:(?:please |kindly )|if (?:nothing happens|this (?:page|site) does not load),? )?(?:please )?(?:enable|turn on|switch on|activate|allow|permit|unblock) (?:java ?scripts?|scripts|cookies)|java ?script (?:is|must be|has to be|seems to be|appears to be)"
     r" (?:disabled|turned off|switched off|off|required|not enabled|enabled|needed|blocked)|(?:you|we) (?:need to|must|have to)[\w ]{0,30} (?:java ?script|scripts)"
     r"|(?:this|our|the) (?:app|site|page|website|application)[\w ]{0,20} (?:works (?:only|best) with|requires|needs) (?:java ?script|script|scripts|scripting)"
     r"|your browser (?:does not|doesn[’']t|is|has|must|cannot|blocks)|(?:to (?:view|read|use|continue)[\w ,]{0,40})(?:enable|turn on|allow) (?:java ?script|scripts)"
@@ -124,22 +122,9 @@ SCRIPT_PHRASE = re.compile(
     r"|(?:por favor,? )?(?:active|activa|habilite|habilita|active usted) java ?script|java ?script (?:está|debe estar) |(?:esta|la) (?:página|aplicación) (?:requiere|necesita) (?:java ?script|scripts))",
     re.IGNORECASE,
 )
-# Parts one of which must be present for a detector to be tried; looked for in the lower-case text.
-_MARK_PARTS = re.compile(r"[{$#%@<\[&]|__|\((?:add|insert|enter|your|todo)", re.IGNORECASE)
-_SCRIPT_PARTS = ("javascript", "java script", "scripts", "scripting", "cookies", "browser", "skript")
-_ERROR_PARTS = (
-    "error|erreur|fehler|oops|on line|stack trace|denied|not found|find that|find the|find this|you requested|looking for|permission|forbidden|bad gateway"
-    "|gateway time|unavailable|not available|n’t available|upstream|database|traceback|went wrong|exception|too many|rate limit|expired"
-    "|timed out|you followed|your session|checking|verify|a moment|maintenance|is down|gefunden|verweigert|abgelaufen|anfragen|datenbank"
-    "|dieser inhalt|introuvable|non trouvée|accès|expirée|requêtes|disponible|encontrada|denegado|caducada|expirada|solicitudes|solicitada"
-).split("|")
-_FILLER_PARTS = (
-    "dummy|sample|placeholder|filler|example|goes here|text here|title here|content here|copy here|to follow|coming soon|to come"
-    "|construction|todo:|tbd:|tbc:|fixme|blindtext|platzhalter|beispieltext|text folgt|inhalt folgt|provisoire|fictif|factice|texte d"
-    "|contenu|à venir|remplissage|texte ici|texto|contenido|próximamente"
-).split("|")
-_LOREM_PARTS = ("lorem", "ipsum", "amet", "cillum", "laboris", "irure", "labore", "velit", "veniam", "ullamco", "fugiat", "commodo", "aliqua", "nostrud", "consectetur", "pariatur", "eiusmod")
-_KEYBOARD_PARTS = ("qwert", "asdf", "azerty", "zxcv", "xxx", "blah", "lipsum", "foo ")
+# Signs one of which every mark has.
+_MARK_PARTS = re.compile(r"[{$#%@<>\[&]|__|\((?:add|insert|enter|your|todo)", re.IGNORECASE)
+_FILLER_WORDS = LOREM | KEYBOARD
 _CODE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b|\d[\d.,]*|/\S+", re.IGNORECASE)
 _REQUEST = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{7,}\b|/[\w-]+/\d+", re.IGNORECASE)
 _QUOTED = re.compile(r"[“\"«‘'][^”\"»’'\n]{1,60}[”\"»’']")
@@ -170,14 +155,20 @@ _FIELDS = frozenset(
 )
 
 
-def filler(text: str, low: str) -> bool:
+def begins(text: str, starts: list[int], phrase: re.Pattern) -> bool:
+    """Whether the phrase stands at one of the starts."""
+    return any(phrase.match(text, at) for at in starts)
+
+
+def filler(text: str, low: str, starts: list[int]) -> bool:
     """Whether the text holds a run of filler words, or says that it is filler."""
-    if any(p in low for p in _FILLER_PARTS) and FILLER_PHRASE.search(text):
+    if begins(text, starts, FILLER_PHRASE):
         return True
-    if not any(p in low for p in _LOREM_PARTS) and not any(p in low for p in _KEYBOARD_PARTS):
+    words = _WORD.findall(low)
+    if _FILLER_WORDS.isdisjoint(words):
         return False
     run = keyboard = latin = 0
-    for word in _WORD.findall(low):
+    for word in words:
         if word in LOREM:
             run, latin, keyboard = run + 1, latin + (len(word) > 3), 0
             if run >= FILLER_RUN and latin >= FILLER_RUN - 1:
@@ -200,11 +191,12 @@ def residue_kind(text: str | None) -> str | None:
     low = text.lower()
     if _MARK_PARTS.search(low) and placeholder(text):
         return "placeholder"
-    if filler(text, low):
+    starts = [m.end() for m in _START.finditer(text)]
+    if filler(text, low, starts):
         return "filler"
-    if any(p in low for p in _SCRIPT_PARTS) and SCRIPT_PHRASE.search(text):
+    if begins(text, starts, SCRIPT_PHRASE):
         return "script"
-    return "error" if any(p in low for p in _ERROR_PARTS) and ERROR_PHRASE.search(text) else None
+    return "error" if begins(text, starts, ERROR_PHRASE) else None
 
 
 def terms(text: str | None) -> set[str]:
