@@ -116,6 +116,19 @@ def test_limits_and_forms(spark):
     assert (rate.source, rate.records, rate.cut_records) == ("h.example", 900, len(cut))
 
 
+def test_copies_make_no_line_recur(spark):
+    rng = random.Random(8)
+    whole = [f"The {a} {b} of the {c} was in {d}." for a, b, c, d in ([rng.choice(vocabulary(rng, 9)) for _ in range(4)] for _ in range(60))]
+    cut = "The old harbour of the town was in repa"
+    far = "the " + "word " * 40 + "card of"
+    texts = whole + [cut] * 12 + [f"Number {i} is {w}.\n{far}" for i, w in enumerate(vocabulary(rng, 12))]
+    df = evidence(spark, [(i, None, None, t, None, None, f"s{i % 3}") for i, t in enumerate(texts)])
+    found = {r.record_id for r in truncation.find(as_records(df), WORDS).collect()}
+    assert set(range(60, 72)) <= found, "ten copies of a cut value are as cut as nine"
+    lines = truncation.recurring_lines(*(truncation.endings(as_records(df), WORDS),) * 2).where("recurs").collect()
+    assert [r.same for r in lines] == [12], "a long line of twelve values recurs"
+
+
 def test_truncation_odd_tables(spark):
     assert truncation.find(as_records(evidence(spark, [])), WORDS).count() == 0
     found = {r.record_id for r in truncation.find(as_records(evidence(spark, ODD)), WORDS).collect()}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from hashlib import blake2b
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,8 +36,9 @@ ENCODINGS = ("characters", "utf8", "utf16", "entities", "json", "crlf")
 #: A length is a limit of its source when so many unfinished values have it, and so many times the mean
 #: of the lengths up to SPAN around it.
 LIMIT_VALUES, LIMIT_TIMES, SPAN = 6, 5, 10
-#: Times from which a last line recurs, and by which the line it begins must be more frequent.
-RECURRING, BEGUN = 10, 5
+#: Different values from which a last line recurs, share of the records of the sources where it stands that
+#: they must be, and times by which the line it begins must be more frequent.
+RECURRING, RECURRING_SHARE, BEGUN = 10, 0.001, 5
 #: Times the usual share from which an unfinished form is a finished one of its own (a heading, a card).
 UNUSUAL, UNUSUAL_LEAST = 6.0, 6
 #: First words open no sentence when they open so many times as many unfinished endings as sentences.
@@ -141,6 +143,20 @@ def _opener(text: str) -> str:
     return "^" + _last_word(text.split(None, 1)[0]) if text.strip() else "^"
 
 
+def prefix_hashes(text: str) -> list[int]:
+    """64-bit hashes of the text's beginnings, each a character longer; the last is that of the text."""
+    state, found = blake2b(digest_size=8), []
+    for sign in text:
+        state.update(sign.encode("utf-8", "surrogatepass"))
+        found.append(int.from_bytes(state.copy().digest(), "big", signed=True))
+    return found
+
+
+def text_hash(text: str) -> int:
+    """The last of prefix_hashes."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _last_lines(text: str) -> str:
     """The last line, with the lines before it of which it is the wrapped remainder."""
     lines = text.split("\n")
@@ -241,8 +257,7 @@ def ending(value: str, function_words: frozenset[str]) -> tuple:
         return "field", name, f"{name}#{_value_end(last[2])}", None, None, names, ends, size
     fragment = re.sub(r"\s[-–—|]+$", "", sentences[-1]).strip()
     a, b = skeleton(fragment, function_words)
-    key = " ".join(line.lower().split()) if len(line) <= 160 else None
-    key = None if dots else key
+    key = None if dots else " ".join(line.lower().split())
     return "dots" if dots else "open", a if cased and a != b else "~" + b, _last_word(fragment), _opener(fragment), key, finished, finals, size
 
 
@@ -267,12 +282,14 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             for at, text in enumerate(batch.column("text").to_pylist()):
                 if residue_kind(text) is None:
                     kept.append(at)
-                    rows.append(ending(text, function_words))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(ENDING)
+                    found = ending(text, function_words)
+                    line = found[4]
+                    rows.append((*found, line and text_hash(line), line and text_hash(" ".join(text.lower().split()))))
+            columns = zip(*rows, strict=True) if rows else [[]] * (len(ENDING) + 2)
             taken = [batch.column(name).take(pa.array(kept, pa.int64())) for name in ("record_type", "record_id", "source")]
-            kinds = [pa.string()] * 5 + [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())]
+            kinds = [pa.string()] * 5 + [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())] + [pa.int64()] * 2
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*taken, *arrays], ["record_type", "record_id", "source", *ENDING.names])
+            yield pa.RecordBatch.from_arrays([*taken, *arrays], ["record_type", "record_id", "source", *ENDING.names, "line_key", "value"])
 
     given = records.select("record_type", "record_id", "source", "text").where(not_blank(F.col("text")))
     schema = T.StructType(
@@ -281,6 +298,8 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             T.StructField("record_id", records.schema["record_id"].dataType),
             T.StructField("source", T.StringType()),
             *ENDING.fields,
+            T.StructField("line_key", T.LongType()),  # hash of the line
+            T.StructField("value", T.LongType()),  # hash of the whole value, equal for copies
         ]
     )
     return given.mapInArrow(run, schema)
@@ -306,6 +325,34 @@ def _exploded(ends: DataFrame, column: str, name: str) -> DataFrame:
     return ends.where(F.col(column).isNotNull()).select(F.explode(column).alias(name))
 
 
+def recurring_lines(ends: DataFrame, unsure: DataFrame) -> DataFrame:
+    """(line_key, same, recurs): the different values that end with each last line, copies counted once, and
+    whether they are many for the records of the sources where the line stands."""
+    source = F.struct("record_type", F.coalesce("source", F.lit("")).alias("source")).alias("of")
+    sizes = cut_lineage(ends.select(source).groupBy("of").agg(F.count("*").alias("records")))
+    same = unsure.select("line_key", "value").distinct().groupBy("line_key").agg(F.count("*").alias("same"))
+    stands = sized_join(unsure.select(source, "line_key").distinct(), sizes, ["of"])
+    over = stands.groupBy("line_key").agg(F.sum("records").alias("records"))
+    recurs = (F.col("same") >= RECURRING) & (F.col("same") >= RECURRING_SHARE * F.col("records"))
+    return same.join(over, "line_key").select("line_key", "same", recurs.alias("recurs"))
+
+
+def begun_lines(unsure: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(line_key, longer): the beginnings of recurring lines, with the values of the most frequent one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, same in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = pa.array(prefix_hashes(text)[:-1], pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([same] * len(keys), pa.int64())], ["line_key", "same"])
+
+    texts = sized_join(unsure.select("line_key", "line"), recurring, ["line_key"]).groupBy("line_key").agg(
+        F.max("line").alias("line"), F.max("same").alias("same")
+    )
+    begun = texts.select("line", "same").mapInArrow(run, "line_key bigint, same bigint")
+    return begun.groupBy("line_key").agg(F.max("same").alias("longer"))
+
+
 def judged(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     """(record_type, record_id, source, cut, at_limit) of every value that is not template residue."""
     ends = cut_lineage(endings(records, function_words))
@@ -320,7 +367,7 @@ def judged(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     unsure = sized_join(
         ends.where("state IN ('open', 'dots', 'field')").drop("finished", "final_words"), cut_lineage(by_source), ["record_type", "source"], "left"
     ).select(
-        "record_type", "record_id", "source", "state", "skeleton", "last_word", "opener", "line",
+        "record_type", "record_id", "source", "state", "skeleton", "last_word", "opener", "line", "line_key", "value",
         F.coalesce(at, F.lit(False)).alias("at_limit"),
     )
     unsure = cut_lineage(unsure)
@@ -336,13 +383,9 @@ def judged(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             lambda n: F.array_join(F.slice(tokens, 1, n), " "))).alias("skeleton"), "complete")
         .groupBy("skeleton").agg(F.sum("complete").alias("begun"))
     )
-    forms = unsure.where("state = 'open'").groupBy("skeleton").agg(F.count("*").alias("unfinished"))
-    lines = cut_lineage(unsure.where("line IS NOT NULL").groupBy("line").agg(F.count("*").alias("same")))
-    longer = (
-        lines.where(F.col("same") >= RECURRING)
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("line") - 1), lambda n: F.substring("line", F.lit(1), n))).alias("line"), "same")
-        .groupBy("line").agg(F.max("same").alias("longer"))
-    )
+    forms = unsure.where("state = 'open'").select("skeleton", "value").distinct().groupBy("skeleton").agg(F.count("*").alias("unfinished"))
+    lines = cut_lineage(recurring_lines(ends, unsure.where("line IS NOT NULL")))
+    longer = begun_lines(unsure.where("line IS NOT NULL"), cut_lineage(lines.where("recurs").select("line_key", "same")))
     wanted = unsure.select("skeleton").distinct()
     parent = F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1))), " ")
     parents = starts.select(F.col("skeleton").alias("parent"), F.col("begun").alias("parent_begun"))
@@ -354,14 +397,14 @@ def judged(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     usual = form.where("begun > 0 AND complete = 0 AND size(split(skeleton, ' ')) >= 3").agg(
         (F.sum("unfinished") / F.sum("begun")).alias("share")
     ).collect()[0]["share"] or 0.0
-    first = unsure.where("state = 'open'").groupBy("opener").agg(F.count("*").alias("opens"))
+    first = unsure.where("state = 'open'").select("opener", "value").distinct().groupBy("opener").agg(F.count("*").alias("opens"))
     first = cut_lineage(
         first.join(words.withColumnsRenamed({"last_word": "opener", "seen": "opened"}), "opener", "left").na.fill(0)
     )
     known = cut_lineage(unsure.select("last_word").distinct().join(words, "last_word", "left").na.fill(0))
-    line = cut_lineage(unsure.select("line").distinct().join(lines, "line").join(longer, "line", "left").na.fill(0))
+    line = cut_lineage(lines.join(longer, "line_key", "left").na.fill(0))
     joined = unsure
-    for small, name in ((form, "skeleton"), (known, "last_word"), (first, "opener"), (line, "line")):
+    for small, name in ((form, "skeleton"), (known, "last_word"), (first, "opener"), (line, "line_key")):
         joined = sized_join(joined, small, [name], "left")
     return ends.where("state IN ('whole', 'cut')").select(
         "record_type", "record_id", "source", (F.col("state") == "cut").alias("cut"), F.lit(False).alias("at_limit")
@@ -389,7 +432,7 @@ def unfinished(usual: float) -> Column:
         F.when(F.col("state") == "field", field)
         .when(F.col("state") == "dots", (complete == 0) | (seen == 0))
         .when((longer > 0) & (longer >= BEGUN * same), True)
-        .when(same >= RECURRING, False)
+        .when(F.coalesce("recurs", F.lit(False)), False)
         .when((F.col("state") == "open") & ~F.col("skeleton").contains(" "), True)  # a lone word that is no line of its own
         .otherwise(sentence)
     )
