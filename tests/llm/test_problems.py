@@ -183,6 +183,14 @@ def test_unknown_responses_are_found_by_all_hosts_together(spark):
     assert found == {i: "repeated" for i in range(40)}, "copies of one text, and texts about their address, are none"
 
 
+def test_one_response_at_many_addresses_is_found(spark):
+    text = "Nous revenons bientôt, dossier 0011223344aa archivé."
+    rows = [(i, f"http://h{i % 3}.example/bridge/{i}", "Bridge", text, None, None, f"h{i % 3}") for i in range(8)]
+    rows += [(10 + i, "http://h1.example/mill/x", "Mill", f"Bis morgen, Vorgang {i % 9 + 10:012x} ruht jetzt.", None, None, "h1") for i in range(40)]
+    found = {r.record_id: r.kind for r in residue.find(as_records(evidence(spark, rows))).collect()}
+    assert found == {i: "repeated" for i in range(8)}
+
+
 def test_residue_odd_tables(spark):
     df = evidence(spark, ODD + [(9, None, None, "Lorem ipsum dolor sit amet elit sed.", None, None, None)] * 2)
     found = residue.find(as_records(df))

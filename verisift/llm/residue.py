@@ -28,9 +28,9 @@ from verisift.functions.text import not_blank
 from verisift.operators.joins import sized_join
 from verisift.session import cut_lineage
 
-#: A low-information template is one response served for many addresses when it stands in so many
-#: records, at so many sources, and its codes are others in such a share of the records.
-MIN_RECORDS, MIN_SOURCES, MIN_OTHER = 5, 2, 0.7
+#: A low-information template is one response served for many addresses when it stands at so many
+#: different addresses and at so many sources.
+MIN_ADDRESSES, MIN_SOURCES = 5, 2
 #: Words of a low-information body at most.
 LOW_WORDS = 40
 
@@ -204,8 +204,8 @@ def terms(text: str | None) -> set[str]:
     return {w for w in _WORD.findall((text or "").lower()) if len(w) >= 4}
 
 
-def low_template(text: str | None, url: str | None, title: str | None) -> tuple[str, str] | None:
-    """(masked form, codes) of a body that shares no term with slug and title, is short and holds a
+def low_template(text: str | None, url: str | None, title: str | None) -> str | None:
+    """The masked form of a body that shares no term with slug and title, is short and holds a
     request code, path or long number; else null."""
     if not text or len(text) > 12 * LOW_WORDS or not _REQUEST.search(text):
         return None
@@ -217,12 +217,11 @@ def low_template(text: str | None, url: str | None, title: str | None) -> tuple[
     body = terms(_QUOTED.sub(" ", _CODE.sub(" ", low)))
     if len(body) < 3 or body & (terms(slug) | terms(title)):
         return None
-    form = " ".join(_CODE.sub("0", _QUOTED.sub("0", re.sub(r"</?[a-z0-9]+>", " ", low))).split())
-    return form, " ".join(_CODE.findall(low))
+    return " ".join(_CODE.sub("0", _QUOTED.sub("0", re.sub(r"</?[a-z0-9]+>", " ", low))).split())
 
 
 def examined(records: DataFrame) -> DataFrame:
-    """(record_type, record_id, source, kind, template, codes) of records (record_type, record_id,
+    """(record_type, record_id, source, kind, template, address) of records (record_type, record_id,
     source, url, title, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,35 +232,36 @@ def examined(records: DataFrame) -> DataFrame:
                 None if kind else low_template(t, u, h)
                 for kind, t, u, h in zip(kinds, texts, batch.column("url").to_pylist(), batch.column("title").to_pylist(), strict=True)
             ]
+            # a record without an address is told apart by its title, as that of a search is its query
+            addresses = [u or t for u, t in zip(batch.column("url").to_pylist(), batch.column("title").to_pylist(), strict=True)]
             columns = [batch.column(name) for name in ("record_type", "record_id", "source")]
-            columns += [pa.array(x, pa.string()) for x in (kinds, [f and f[0] for f in forms], [f and f[1] for f in forms])]
-            yield pa.RecordBatch.from_arrays(columns, ["record_type", "record_id", "source", "kind", "template", "codes"])
+            columns += [pa.array(x, pa.string()) for x in (kinds, forms, addresses)]
+            yield pa.RecordBatch.from_arrays(columns, ["record_type", "record_id", "source", "kind", "template", "address"])
 
     kinds = dict(records.dtypes)
     given = records.select("record_type", "record_id", "source", "url", "title", "text").where(not_blank(F.col("text")))
-    schema = f"record_type string, record_id {kinds['record_id']}, source string, kind string, template string, codes string"
+    schema = f"record_type string, record_id {kinds['record_id']}, source string, kind string, template string, address string"
     return given.mapInArrow(run, schema).where("kind IS NOT NULL OR template IS NOT NULL")
 
 
 def find(records: DataFrame) -> DataFrame:
     """(record_type, record_id, kind): the records that are, or hold, template residue; kind 'repeated'
-    stands for a low-information response served for many addresses with ever other codes."""
+    stands for a low-information response served for many addresses, whatever copies there are."""
     seen = cut_lineage(
         examined(records).select(
             "record_type", "record_id", "kind",
-            F.xxhash64("template").alias("form"), F.length("template").alias("size"), F.xxhash64("codes").alias("codes"),
-            F.pmod(F.xxhash64("source"), F.lit(64)).alias("part"),
+            F.xxhash64("template").alias("form"), F.length("template").alias("size"),
+            F.xxhash64("address").alias("address"), F.xxhash64("source").alias("source"),
         )
     )
-    forms = seen.where("kind IS NULL").groupBy("form", "size").agg(
-        F.count("*").alias("records"),
-        F.approx_count_distinct("codes", 0.02).alias("texts"),
-        F.size(F.collect_set("part")).alias("sources"),  # at most 64 parts
-    )
-    many = forms.where(
-        (F.col("records") >= MIN_RECORDS) & (F.col("texts") >= MIN_OTHER * F.col("records")) & (F.col("sources") >= MIN_SOURCES)
-    )
-    repeated = sized_join(seen.where("kind IS NULL"), cut_lineage(many.select("form", "size")), ["form", "size"], "left_semi")
+    low = seen.where("kind IS NULL")
+
+    def different(name: str, least: int) -> DataFrame:
+        distinct = low.select("form", "size", name).distinct().groupBy("form", "size").agg(F.count("*").alias("n"))
+        return distinct.where(F.col("n") >= least).select("form", "size")
+
+    many = different("address", MIN_ADDRESSES).join(different("source", MIN_SOURCES), ["form", "size"])
+    repeated = sized_join(low, cut_lineage(many), ["form", "size"], "left_semi")
     found = seen.where("kind IS NOT NULL").select("record_type", "record_id", "kind").unionAll(
         repeated.select("record_type", "record_id", F.lit("repeated"))
     )
