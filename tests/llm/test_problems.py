@@ -451,6 +451,15 @@ def test_kinds(text, kinds):
     assert quality.measure_text(text, bits, 1)[-1] in kinds
 
 
+def test_repeated_prompts_are_boilerplate():
+    bits = {w: 1 for w in WORDS}
+    one = "Share this page with all of the friends. "
+    five = [f"Click on the {w} to share this in the group of friends." for w in ("blue", "red", "green", "black", "white")]
+    assert quality.measure_text(one * 100, bits, 1)[-1] == "boilerplate"
+    assert quality.measure_text("\n".join(five * 40), bits, 1)[-1] == "boilerplate"
+    assert quality.measure_text(five[0], bits, 1)[-1] == "prose"
+
+
 def test_statistics(spark, data):
     assert rows_of(queries.p8_statistics(spark, data)) == sql_rows(data, queries.oracle_sql()["p8_statistics"])
     words = spark.createDataFrame(COMMON, "lang string, word string")

@@ -1,7 +1,8 @@
 """Problem 8: per-document text quality statistics.
 
 Method: word, symbol, line-end and common-word statistics; repetition statistics on top (shares of
-duplicate lines and paragraphs, share of characters under the dominant pair of words); and combined rules
+duplicate lines and paragraphs, share of characters under the dominant run of 2 to 10 words; sentences that
+are mostly repetition are boilerplate); and combined rules
 that tell lines of running sentences from items of lists, rows of tables and junk. A document is not
 prose when more than half of its characters belong to such lines.
 
@@ -110,6 +111,25 @@ def top_bigram(words: list[str], chars: int) -> float:
     return min(1.0, count * longest / chars)
 
 
+def covered(words: list[str], chars: int) -> float:
+    """Largest share of the text's characters under the places of its most frequent run of 2 to 10 words."""
+    best = 0.0
+    for n in range(2, 11):
+        runs = list(zip(*(words[i:] for i in range(n)), strict=False))
+        counts = Counter(runs)
+        top = max(counts.values(), default=0)
+        if top < 2:
+            break  # longer runs are no more frequent
+        run = max((r for r, c in counts.items() if c == top), key=lambda r: sum(map(len, r)))
+        marked, end = 0, 0
+        for at, here in enumerate(runs):
+            if here == run:
+                marked += sum(map(len, words[max(at, end) : at + n]))
+                end = at + n
+        best = max(best, marked / chars)
+    return best
+
+
 def measure_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
     """The statistics of one text, in the order of STATISTICS.
 
@@ -137,8 +157,9 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
     twice = sum((c - 1) * len(x) for x, c in repeats.items() if c > 1) / chars
     paragraphs = Counter(p for p in _PARAGRAPH.split(text) if p.strip())
     top = top_bigram(words, solid)
-    if top > 0.5 or (twice > 0.6 and len(repeats) < 4):
-        share = 0.0
+    again = sum((c - 1) * len(x) for x, c in paragraphs.items() if c > 1) / len(text)
+    repeated = top > 0.5 or twice > 0.6 or again > 0.6 or covered(words, solid) > 0.5
+    running, share = share >= 0.5, 0.0 if repeated else share
     return (
         len(words),
         solid / len(words),
@@ -146,10 +167,10 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
         sum(1 for x in lines if _END.search(x[-12:].rstrip())) / len(lines),
         _most(hits, languages) / len(words),
         twice,
-        sum((c - 1) * len(x) for x, c in paragraphs.items() if c > 1) / len(text),
+        again,
         top,
         share,
-        "prose" if share >= 0.5 else _kind(lines, marks),
+        "prose" if share >= 0.5 else "boilerplate" if running else _kind(lines, marks),
     )
 
 
