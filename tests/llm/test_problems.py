@@ -451,6 +451,10 @@ def test_kinds(text, kinds):
     assert quality.measure_text(text, bits, 1)[-1] in kinds
 
 
+def test_ends_of_padded_lines():
+    assert quality.measure_text("The end of a line." + " " * 40 + "\nx", {"the": 1}, 1)[3] == 0.5
+
+
 def test_repeated_prompts_are_boilerplate():
     bits = {w: 1 for w in WORDS}
     one = "Share this page with all of the friends. "

@@ -71,7 +71,7 @@ def line_is_prose(line: str, words: list[str], common: int) -> bool | None:
         odd = [w for w in words if not w.isalnum()]
         if len(odd) > 0.12 * n + 0.5 and sum(1 for w in odd if not _CLEAN.fullmatch(w)) > 0.12 * n + 0.5:
             return False
-    ended = bool(_END.search(line[-12:].rstrip()))
+    ended = bool(_END.search(line.rstrip()[-12:]))
     if not (ended and common >= 0.15 * n and n >= 8) and _ROW.search(line.strip()):
         return False
     if common < max(0.1 * n, 1) and _GAPS.search(line.strip()):
@@ -95,7 +95,7 @@ def prose_characters(lines: list[str], marks: list[bool | None]) -> int:
     for line, mark in zip(lines, marks, strict=True):
         if mark is None:
             mark = before and not _ITEM.match(line) and not _PAIR.match(line)
-        before = mark and not _END.search(line[-12:].rstrip())
+        before = mark and not _END.search(line.rstrip()[-12:])
         if mark:
             total += len(line)
     return total
@@ -164,7 +164,7 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
         len(words),
         solid / len(words),
         len(_SYMBOL.findall(text)) / len(text),
-        sum(1 for x in lines if _END.search(x[-12:].rstrip())) / len(lines),
+        sum(1 for x in lines if _END.search(x.rstrip()[-12:])) / len(lines),
         _most(hits, languages) / len(words),
         twice,
         again,
