@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift.operators import evidence
-from verisift.operators.joins import sized_join
+from verisift.operators.joins import fits_broadcast, hot_keys, sized_join
+from verisift.session import ensure_checkpoint_dir
 
 
 def test_ingest(spark):
@@ -43,11 +44,40 @@ def test_usage(spark):
 def test_sized_join_gives_the_same_either_way(spark, how, rows):
     large = spark.createDataFrame([(i % 5, str(i)) for i in range(40)] + [(None, "n")], "k int, v string")
     small = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c"), (None, "z")], "k int, w string")
-    got = sized_join(large, small, ["k"], how, broadcast_rows=rows, salt=4)
+    got = sized_join(large, small, ["k"], how, broadcast_rows=rows, key_rows=3)
     want = large.join(small, ["k"], how)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
 
 
+def test_hot_keys_are_spread_by_their_rows(spark):
+    large = spark.range(1000).selectExpr("CASE WHEN id % 10 < 3 THEN NULL WHEN id % 10 < 7 THEN 0 ELSE id END k", "'same' v")
+    assert [(r.k, r.tasks) for r in hot_keys(large, ["k"], 50).collect()] == [(0, 8)], "400 rows in portions of 50"
+    joined = sized_join(large, spark.createDataFrame([(0, "a"), (7, "b")], "k bigint, w string"), ["k"], "left", broadcast_rows=0, key_rows=50)
+    assert joined.count() == 1000 and joined.where("w = 'a'").count() == 400 and joined.where("w = 'b'").count() == 1
+    exchanges = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in exchanges and "_salt" in exchanges
+
+
+def test_a_side_of_few_rows_but_many_bytes_is_not_broadcast(spark):
+    small = spark.createDataFrame([(1, {"a": "x" * 5000, "b": None}, ["y" * 5000], (None, b"z"))], "k int, m map<string,string>, a array<string>, s struct<i: int, b: binary>")
+    assert fits_broadcast(small) and not fits_broadcast(small, broadcast_bytes=10_000) and fits_broadcast(small, broadcast_bytes=11_000)
+    assert not fits_broadcast(small, broadcast_rows=0) and fits_broadcast(small.limit(0), broadcast_rows=0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(dict)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session)
+
+
 def test_defense(spark):
     from verisift.operators import defense
 

@@ -78,7 +78,10 @@ def final_answer_of(output: str | None) -> str | None:
 
 
 def _row(output: str | None) -> tuple:
-    found = read_object(output)
+    try:
+        found = read_object(output)
+    except (RecursionError, ValueError):  # nested too deeply, or a number of too many digits
+        found = None
     if found is None:
         return None, False, None, False, None
     answer, query = found.get(ANSWER_KEY), found.get(QUERY_KEY)

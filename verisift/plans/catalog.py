@@ -297,9 +297,8 @@ READ = """(SELECT *, object ->> '$.final_answer' AS said, object ->> '$.search_q
 #: The corpus search, and the default rule over what it finds.
 RANKED = r"""
     WITH postings AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\pL{{5,}}')) AS term FROM documents),
-    kept AS (SELECT term FROM postings GROUP BY 1 HAVING count(*) <= greatest(1, 0.1 * (SELECT count(*) FROM documents))),
     asked AS (SELECT DISTINCT claim_id, unnest(regexp_extract_all(lower(claim), '\pL{{5,}}')) AS term FROM claims {}),
-    scores AS (SELECT claim_id, doc_id, count(*) AS score FROM asked SEMI JOIN kept USING (term) JOIN postings USING (term) GROUP BY ALL),
+    scores AS (SELECT claim_id, doc_id, count(*) AS score FROM asked JOIN postings USING (term) GROUP BY ALL),
     ranked AS (SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
                FROM scores QUALIFY rank <= 3)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -25,6 +27,7 @@ def get_spark(cpus: str = "*", app: str = "verisift", **conf: str) -> SparkSessi
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.speculation", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -41,13 +44,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where it is unset, as in tests,
-    fall back to a folder of this machine."""
+    """Use the shared folder named in spark.checkpoint.dir. Where it is unset, a local session, as in tests,
+    gets a folder of this machine that is deleted at its end; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="verisift-")).as_uri())
+    if not named:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = Path(tempfile.mkdtemp(prefix="verisift-"))
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = folder.as_uri()
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -63,7 +72,9 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_verisift_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="verisift-")) / "verisift.zip"
+    folder = Path(tempfile.mkdtemp(prefix="verisift-"))  # of the driver, from which Spark takes it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "verisift.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent).as_posix())

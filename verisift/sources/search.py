@@ -12,6 +12,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -191,26 +192,51 @@ class ScriptedSearch:
 TERM_LETTERS = 5
 
 
+#: Terms of the queries that are compared with all documents in one pass, and bytes of a batch's scores.
+BLOCK_TERMS, SCORE_BYTES = 200_000, 8 << 20
+
+
 class CorpusSearch:
     """Search over a table of documents: the ``k`` documents with most of the query's distinct terms.
 
-    Terms are words of at least five letters without case, however many documents they stand in. A batch
-    of queries is joined to the postings term by term (broadcast where it is small, else salted), counts
-    are combined before they are shuffled, and ranked with a bounded window per query.
+    Terms are words of at least five letters without case, however many documents they stand in; they are
+    compared by a hash of 64 bits. The documents' terms are cut once, by the first search. Each block of
+    queries, of at most about BLOCK_TERMS terms, is broadcast and scored against every document where the
+    document is; what is shuffled is the ``k`` best documents of each query in each task, never the
+    pairs of queries and documents. Documents without an id are left out; each row is a document.
     """
 
     def __init__(self, documents: DataFrame, key: str, text: str, k: int = 3) -> None:
         self.k = k
         self.texts = documents.select(F.col(key).alias("document"), F.col(text).alias("text"))
-        self.postings = self.texts.select("document", F.explode(terms(F.col("text"))).alias("term"))
+        self._postings: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """(document, terms): hashes of each document's distinct terms, cut."""
+        if self._postings is None:
+            hashed = self.texts.select("document", term_hashes(F.col("text")).alias("terms"))
+            self._postings = cut_lineage(hashed.where((F.size("terms") > 0) & F.col("document").isNotNull()))
+        return self._postings
 
     def ranked(self, queries: DataFrame, key: str, query: str) -> DataFrame:
-        """(key, rank, document, score): the best documents of each query, ties by the smaller document."""
-        asked = cut_lineage(queries.select(F.col(key), F.explode(terms(F.col(query))).alias("term")))
-        scores = sized_join(self.postings, asked, ["term"]).groupBy(key, "document").agg(F.count("*").alias("score"))
-        order = Window.partitionBy(key).orderBy(F.desc("score"), "document")
-        return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select(
-            key, "rank", "document", "score"
+        """(key, rank, document, score): the best documents of each query, ties by the smaller document. Null
+        queries and those without a term have none; queries of one key count as one."""
+        asked = cut_lineage(queries.select(F.col(key).alias("query"), F.explode(term_hashes(F.col(query))).alias("term")).distinct())
+        blocks = -(-asked.count() // BLOCK_TERMS)
+        schema = f"query {dict(asked.dtypes)['query']}, document {dict(self.texts.dtypes)['document']}, score bigint"
+        best = queries.sparkSession.createDataFrame([], schema)
+        for block in range(blocks):
+            part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+            shared = queries.sparkSession.sparkContext.broadcast(_by_term(part.toArrow()))  # a block
+            found = self.postings.mapInArrow(_best_of_task(shared, self.k), schema)
+            if blocks > 1:  # so that one block at a time is held
+                found = cut_lineage(found)
+                shared.destroy()
+            best = best.unionAll(found)
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "document")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select(
+            F.col("query").alias(key), "rank", "document", "score"
         )
 
     def search(self, queries: DataFrame, key: str, query: str) -> DataFrame:
@@ -232,6 +258,80 @@ def terms(text):
     return F.array_distinct(words)
 
 
+def term_hashes(text):
+    """Hashes of the distinct terms; null for null."""
+    return F.transform(terms(text), lambda t: F.xxhash64(t))
+
+
+def _by_term(asked: pa.Table) -> tuple:
+    """Of (query, term): the queries, the terms in order, where the queries of each begin and end, and their
+    numbers in the order of the terms."""
+    coded = asked.column("query").combine_chunks().dictionary_encode()
+    numbers, hashes = coded.indices.to_numpy(zero_copy_only=False), asked.column("term").to_numpy()
+    order = np.lexsort((numbers, hashes))
+    vocabulary, starts = np.unique(hashes[order], return_index=True)
+    return coded.dictionary, vocabulary, starts, np.append(starts[1:], len(order)), numbers[order]
+
+
+def _best_of_task(shared: Any, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches of (document, terms) that gives (query, document, score) of the ``k`` best
+    documents in a task for each query of a block (as of _by_term, broadcast)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vocabulary, starts, ends, owners = shared.value
+        documents, kind = [], None
+        scores, places = np.zeros((len(names), k), np.int32), np.full((len(names), k), -1)
+        rows = max(1, SCORE_BYTES // (4 * len(names)))
+        for batch in batches:
+            kind = batch.column(0).type
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                first = len(documents)
+                documents += part.column(0).to_pylist()
+                found = _scores(part.column(1), vocabulary, starts, ends, owners, len(names))
+                scores, places = _merged(scores, places, found, first, documents, k)
+        if kind is None:
+            return
+        query, nth = np.nonzero(scores)
+        taken = pa.array([documents[p] for p in places[query, nth]], kind)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(query)), taken, pa.array(scores[query, nth], pa.int64())], ["query", "document", "score"])
+
+    return run
+
+
+def _scores(terms: pa.Array, vocabulary: np.ndarray, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray, queries: int) -> np.ndarray:
+    """How many of a query's terms each document has, as a matrix of queries and documents."""
+    flat = terms.flatten().to_numpy(zero_copy_only=False)
+    document = np.repeat(np.arange(len(terms)), terms.value_lengths().to_numpy(zero_copy_only=False))
+    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+    known = vocabulary[at] == flat
+    at, document = at[known], document[known]
+    counts = ends[at] - starts[at]
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    query = owners[np.repeat(starts[at], counts) + nth]
+    cells = np.bincount(query * len(terms) + np.repeat(document, counts), minlength=queries * len(terms))
+    return cells.reshape(queries, len(terms))
+
+
+def _merged(scores: np.ndarray, places: np.ndarray, found: np.ndarray, first: int, documents: list, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of what was best so far and of the documents from number ``first`` on; ties by the
+    smaller document."""
+    kept = np.unique(places[places >= 0])
+    present = np.concatenate([kept, np.arange(first, len(documents))])
+    order = sorted(range(len(present)), key=lambda i: documents[present[i]])
+    rank = np.empty(len(present), np.int64)
+    rank[order] = np.arange(len(present))
+    of = lambda p: rank[np.searchsorted(present, p)]
+    width = len(present) + 1
+    before = np.where(places >= 0, scores * np.int64(width) - of(np.maximum(places, present[0])), 0)
+    now = np.where(found > 0, found * np.int64(width) - of(np.arange(first, len(documents))), 0)
+    keys = np.concatenate([before, now], axis=1)
+    numbers = np.concatenate([places, np.broadcast_to(np.arange(first, len(documents)), found.shape)], axis=1)
+    best = np.argpartition(-keys, k - 1, axis=1)[:, :k]
+    keys, numbers = np.take_along_axis(keys, best, 1), np.take_along_axis(numbers, best, 1)
+    return np.where(keys > 0, -(-keys // width), 0).astype(np.int32), np.where(keys > 0, numbers, -1)
+
+
 class WebSearchSource(DataSource):
     """Data source ``websearch``: options ``queries`` (a JSON list), ``provider``, ``k`` and ``postamble``;
     one partition, so one request at a time, for each query. Read it once and write it: reading again
