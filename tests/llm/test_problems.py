@@ -191,6 +191,37 @@ def test_one_response_at_many_addresses_is_found(spark):
     assert found == {i: "repeated" for i in range(8)}
 
 
+PROSE = (
+    "The old bridge was opened in spring by the mayor. Farmers carried grain across it every autumn. A storm damaged two arches, "
+    "and masons repaired them slowly. Merchants paid tolls in copper coins. Children fished from the northern bank. {} "
+    "Later engineers widened the roadway with timber. Painters loved its reflection at dusk. Records mention seven floods. "
+    "Travellers praised nearby inns for their soup. Today visitors photograph its weathered stones."
+)
+SPOKEN = (
+    "Your session with the counsellor lasts an hour.", "Your browser is the window to the web.", "The upstream server of the mill was rebuilt in 1850.",
+    "JavaScript is required reading for the course.", "Coming soon to the city is a new tram line.", "Oops was the title of the 1999 album.",
+    "Please enable cookies to cool before serving.", "JavaScript ist eine Sprache.",
+)
+
+
+def test_prose_that_begins_like_a_message_is_kept(spark):
+    texts = [PROSE.format(s) for s in SPOKEN] + [PROSE.format("Something went wrong at the third arch."), PROSE.format("Too many requests came for the mill.")]
+    rows = [(i, f"http://h.example/x{i}", "Weathered stones", t, None, None, f"h{i}") for i, t in enumerate(texts)]
+    assert residue.find(as_records(evidence(spark, rows))).count() == 0
+    repeated = [(i, f"http://h{i}.example/x", "Stones", PROSE.format("Something went wrong (code 1234567).") + f" Number {i}.", None, None, f"h{i}") for i in range(6)]
+    found = {r.record_id: r.kind for r in residue.find(as_records(evidence(spark, repeated))).collect()}
+    assert found == dict.fromkeys(range(6), "error"), "a message that stands in many texts of many hosts"
+
+
+def test_a_page_without_codes_on_many_hosts_is_found(spark):
+    page = "We will be back soon with better service for everyone here.\n" + "Contact your local office meanwhile. " * 40
+    rows = [(i, f"http://h{i}.example/bridge/old-{i}", f"Bridge {i}", page, None, None, f"h{i}") for i in range(100)]
+    copies = [(200 + i, f"http://h{i}.example/bridge/o{i}", "Old kiln", "The kiln of the town was sold in winter.", None, None, f"h{i}") for i in range(60)]
+    few = [(300 + i, f"http://h{i}.example/dam/o{i}", "Dam", "A harvest of the valley was sold in winter.", None, None, f"h{i}") for i in range(12)]
+    found = {r.record_id: r.kind for r in residue.find(as_records(evidence(spark, rows + copies + few))).collect()}
+    assert found == dict.fromkeys(range(100), "repeated"), "copies that fit their title, or stand at few sources, are none"
+
+
 def test_residue_odd_tables(spark):
     df = evidence(spark, ODD + [(9, None, None, "Lorem ipsum dolor sit amet elit sed.", None, None, None)] * 2)
     found = residue.find(as_records(df))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verisift.functions.text import not_blank
-from verisift.llm.residue import residue_kind
+from verisift.llm.residue import local_kind
 from verisift.operators.joins import sized_join
 from verisift.session import cut_lineage
 
@@ -274,13 +274,14 @@ def _value_end(value: str) -> str:
 
 def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     """(record_type, record_id, source, fields of ENDING) of records (record_type, record_id, source,
-    text) that are not template residue."""
+    url, title, text) that are not template residue by their own signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kept = [], []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                if residue_kind(text) is None:
+            columns = (batch.column(name).to_pylist() for name in ("text", "url", "title"))
+            for at, (text, url, title) in enumerate(zip(*columns, strict=True)):
+                if local_kind(text, url, title) is None:
                     kept.append(at)
                     found = ending(text, function_words)
                     line = found[4]
@@ -291,7 +292,7 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*taken, *arrays], ["record_type", "record_id", "source", *ENDING.names, "line_key", "value"])
 
-    given = records.select("record_type", "record_id", "source", "text").where(not_blank(F.col("text")))
+    given = records.select("record_type", "record_id", "source", "url", "title", "text").where(not_blank(F.col("text")))
     schema = T.StructType(
         [
             T.StructField("record_type", T.StringType()),
