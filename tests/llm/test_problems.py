@@ -116,6 +116,52 @@ def test_limits_and_forms(spark):
     assert (rate.source, rate.records, rate.cut_records) == ("h.example", 900, len(cut))
 
 
+def test_limits_explain_each_other(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        words = " ".join(rng.choice(vocabulary(rng, 5)) for _ in range(60))
+        text = words[:150] + ("\n" if i % 2 else " ") + words[151:]
+        text = "é" * (1 + i % 4) + "&" + text if i % 3 == 0 else text
+        cut_at = 204 if i % 3 == 0 else 200  # by the bytes of one source, the characters of the other
+        source = "b" if i % 3 == 0 else "c"
+        rows.append((i, None, None, text.encode()[: cut_at - 1].decode() + "x" if source == "b" else text[: cut_at - 1] + "x", None, None, source))
+    found = truncation.limits_of_sources(as_records(evidence(spark, rows)), WORDS).collect()
+    assert sorted((r.source, r.encoding, r.length) for r in found) == [("b", "utf8", 204), ("c", "characters", 200)]
+
+
+def test_marks_and_dots_at_a_limit(spark):
+    assert truncation.ending("The mill was (…)", WORDS)[0] == "cut"
+    whole = [f"The mill of the town was built in {y}." for y in range(1700, 1900)]
+    cut = [("The mill of the town was built in 1850. " * 3)[: 97 - len(str(i))] + str(i) for i in range(50)]
+    dots = ["The mill of the town was built in 1850. " * 2 + "x" * 4 + "w" * 5 + " 1850...", "The mill of the town was built in 1850..."]
+    rows = [(i, None, None, t, None, None, "s") for i, t in enumerate(whole + cut + dots)]
+    assert len(dots[0]) == 97
+    found = {r.record_id for r in truncation.find(as_records(evidence(spark, rows)), WORDS).collect()}
+    assert 250 in found and 251 not in found and not found & set(range(200))
+
+
+def test_long_sentences_and_deep_structures(spark):
+    sentence = "The mill of " + "a town was in the " * 10_000 + "end"
+    deep = '[{"a":' * 10_000
+    rows = [(1, None, None, sentence + ".", None, None, "s"), (2, None, None, sentence[:-2], None, None, "s"), (3, None, None, deep, None, None, "s")]
+    rows += [(4, None, None, deep + "1" + "}]" * 10_000, None, None, "s")]
+    import time
+
+    began = time.monotonic()
+    found = {r.record_id for r in truncation.find(as_records(evidence(spark, rows)), WORDS).collect()}
+    assert found == {2, 3} and time.monotonic() - began < 60
+
+
+def test_beginnings_of_forms(spark):
+    wanted = [truncation.chained(x)[-1] for x in ("A was", "A was in", "A was in 0", "w the")]
+    sentences = ["A was in 0"] * 3 + ["A was w"] * 2 + ["#A was in"]
+    ends = spark.createDataFrame([([s],) for s in sentences], "finished array<string>")
+    forms = spark.createDataFrame([(w,) for w in wanted], "form bigint")
+    got = {r.form: (r.complete, r.begun) for r in truncation.forms_of_sentences(ends, forms).collect()}
+    assert got == {wanted[0]: (0, 5), wanted[1]: (0, 3), wanted[2]: (3, 0)}
+
+
 def test_copies_make_no_line_recur(spark):
     rng = random.Random(8)
     whole = [f"The {a} {b} of the {c} was in {d}." for a, b, c, d in ([rng.choice(vocabulary(rng, 9)) for _ in range(4)] for _ in range(60))]

@@ -47,6 +47,10 @@ def p2_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(records(spark, sf), function_words(spark, sf))
 
 
+def p2_limits(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.limits_of_sources(records(spark, sf), function_words(spark, sf))
+
+
 def p3_residue(spark: SparkSession, sf: str) -> DataFrame:
     return residue.find(records(spark, sf))
 
@@ -128,7 +132,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_normalized, p2_found, p2_rates, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
+        p1_found, p1_normalized, p2_found, p2_rates, p2_limits, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
         p6_found, p6_leaks, p6_leaked_items, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics,
     )}
 

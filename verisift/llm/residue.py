@@ -285,9 +285,12 @@ def examine(text: str | None, url: str | None, title: str | None) -> Examined |
 
 
 def local_kind(text: str | None, url: str | None, title: str | None) -> str | None:
-    """The kind of a record that is residue by its own signs, without those of other records; else null."""
+    """The kind of a record that is residue by its own signs, without those of other records; else null. A message
+    beside which the body says little is taken for residue here, whatever address and title are."""
     found = examine(text, url, title)
-    return found.kind if found and found.points >= POINTS else None
+    if found is None or found.kind is None:
+        return None
+    return found.kind if found.points + MISMATCH * (not found.mismatch) >= POINTS else None
 
 
 def examined(records: DataFrame) -> DataFrame:

@@ -2,16 +2,20 @@
 
 Method: the length of every value is recomputed under several encodings (characters, UTF-8, UTF-16, with
 entities, escaped for JSON, with CRLF line ends) and counted per source and encoding: a length at which
-far more unfinished values lie than around it is a hidden limit of the source. Then the endings are
-inspected: marks of a cut, open structures, and unfinished last sentences. What a finished ending looks
-like is learned from the endings of all values: skeletons of sentences that end with a full stop, words
-that end sentences, last lines that recur, and names and values of list fields.
-
-Values are read once, in Arrow batches; what follows works on their endings. All counts are combined on
-the map side; the learned tables are joined to the few unfinished values through size-checked joins.
+far more unfinished values lie than around it is a hidden limit of the source, unless a stronger limit of
+the source explains it, as the same values have both lengths. Then the endings are inspected: marks of a
+cut, open structures, and unfinished last sentences. An ending that is open is a cut where the value has the
+length of a hidden limit and does not end in a line that recurs. What a finished ending looks like is
+learned from the endings of all values: skeletons of sentences that end with a full stop, words that end
+sentences, last lines that recur, and names and values of list fields.
+
+Values are read once, in Arrow batches; what follows works on their endings. Skeletons are compared by
+chained hashes of their words, so that all beginnings of one take as much work as its length. All counts are
+combined on the map side; the learned tables are joined to the few unfinished values through size-checked
+joins.
 
 Defined results for odd input: null, empty and blank values are no cases and count in no rate; values of
-a source without a limit are judged by their ending alone; equal ids are judged row by row and reported
+a source without a limit are judged by their ending alone; null sources count as the empty one; equal ids are judged row by row and reported
 once; extra columns are ignored, whatever their names. Work is linear in the length of a value.
 """
 
@@ -19,8 +23,9 @@ from __future__ import annotations
 
 import json
 import re
-from hashlib import blake2b
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +41,8 @@ ENCODINGS = ("characters", "utf8", "utf16", "entities", "json", "crlf")
 #: A length is a limit of its source when so many unfinished values have it, and so many times the mean
 #: of the lengths up to SPAN around it.
 LIMIT_VALUES, LIMIT_TIMES, SPAN = 6, 5, 10
+#: Share of a limit's values that have the length of a stronger one, from which that explains it.
+EXPLAINED = 0.6
 #: Different values from which a last line recurs, share of the records of the sources where it stands that
 #: they must be, and times by which the line it begins must be more frequent.
 RECURRING, RECURRING_SHARE, BEGUN = 10, 0.001, 5
@@ -70,7 +77,9 @@ _FIELD = re.compile(r"^\s*([^:=]{1,40}?)\s*[:=]\s*(.*?)\s*$", re.DOTALL)
 ENDING = T.StructType(
     [
         T.StructField("state", T.StringType()),  # whole, cut, field, dots, open
-        T.StructField("skeleton", T.StringType()),
+        T.StructField("tokens", T.IntegerType()),  # of the skeleton
+        T.StructField("form", T.LongType()),  # hash of the skeleton
+        T.StructField("parent", T.LongType()),  # of the skeleton without its last word
         T.StructField("last_word", T.StringType()),
         T.StructField("opener", T.StringType()),
         T.StructField("line", T.StringType()),
@@ -143,6 +152,27 @@ def _opener(text: str) -> str:
     return "^" + _last_word(text.split(None, 1)[0]) if text.strip() else "^"
 
 
+@lru_cache(maxsize=1 << 16)
+def text_hash(text: str) -> int:
+    """64 bits that stand for a text, as prefix_hashes gives last."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def chained(skeleton: str) -> list[int]:
+    """Hashes of the beginnings of a skeleton, each a word longer; the last is that of the skeleton."""
+    state, found = 0, []
+    for word in skeleton.split(" "):
+        state = (state * 0x9E3779B97F4A7C15 + text_hash(word)) & 0xFFFFFFFFFFFFFFFF
+        found.append(state - (state >> 63 << 64))
+    return found
+
+
+def _form(skeleton: str) -> tuple[int, int, int | None]:
+    """(tokens, form, parent) of a skeleton."""
+    chain = chained(skeleton)
+    return len(chain), chain[-1], chain[-2] if len(chain) > 1 else None
+
+
 def prefix_hashes(text: str) -> list[int]:
     """64-bit hashes of the text's beginnings, each a character longer; the last is that of the text."""
     state, found = blake2b(digest_size=8), []
@@ -152,11 +182,6 @@ def prefix_hashes(text: str) -> list[int]:
     return found
 
 
-def text_hash(text: str) -> int:
-    """The last of prefix_hashes."""
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
 def _last_lines(text: str) -> str:
     """The last line, with the lines before it of which it is the wrapped remainder."""
     lines = text.split("\n")
@@ -179,7 +204,7 @@ def _json_state(text: str) -> str | None:
     try:
         _, end = json.JSONDecoder().raw_decode(text)
         return "whole" if not text[end:].strip() else None
-    except ValueError:
+    except (ValueError, RecursionError):  # broken, or nested too deeply to be read
         pass
     return "cut" if text[-1] not in "]}" or text.count("{") > text.count("}") else "whole"
 
@@ -204,7 +229,7 @@ def ending(value: str, function_words: frozenset[str]) -> tuple:
     size = lengths(value)
 
     def judged(state: str) -> tuple:
-        return state, None, None, None, None, None, None, size if state == "cut" else None
+        return state, *[None] * 8, size if state == "cut" else None
 
     if not flat:
         return judged("whole")
@@ -216,7 +241,7 @@ def ending(value: str, function_words: frozenset[str]) -> tuple:
     if _CLOSED_TAG.search(text) or _SYMBOL_END.search(text):
         return judged("whole")
     if text.endswith("(…)"):
-        return judged("whole")
+        return judged("whole" if _ENDED.search(text[:-3].rstrip()) else "cut")
     mark = _MARKED.search(text)
     dots = bool(mark) and bool(_DOTS.search(text))
     if mark and not dots:
@@ -238,27 +263,27 @@ def ending(value: str, function_words: frozenset[str]) -> tuple:
         finished += [a, "~" + b] if cased and a != b else ["~" + b]
         finals += [_last_word(s), _opener(s)]
     if ended:
-        return "whole", None, None, None, None, finished, finals, None
+        return "whole", *[None] * 6, finished, finals, None
     address = _ADDRESS.search(text)
     if _ENTITY.search(text) or _OPEN_TAG.search(text) or _ESCAPE.search(text) or _HANGING.search(text) or _open_structure(text):
-        return "cut", None, None, None, None, finished, finals, size
+        return "cut", *[None] * 6, finished, finals, size
     if address and not _WHOLE_ADDRESS.match(address[1]):
-        return "cut", None, None, None, None, finished, finals, size
+        return "cut", *[None] * 6, finished, finals, size
     if _ASIDE.search(text) and _ASIDE.fullmatch(sentences[-1].strip()):
-        return "whole", None, None, None, None, finished, finals, None
+        return "whole", *[None] * 6, finished, finals, None
     fields = list_fields(flat) if "\n" not in flat else None
     if fields:
         names = ["#" + _FIELD.match(p)[1].lower() for p in fields[:-1]]
         ends = [f"#{_FIELD.match(p)[1].lower()}#{_value_end(_FIELD.match(p)[2])}" for p in fields[:-1]]
         last = _FIELD.match(fields[-1])
         if not last or not last[2]:
-            return "cut", None, None, None, None, names, ends, size
+            return "cut", *[None] * 6, names, ends, size
         name = "#" + last[1].lower()
-        return "field", name, f"{name}#{_value_end(last[2])}", None, None, names, ends, size
+        return "field", *_form(name), f"{name}#{_value_end(last[2])}", None, None, names, ends, size
     fragment = re.sub(r"\s[-–—|]+$", "", sentences[-1]).strip()
     a, b = skeleton(fragment, function_words)
     key = None if dots else " ".join(line.lower().split())
-    return "dots" if dots else "open", a if cased and a != b else "~" + b, _last_word(fragment), _opener(fragment), key, finished, finals, size
+    return "dots" if dots else "open", *_form(a if cased and a != b else "~" + b), _last_word(fragment), _opener(fragment), key, finished, finals, size
 
 
 def _bare_bracket(text: str) -> bool:
@@ -284,15 +309,16 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
                 if local_kind(text, url, title) is None:
                     kept.append(at)
                     found = ending(text, function_words)
-                    line = found[4]
+                    line = found[ENDING.names.index("line")]
                     rows.append((*found, line and text_hash(line), line and text_hash(" ".join(text.lower().split()))))
             columns = zip(*rows, strict=True) if rows else [[]] * (len(ENDING) + 2)
             taken = [batch.column(name).take(pa.array(kept, pa.int64())) for name in ("record_type", "record_id", "source")]
-            kinds = [pa.string()] * 5 + [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())] + [pa.int64()] * 2
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()] + [pa.string()] * 3 + [pa.list_(pa.string())] * 2 + [pa.list_(pa.int32())] + [pa.int64()] * 2
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*taken, *arrays], ["record_type", "record_id", "source", *ENDING.names, "line_key", "value"])
 
-    given = records.select("record_type", "record_id", "source", "url", "title", "text").where(not_blank(F.col("text")))
+    source = F.coalesce("source", F.lit("")).alias("source")
+    given = records.select("record_type", "record_id", source, "url", "title", "text").where(not_blank(F.col("text")))
     schema = T.StructType(
         [
             T.StructField("record_type", T.StringType()),
@@ -306,20 +332,34 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     return given.mapInArrow(run, schema)
 
 
+def _lengths_of() -> Column:
+    """The (encoding, length) pairs of a value as an array."""
+    return F.transform("lengths", lambda n, i: F.struct(i.alias("encoding"), n.alias("length")))
+
+
 def limits(ends: DataFrame) -> DataFrame:
-    """(record_type, source, encoding, length, records, around): the hidden limits of each source.
+    """(record_type, source, encoding, length, records, around): the hidden limits of each source, records
+    being the unfinished values of that length and around the mean of those near it.
 
     One task orders the distinct lengths of one source and encoding, which no number of rows makes more
     than the longest value has characters.
     """
-    unfinished = ends.where("lengths IS NOT NULL").select(
-        "record_type", "source", F.posexplode("lengths").alias("encoding", "length")
-    )
-    counted = unfinished.groupBy("record_type", "source", "encoding", "length").agg(F.count("*").alias("records"))
-    near = Window.partitionBy("record_type", "source", "encoding").orderBy("length").rangeBetween(-SPAN, SPAN)
+    by = ["record_type", "source"]
+    unfinished = ends.where("lengths IS NOT NULL").select(*by, _lengths_of().alias("at"))
+    counted = unfinished.select(*by, F.explode("at").alias("x")).select(*by, "x.*").groupBy(*by, "encoding", "length").agg(F.count("*").alias("records"))
+    near = Window.partitionBy(*by, "encoding").orderBy("length").rangeBetween(-SPAN, SPAN)
     around = (F.sum("records").over(near) - F.col("records")) / (2.0 * SPAN)
     enough = (F.col("records") >= LIMIT_VALUES) & (F.col("records") >= LIMIT_TIMES * F.col("around"))
-    return counted.withColumn("around", around).where(enough)
+    possible = cut_lineage(counted.withColumn("around", around).where(enough))
+    # What a value has of the possible limits, at most one for each encoding, and which go together.
+    strength = F.struct(F.col("records"), (-F.col("encoding")).alias("first"), F.col("encoding"), F.col("length"))
+    lists = cut_lineage(possible.groupBy(*by).agg(F.collect_list(strength).alias("possible")))  # a few for each encoding
+    here = F.filter("possible", lambda p: F.array_contains("at", F.struct(p["encoding"].alias("encoding"), p["length"].alias("length"))))
+    hits = sized_join(unfinished, lists, by).select(*by, here.alias("here"))
+    pairs = hits.select(*by, F.explode("here").alias("a"), "here").select(*by, "a", F.explode("here").alias("b")).where("a < b")
+    together = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("both")).where(F.col("both") >= F.lit(EXPLAINED) * F.col("a.records"))
+    explained = together.select(*by, "a.encoding", "a.length").distinct()
+    return possible.join(explained, [*by, "encoding", "length"], "left_anti")
 
 
 def _exploded(ends: DataFrame, column: str, name: str) -> DataFrame:
@@ -329,7 +369,7 @@ def _exploded(ends: DataFrame, column: str, name: str) -> DataFrame:
 def recurring_lines(ends: DataFrame, unsure: DataFrame) -> DataFrame:
     """(line_key, same, recurs): the different values that end with each last line, copies counted once, and
     whether they are many for the records of the sources where the line stands."""
-    source = F.struct("record_type", F.coalesce("source", F.lit("")).alias("source")).alias("of")
+    source = F.struct("record_type", "source").alias("of")
     sizes = cut_lineage(ends.select(source).groupBy("of").agg(F.count("*").alias("records")))
     same = unsure.select("line_key", "value").distinct().groupBy("line_key").agg(F.count("*").alias("same"))
     stands = sized_join(unsure.select(source, "line_key").distinct(), sizes, ["of"])
@@ -354,58 +394,64 @@ def begun_lines(unsure: DataFrame, recurring: DataFrame) -> DataFrame:
     return begun.groupBy("line_key").agg(F.max("same").alias("longer"))
 
 
+def forms_of_sentences(ends: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(form, complete, begun) for the forms of ``wanted``: how many finished sentences have the form, and how many
+    begin with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for skeleton, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chain = chained(skeleton)
+                whole = [0] * (len(chain) - 1) + [count]
+                if skeleton.startswith("#"):  # the name of a field begins nothing
+                    chain, whole = chain[-1:], [count]
+                begun = [count - n for n in whole]
+                columns = [pa.array(c, pa.int64()) for c in (chain, whole, begun)]
+                yield pa.RecordBatch.from_arrays(columns, ["form", "complete", "begun"])
+
+    finished = _exploded(ends, "finished", "skeleton").groupBy("skeleton").agg(F.count("*").alias("complete"))
+    parts = finished.mapInArrow(run, "form bigint, complete bigint, begun bigint")
+    return sized_join(parts, wanted, ["form"], "left_semi").groupBy("form").agg(
+        F.sum("complete").alias("complete"), F.sum("begun").alias("begun")
+    )
+
+
 def judged(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     """(record_type, record_id, source, cut, at_limit) of every value that is not template residue."""
     ends = cut_lineage(endings(records, function_words))
-    found = cut_lineage(limits(ends)).select("record_type", "source", "encoding", "length")
-    by_source = found.groupBy("record_type", "source").agg(
+    by_source = limits(ends).groupBy("record_type", "source").agg(
         F.collect_set(F.struct("encoding", "length")).alias("limits")  # a few lengths for each encoding
     )
-    at = F.exists(
-        F.transform("lengths", lambda n, i: F.struct(i.alias("encoding"), n.alias("length"))),
-        lambda x: F.array_contains("limits", x),
-    )
-    unsure = sized_join(
-        ends.where("state IN ('open', 'dots', 'field')").drop("finished", "final_words"), cut_lineage(by_source), ["record_type", "source"], "left"
-    ).select(
-        "record_type", "record_id", "source", "state", "skeleton", "last_word", "opener", "line", "line_key", "value",
-        F.coalesce(at, F.lit(False)).alias("at_limit"),
+    named = ends.where("state IN ('open', 'dots', 'field')").drop("finished", "final_words")
+    unsure = sized_join(named, cut_lineage(by_source), ["record_type", "source"], "left").select(
+        "record_type", "record_id", "source", "state", "tokens", "form", "parent", "last_word", "opener", "line", "line_key", "value",
+        F.coalesce(F.arrays_overlap("limits", _lengths_of()), F.lit(False)).alias("at_limit"),
     )
     unsure = cut_lineage(unsure)
 
     # What finished endings look like.
-    finished = cut_lineage(_exploded(ends, "finished", "skeleton").groupBy("skeleton").agg(F.count("*").alias("complete")))
     words = _exploded(ends, "final_words", "last_word").groupBy("last_word").agg(F.count("*").alias("seen"))
-    tokens = F.split("skeleton", " ")
-    starts = (
-        finished.where("skeleton NOT LIKE '#%'")
-        .select(F.explode(F.transform(
-            F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))), lambda n: n < F.size(tokens)),
-            lambda n: F.array_join(F.slice(tokens, 1, n), " "))).alias("skeleton"), "complete")
-        .groupBy("skeleton").agg(F.sum("complete").alias("begun"))
-    )
-    forms = unsure.where("state = 'open'").select("skeleton", "value").distinct().groupBy("skeleton").agg(F.count("*").alias("unfinished"))
     lines = cut_lineage(recurring_lines(ends, unsure.where("line IS NOT NULL")))
     longer = begun_lines(unsure.where("line IS NOT NULL"), cut_lineage(lines.where("recurs").select("line_key", "same")))
-    wanted = unsure.select("skeleton").distinct()
-    parent = F.array_join(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(1))), " ")
-    parents = starts.select(F.col("skeleton").alias("parent"), F.col("begun").alias("parent_begun"))
+    asked = unsure.groupBy("form").agg(F.max("parent").alias("parent"), F.max("tokens").alias("tokens"))
+    both = unsure.select(F.explode(F.array_compact(F.array("form", "parent"))).alias("form")).distinct()
+    known = cut_lineage(forms_of_sentences(ends, cut_lineage(both)))
+    open_forms = unsure.where("state = 'open'").select("form", "value").distinct().groupBy("form").agg(F.count("*").alias("unfinished"))
+    parents = known.select(F.col("form").alias("parent"), F.col("begun").alias("parent_begun"))
     form = cut_lineage(
-        wanted.withColumn("parent", F.when(F.size(tokens) > 1, parent))
-        .join(finished, "skeleton", "left").join(starts, "skeleton", "left").join(forms, "skeleton", "left")
-        .join(parents, "parent", "left").drop("parent").na.fill(0)
+        asked.join(known, "form", "left").join(open_forms, "form", "left").join(parents, "parent", "left").drop("parent").na.fill(0)
     )
-    usual = form.where("begun > 0 AND complete = 0 AND size(split(skeleton, ' ')) >= 3").agg(
+    usual = form.where("begun > 0 AND complete = 0 AND tokens >= 3").agg(
         (F.sum("unfinished") / F.sum("begun")).alias("share")
     ).collect()[0]["share"] or 0.0
     first = unsure.where("state = 'open'").select("opener", "value").distinct().groupBy("opener").agg(F.count("*").alias("opens"))
     first = cut_lineage(
         first.join(words.withColumnsRenamed({"last_word": "opener", "seen": "opened"}), "opener", "left").na.fill(0)
     )
-    known = cut_lineage(unsure.select("last_word").distinct().join(words, "last_word", "left").na.fill(0))
+    ends_with = cut_lineage(unsure.select("last_word").distinct().join(words, "last_word", "left").na.fill(0))
     line = cut_lineage(lines.join(longer, "line_key", "left").na.fill(0))
     joined = unsure
-    for small, name in ((form, "skeleton"), (known, "last_word"), (first, "opener"), (line, "line_key")):
+    for small, name in ((form.drop("tokens"), "form"), (ends_with, "last_word"), (first, "opener"), (line, "line_key")):
         joined = sized_join(joined, small, [name], "left")
     return ends.where("state IN ('whole', 'cut')").select(
         "record_type", "record_id", "source", (F.col("state") == "cut").alias("cut"), F.lit(False).alias("at_limit")
@@ -413,14 +459,15 @@ def judged(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
 
 
 def unfinished(usual: float) -> Column:
-    """Whether an open ending is a cut, from what is known of its line, form and last word."""
+    """Whether an open ending is a cut, from what is known of its length, line, form and last word."""
     same, longer = F.coalesce("same", F.lit(0)), F.coalesce("longer", F.lit(0))
     complete, seen = F.coalesce("complete", F.lit(0)), F.coalesce("seen", F.lit(0))
     # A form that begins no sentence may begin one and break off inside its last word.
     begun = F.greatest(F.coalesce("begun", F.lit(0)), F.coalesce("parent_begun", F.lit(0)))
     opens, opened = F.coalesce("opens", F.lit(0)), F.coalesce("opened", F.lit(0))
     # A word alone may itself be broken off; with one after it, it is whole.
-    no_sentence = F.col("skeleton").contains(" ") & (opens > F.lit(UNUSUAL_OPENER) * opened + F.lit(UNUSUAL_LEAST))
+    several = F.col("tokens") > 1
+    no_sentence = several & (opens > F.lit(UNUSUAL_OPENER) * opened + F.lit(UNUSUAL_LEAST))
     own_form = no_sentence | (F.col("unfinished") > F.lit(UNUSUAL * usual) * begun + F.lit(UNUSUAL_LEAST))
     sentence = (
         F.when((complete > 0) & (seen > 0), F.col("at_limit") & ~own_form)
@@ -431,10 +478,10 @@ def unfinished(usual: float) -> Column:
     field = (complete == 0) | (F.col("at_limit") & (seen == 0))
     return (
         F.when(F.col("state") == "field", field)
-        .when(F.col("state") == "dots", (complete == 0) | (seen == 0))
+        .when(F.col("state") == "dots", F.col("at_limit") | (complete == 0) | (seen == 0))
         .when((longer > 0) & (longer >= BEGUN * same), True)
         .when(F.coalesce("recurs", F.lit(False)), False)
-        .when((F.col("state") == "open") & ~F.col("skeleton").contains(" "), True)  # a lone word that is no line of its own
+        .when(~several, True)  # a lone word that is no line of its own
         .otherwise(sentence)
     )
 
@@ -451,3 +498,10 @@ def rates(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
         F.count_if("cut").alias("cut_records"),
         (F.count_if("cut") / F.count("*")).alias("cut_share"),
     )
+
+
+def limits_of_sources(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
+    """(record_type, source, encoding, length, records, around): the hidden limits by the name of the encoding."""
+    found = limits(cut_lineage(endings(records, function_words)))
+    name = F.element_at(F.array(*map(F.lit, ENCODINGS)), F.col("encoding") + 1)
+    return found.select("record_type", "source", name.alias("encoding"), "length", "records", "around")
