@@ -36,7 +36,9 @@ def test_lookalikes_are_mapped():
     pairs = {
         "Ｆｕｌｌ": "Full", "été": "été", "zero​width": "zerowidth", "no break": "no break", "well‑kept": "well-kept",
         "Аrсhіvе": "Archive", "ﬁeld": "field", "Kelvin": "Kelvin", "soft­hyphen": "softhyphen", "пaрк": "парк",
-        "Архив": "Архив", "naïve": "naïve", "½ № ™ ²": "½ № ™ ²", "𝐁𝐨𝐥𝐝": "Bold",
+        "ℎouse": "house", "ℒondon": "London", "ℨero": "Zero", "ℝ": "ℝ", "Ⅰ": "I", "ⅾ": "d", "Ⅻ": "XII", "doɡ": "dog", "ɑnd": "and", "ɡɔt": "ɡɔt",
+        "bᴏy": "boy", "ⓛate": "late", "ⓛ": "ⓛ", "well−kept": "well-kept", "−5": "−5", "｡": "。", "ｶﾞ": "ガ", "appӏe": "apple", "Ӏtem": "Item",
+        "ꓐꓳꓳꓗ": "BOOK", "Ⲟne": "One", "Ꭰay": "Day", "ısı": "ısı", "Архив": "Архив", "naïve": "naïve", "½ № ™ ²": "½ № ™ ²", "𝐁𝐨𝐥𝐝": "Bold",
     }
     assert {k: lookalikes.looks_like(k) for k in pairs} == pairs
 
@@ -45,14 +47,15 @@ def test_lookalikes_found_and_normalised(spark):
     texts = {
         1: "plain text with “quotes” – and… signs", 2: "the ﬁeld", 3: "архив города Тасрин.", 4: "fire 👩‍🚒 engine",
         5: "Тhe А list", 6: "το λιμάνι της Βελμόρα.", 7: "a b", 8: "港の記録。", 9: "café", 10: "café", 11: "می‌خواهم",
-        12: "don’t", 13: "x\ufe0f", 14: "1\ufe0f\u20e3 ❤\ufe0f 🏴\U000e0067\U000e007f",
+        12: "don’t", 15: "the ℎouse of ɡold", 16: "x ∈ ℝ, −5 °C", 13: "x\ufe0f", 14: "1\ufe0f\u20e3 ❤\ufe0f 🏴\U000e0067\U000e007f",
     }
     df = evidence(spark, [(i, None, "ｔ" if i == 1 else "t", t, None, None, None) for i, t in texts.items()])
     found = {(r.evidence_id, r.field_name) for r in lookalikes.find(df, "evidence_id", ["text", "title"]).collect()}
-    assert found == {(1, "title"), (2, "text"), (5, "text"), (7, "text"), (9, "text"), (13, "text")}
+    assert found == {(1, "title"), (2, "text"), (5, "text"), (7, "text"), (9, "text"), (13, "text"), (15, "text")}
     fixed = {r.evidence_id: r for r in lookalikes.normalize(df, ["text", "title"]).collect()}
     assert fixed[2].text == "the field" and fixed[5].text == "The A list" and fixed[7].text == "a b" and fixed[9].text == "café" and fixed[1].title == "t"
-    for kept in (1, 3, 4, 6, 8, 10, 11, 12, 14):
+    assert fixed[15].text == "the house of gold"
+    for kept in (1, 3, 4, 6, 8, 10, 11, 12, 14, 16):
         assert fixed[kept].text == texts[kept]
 
 

@@ -35,35 +35,55 @@ INVISIBLE = (
 )
 #: Characters that render as the ordinary space.
 SPACES = r"\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}"
-#: Characters that render as the ordinary hyphen.
-HYPHENS = r"\x{2010}\x{2011}"
-#: Full-width signs, ligatures, Kelvin and Angstrom sign, mathematical letters and digits.
-STYLED = r"\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{212A}\x{212B}\x{1D400}-\x{1D7FF}"
+#: Characters that render as the ordinary hyphen; the minus does between letters.
+HYPHENS, MINUS = r"\x{2010}\x{2011}", r"\x{2212}"
+#: Full-width, half-width and small signs, ligatures, Kelvin and Angstrom sign, Roman numerals, mathematical
+#: letters and digits.
+STYLED = (
+    r"\x{FF01}-\x{FF9F}\x{FFA1}-\x{FFDC}\x{FFE0}-\x{FFE6}\x{FE50}-\x{FE6B}\x{FB00}-\x{FB06}\x{212A}\x{212B}"
+    r"\x{2160}-\x{217F}\x{1D400}-\x{1D7FF}"
+)
+#: Styled letters in a word of several letters: the mathematical ones that Unicode has elsewhere, and letters in
+#: circles. Alone they are signs.
+STYLED_IN_WORDS = (
+    r"\x{2102}\x{210A}-\x{210E}\x{2110}-\x{2112}\x{2115}\x{2119}-\x{211D}\x{2124}\x{2128}\x{212C}\x{212D}"
+    r"\x{212F}-\x{2131}\x{2133}\x{2134}\x{2145}-\x{2149}\x{24B6}-\x{24E9}"
+)
 #: Combining accents.
 MARKS = r"\x{0300}-\x{034E}\x{0350}-\x{036F}"
 #: Scripts with letters that can pass for Latin ones.
-FOREIGN = r"\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{0530}-\x{058F}\x{13A0}-\x{13FF}\x{1F00}-\x{1FFF}"
-SUSPECT_RANGES = f"{INVISIBLE}{SPACES}{HYPHENS}{STYLED}{MARKS}{FOREIGN}"
-#: The first part lets go of ordinary Latin characters after a look at three ranges instead of thirty.
-SUSPECT = rf"[[^\x00-\x{{009F}}\x{{00A1}}-\x{{00AC}}\x{{00AE}}-\x{{02FF}}]&&[{SUSPECT_RANGES}]]"
+FOREIGN = (
+    r"\x{0370}-\x{03FF}\x{0400}-\x{052F}\x{0530}-\x{058F}\x{13A0}-\x{13FF}\x{1F00}-\x{1FFF}\x{2C80}-\x{2CFF}\x{A4D0}-\x{A4FF}"
+)
+#: Latin letters with the glyph of another one.
+TWINS = r"\x{0251}\x{0261}\x{1D04}\x{1D0F}\x{1D20}-\x{1D22}\x{A731}"
+SUSPECT_RANGES = f"{INVISIBLE}{SPACES}{HYPHENS}{MINUS}{STYLED}{STYLED_IN_WORDS}{MARKS}{FOREIGN}{TWINS}"
+#: The first part lets go of ordinary Latin characters after a look at three ranges instead of fifty.
+SUSPECT = rf"[[^\x00-\x{{009F}}\x{{00A1}}-\x{{00AC}}\x{{00AE}}-\x{{0250}}]&&[{SUSPECT_RANGES}]]"
 
 # Letters of other scripts with the glyph of a Latin letter.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝүҽ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwye", strict=True))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜӀаеѕіјорсухһԁԛԝүҽӏ", "ABESIJKMHOPCTYXYGQWIaesijopcyxhdqwyel", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲν", "ABEZHIKMNOPTYXCjocv", strict=True))
-ARMENIAN = dict(zip("ՕՍԼոսհցօ", "OUlnuhgo", strict=True))
-CHEROKEE = dict(zip("ᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏚᏞᏟᏢᏦ", "AJEWMHGZRWSLCPK", strict=True))
+ARMENIAN = dict(zip("ՕՍՏԼոսհցօյզ", "OUSLnuhgojq", strict=True))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏚᏞᏟᏢᏦᏴᏙᎩ", "DRTiAJEWMHGZRWSLCPKBVy", strict=True))
+COPTIC = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HIKMNOPCTXopc", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
 #: Looks like a Latin letter only among Latin letters.
 AMONG_LATIN = dict(zip("αικρυвкмнтг", "aikpuBKMHTr", strict=True))
-LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | COPTIC | LISU
 #: Latin letters inside a word of another script.
 TO_CYRILLIC = {b: a for a, b in CYRILLIC.items()}
 TO_GREEK = {b: a for a, b in GREEK.items()}
+#: Latin letters that pass for others in a word of ASCII letters.
+TWIN = dict(zip("ɑɡᴄᴏᴠᴡᴢꜱ", "agcovwzs", strict=True))
 
 _CONFUSED = {
     "Cyrillic": "".join(CYRILLIC),
     "Greek": "".join(GREEK),
     "Armenian": "".join(ARMENIAN),
     "Cherokee": "".join(CHEROKEE),
+    "Coptic": "".join(COPTIC),
+    "Lisu": "".join(LISU),
 }
 
 
@@ -77,7 +97,7 @@ def _own_use(script: str) -> str:
     return rf"(?:{word}{between})*?{one}(?:{between}{word})*+"
 
 
-_WORD = rf"\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}{HYPHENS}{STYLED}'’-"
+_WORD = rf"\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}{HYPHENS}{MINUS}{STYLED}{STYLED_IN_WORDS}'’-"
 _EDGE_BEFORE, _EDGE_AFTER = rf"(?<![\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}])", rf"(?![\p{{L}}\p{{M}}\p{{N}}{INVISIBLE}])"
 _EMOJI = r"[\x{2190}-\x{21FF}\x{2300}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
 _EMOJI_RUN = (
@@ -92,6 +112,7 @@ PLAIN = rf"^(?:{OWN_USE}|{_EMOJI_RUN})$"
 
 _PY = lambda spec: re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", spec) + "]")
 _INVISIBLE, _SPACES, _HYPHENS, _STYLED = _PY(INVISIBLE), _PY(SPACES), _PY(HYPHENS), _PY(STYLED)
+_STYLED_IN_WORDS, _FOREIGN = _PY(STYLED_IN_WORDS), _PY(FOREIGN)
 _JOINING = re.compile("[\u0600-\u07ff\u0900-\u0dff\u1000-\u109f]")
 _LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
 
@@ -105,6 +126,7 @@ def looks_like(piece: str) -> str:
     become Latin, or the script's own in a word that has letters only this script has.
     """
     out = []
+    several = sum(1 for ch in piece if ch.isalpha() or _STYLED_IN_WORDS.match(ch)) > 1
     for i, ch in enumerate(piece):
         if _INVISIBLE.match(ch):
             if ch in "\u200c\u200d" and 0 < i < len(piece) - 1 and _JOINING.match(piece[i - 1]):
@@ -113,7 +135,9 @@ def looks_like(piece: str) -> str:
             out.append(" ")
         elif _HYPHENS.match(ch):
             out.append("-")
-        elif _STYLED.match(ch):
+        elif ch == "\u2212":
+            out.append("-" if piece[i - 1 : i].isalpha() and piece[i + 1 : i + 2].isalpha() else ch)
+        elif _STYLED.match(ch) or (several and _STYLED_IN_WORDS.match(ch)):
             out.append(unicodedata.normalize("NFKC", ch))
         else:
             out.append(ch)
@@ -122,9 +146,10 @@ def looks_like(piece: str) -> str:
 
 
 def _one_script(word: str) -> str:
-    foreign = [ch for ch in word if "\u0370" <= ch <= "\u058f" or "\u13a0" <= ch <= "\u13ff"]
+    foreign = _FOREIGN.findall(word)
     if not foreign:
-        return word
+        plain = all(ch.isascii() or ch in TWIN for ch in word if ch.isalpha())
+        return "".join(TWIN.get(ch, ch) for ch in word) if plain else word
     latin = [ch for ch in word if _LATIN.match(ch)]
     if all(ch in LOOKALIKE or (latin and ch in AMONG_LATIN) for ch in foreign):
         return "".join(LOOKALIKE.get(ch) or (AMONG_LATIN.get(ch) if latin else None) or ch for ch in word)
