@@ -89,8 +89,9 @@ KEYBOARD = frozenset("qwerty qwertz azerty asdf asdfg asdfgh zxcv foo bar baz qu
 FILLER_RUN = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
+# The phrases are looked for in text in lower case.
 #: Where a phrase that stands as content begins. What it ends with is no letter or digit, as which all phrases begin.
-_START = re.compile(r"(?:^|(?<=[.!?…])\s+|(?<=\n)|(?<=>))\s*(?:<[a-z0-9]+>\s*)*[«“\"'(*\-–—•\s]*", re.IGNORECASE)
+_START = re.compile(r"(?:^|(?<=[.!?…])\s+|(?<=\n)|(?<=>))\s*(?:<[a-z0-9]+>\s*)*[«“\"'(*\-–—•\s]*")
 FILLER_PHRASE = re.compile(
     r"(?:(?:dummy|sample|placeholder|filler|example) (?:paragraph|text|copy|body|content|title|headline)\b"
     r"|(?:your|insert|add|enter) (?:text|title|content|copy|headline|article|description)[\w ]{0,20} (?:goes )?here\b"
@@ -99,8 +100,7 @@ FILLER_PHRASE = re.compile(
     r"|hier (?:steht|folgt) (?:ein )?(?:blind|platzhalter|beispiel)text|(?:blind|platzhalter|beispiel)text\b"
     r"|text folgt|inhalt folgt|(?:texte|contenu) (?:provisoire|fictif|factice|d[’']exemple|à venir|de remplissage)"
     r"|(?:votre|insérez votre) texte ici|(?:texto|contenido) (?:de (?:ejemplo|relleno|muestra|prueba)|provisional|pendiente)"
-    r"|(?:su|tu|escriba su) texto aquí|próximamente\b)",
-    re.IGNORECASE,
+    r"|(?:su|tu|escriba su) texto aquí|próximamente\b)"
 )
 ERROR_PHRASE = re.compile(
     r"(?:(?:http )?(?:error|erreur|fehler) ?:? ?[45]\d\d\b|[45]\d\d(?: [-–—:])? (?:error|not found|forbidden|unauthorized|bad gateway|bad request"
@@ -120,8 +120,7 @@ ERROR_PHRASE = re.compile(
     r"|seite (?:wurde )?nicht gefunden|zugriff verweigert|interner serverfehler|(?:dieser|der) inhalt ist (?:nicht|in ihrer)|sitzung abgelaufen"
     r"|zu viele anfragen|(?:die )?verbindung zur datenbank|page (?:non trouvée|introuvable)|accès (?:refusé|interdit)|erreur interne|session expirée"
     r"|trop de requêtes|ce contenu n[’']est pas disponible|página no (?:encontrada|disponible)|acceso denegado|error interno|sesión (?:caducada|expirada)"
-    r"|demasiadas solicitudes|este contenido no está disponible|la página (?:solicitada|que busca))",
-    re.IGNORECASE,
+    r"|demasiadas solicitudes|este contenido no está disponible|la página (?:solicitada|que busca))"
 )
 SCRIPT_PHRASE = re.compile(
     r"(?:(?:(?:please |kindly )|if (?:nothing happens|this (?:page|site) does not load),? )?(?:please )?(?:enable|turn on|switch on|activate|allow|permit|unblock) (?:java ?scripts?|scripts"
@@ -132,8 +131,7 @@ SCRIPT_PHRASE = re.compile(
     r"|your browser (?:does not|doesn[’']t|cannot|can[’']t|blocks|is (?:not|out|un|too|no longer|old|set|blocking|missing|being)|has (?:java|scripts|cookies|blocked|disabled|turned|no )|must (?:support|allow|have|accept|be|run))|(?:to (?:view|read|use|continue)[\w ,]{0,40})(?:enable|turn on|allow) (?:java ?script|scripts)"
     r"|(?:bitte )?(?:aktivieren sie|schalten sie) (?:java ?script|skripte)|java ?script (?:ist (?:de|nicht|aus|erforder|notwendig|nötig|in )|muss |wird (?:benötigt|nicht|von |vom |für ))|(?:diese|die) (?:seite|anwendung) (?:benötigt|erfordert|funktioniert nur mit) (?:java ?script|skript)"
     r"|(?:veuillez |merci d[’'])?activer java ?script|java ?script (?:est (?:dés|requis|nécess|inact|oblig|bloqu)|doit être )|(?:cette|la) page (?:nécessite|requiert) (?:java ?script|des scripts)"
-    r"|(?:por favor,? )?(?:active|activa|habilite|habilita|active usted) java ?script|java ?script (?:está (?:des|inact|bloq)|debe estar )|(?:esta|la) (?:página|aplicación) (?:requiere|necesita) (?:java ?script|scripts))",
-    re.IGNORECASE,
+    r"|(?:por favor,? )?(?:active|activa|habilite|habilita|active usted) java ?script|java ?script (?:está (?:des|inact|bloq)|debe estar )|(?:esta|la) (?:página|aplicación) (?:requiere|necesita) (?:java ?script|scripts))"
 )
 # Signs one of which every mark has.
 _MARK_PARTS = re.compile(r"[{$#%@<>\[&]|__|\((?:add|insert|enter|your|todo)", re.IGNORECASE)
@@ -172,11 +170,6 @@ _FIELDS = frozenset(
 )
 
 
-def begins(text: str, starts: list[int], phrase: re.Pattern) -> bool:
-    """Whether the phrase stands at one of the starts."""
-    return any(phrase.match(text, at) for at in starts)
-
-
 def filler_run(low: str) -> bool:
     """Whether the text in lower case holds a run of filler words."""
     words = _WORD.findall(low)
@@ -202,7 +195,7 @@ MESSAGES = (("filler", FILLER_PHRASE), ("script", SCRIPT_PHRASE), ("error", ERRO
 
 def signs(text: str | None) -> tuple[str | None, int, list[str], str]:
     """(kind, points, messages, rest) of a text by the detectors alone: 'placeholder', 'filler', 'error' or
-    'script', or null; the sentences and lines that are messages; and the text without them."""
+    'script', or null; the sentences and lines that are messages, and the text without them, in lower case."""
     if not text:
         return None, 0, [], ""
     if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
@@ -210,19 +203,16 @@ def signs(text: str | None) -> tuple[str | None, int, list[str], str]:
     low = text.lower()
     if _MARK_PARTS.search(low) and placeholder(text):
         return "placeholder", POINTS, [], text
-    found = list(_START.finditer(text))
-    starts = [m.end() for m in found]
-    kind = "filler" if begins(text, starts, FILLER_PHRASE) else None
     if filler_run(low):
-        return "filler", POINTS, [], text
+        return "filler", POINTS, [], low
+    found = list(_START.finditer(low))
+    kinds = [next((name for name, phrase in MESSAGES if phrase.match(low, m.end())), None) for m in found]
+    kind = next((name for name, _ in MESSAGES if name in kinds), None)
     if kind is None:
-        kind = next((name for name, phrase in MESSAGES[1:] if begins(text, starts, phrase)), None)
-    if kind is None:
-        return None, 0, [], text
+        return None, 0, [], low
     messages, rest = [], []
-    for m, end in zip(found, [*(m.start() for m in found[1:]), len(text)], strict=True):
-        part = text[m.start() : end]
-        (messages if any(phrase.match(text, m.end()) for _, phrase in MESSAGES) else rest).append(part)
+    for m, end, said in zip(found, [*(m.start() for m in found[1:]), len(low)], kinds, strict=True):
+        (messages if said else rest).append(low[m.start() : end])
     return kind, MESSAGE, messages, "".join(rest)
 
 
@@ -236,15 +226,20 @@ def terms(text: str | None) -> set[str]:
     return {w for w in _WORD.findall((text or "").lower()) if len(w) >= 4}
 
 
+def body_terms(text: str) -> set[str]:
+    """Terms of a body outside its quotations, codes and paths."""
+    return terms(_QUOTED.sub(" ", _CODE.sub(" ", text)))
+
+
 def address_terms(url: str | None, title: str | None) -> set[str]:
     """Terms of an address between its host and its query, and of the title."""
     return terms(re.sub(r"^[A-Za-z]+://[^/]*|[?#].*", "", url or "")) | terms(title)
 
 
 def masked(text: str) -> str:
-    """The template of a body or message: lower case, one space between words, and nothing of the numbers, codes,
+    """The template of a body or message in lower case: one space between words, and nothing of the numbers, codes,
     paths, quotations, asides and tags that differ from one response to the next."""
-    bare = _QUOTED.sub("0", _ASIDE.sub("0", _TAG.sub(" ", text.lower())))
+    bare = _QUOTED.sub("0", _ASIDE.sub("0", _TAG.sub(" ", text)))
     return " ".join(_CODE.sub("0", _RESOURCE.sub("0", bare)).split())
 
 
@@ -274,23 +269,21 @@ def examine(text: str | None, url: str | None, title: str | None) -> Examined |
     listed = text.lstrip()[0] in "{["  # records of fields say what they say by their values
     if kind is None and listed:
         return None
-    body = terms(_QUOTED.sub(" ", _CODE.sub(" ", rest)))
+    body = body_terms(rest)
     mismatch, low = body.isdisjoint(address_terms(url, title)), len(body) <= LOW_TERMS
     points += MISMATCH * mismatch + LOW * low
     if kind:
         return Examined(kind, points, mismatch, False, None, [text_hash(masked(m)) for m in messages])
     if not low or len(body) < FEWEST_TERMS:
         return None
-    return Examined(None, points, mismatch, bool(_REQUEST.search(text)), text_hash(masked(text)), [])
+    return Examined(None, points, mismatch, bool(_REQUEST.search(text)), text_hash(masked(rest)), [])
 
 
-def local_kind(text: str | None, url: str | None, title: str | None) -> str | None:
-    """The kind of a record that is residue by its own signs, without those of other records; else null. A message
-    beside which the body says little is taken for residue here, whatever address and title are."""
-    found = examine(text, url, title)
-    if found is None or found.kind is None:
-        return None
-    return found.kind if found.points + MISMATCH * (not found.mismatch) >= POINTS else None
+def local_kind(text: str | None) -> str | None:
+    """The kind of a text that is residue by its own signs, without those of its address and of other records; else
+    null. A message counts here where little stands beside it."""
+    kind, points, _, rest = signs(text)
+    return kind if kind and (points >= POINTS or len(body_terms(rest)) <= LOW_TERMS) else None
 
 
 def examined(records: DataFrame) -> DataFrame:

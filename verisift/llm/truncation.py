@@ -299,14 +299,13 @@ def _value_end(value: str) -> str:
 
 def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
     """(record_type, record_id, source, fields of ENDING) of records (record_type, record_id, source,
-    url, title, text) that are not template residue by their own signs."""
+    text) that are not template residue by their own signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kept = [], []
-            columns = (batch.column(name).to_pylist() for name in ("text", "url", "title"))
-            for at, (text, url, title) in enumerate(zip(*columns, strict=True)):
-                if local_kind(text, url, title) is None:
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                if local_kind(text) is None:
                     kept.append(at)
                     found = ending(text, function_words)
                     line = found[ENDING.names.index("line")]
@@ -318,7 +317,7 @@ def endings(records: DataFrame, function_words: frozenset[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken, *arrays], ["record_type", "record_id", "source", *ENDING.names, "line_key", "value"])
 
     source = F.coalesce("source", F.lit("")).alias("source")
-    given = records.select("record_type", "record_id", source, "url", "title", "text").where(not_blank(F.col("text")))
+    given = records.select("record_type", "record_id", source, "text").where(not_blank(F.col("text")))
     schema = T.StructType(
         [
             T.StructField("record_type", T.StringType()),
