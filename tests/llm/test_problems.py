@@ -452,10 +452,54 @@ def test_words_and_subsequences():
         assert leakage.longest_run(a, b) == max(map(max, run))
 
 
-def test_leaks_in_blocks_of_items(spark, data, monkeypatch):
-    whole = rows_of(queries.p6_found(spark, data))
-    monkeypatch.setattr(leakage, "BLOCK_ITEMS", 70)
-    assert rows_of(queries.p6_found(spark, data)) == whole
+def test_many_items(spark):
+    rng = random.Random(12)
+    common, rare = vocabulary(rng, 80), vocabulary(rng, 4000)
+    sentence = lambda n: [rng.choice(common) if rng.random() < 0.5 else rng.choice(rare) for _ in range(n)]
+    items = [(i, " ".join(sentence(rng.randint(60, 200)))) for i in range(2000)]
+    docs, truth = [], set()
+    for d in range(360):
+        i, words = rng.randrange(2000), sentence(rng.randint(50, 200))
+        item = items[i][1].split()
+        if d % 3 == 0:
+            at = rng.randrange(len(item) - 15)
+            words[9:9] = item[at : at + 15]
+            truth.add((d, i))
+        elif d % 3 == 1:
+            words[9:9] = [w if rng.random() > 0.2 else rng.choice(rare) for w in item]
+        docs.append((d, " ".join(words)))
+    held = leakage.HeldOut([(i, t, None) for i, t in items])
+    counts = [Counter(t.split()) for _, t in items]
+    for d, t in docs:  # brute force
+        present, words = set(t.split()), t.split()
+        for i, item in enumerate(counts):
+            size = sum(item.values())
+            if sum(n for w, n in item.items() if w in present) * 3 >= 2 * size and leakage.common_words_in_order(words, items[i][1].split()) * 3 >= 2 * size:
+                truth.add((d, i))
+    assert len(held.passages) >= 5000 and len(truth) > 220
+    table, asked = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    found = leakage.find(table, "doc_id", "text", asked, "item_id", "text").collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth, "nothing is lost, whatever rank and index are"
+    latent = {(r.doc_id, r.item_id) for r in found if r.way == "latent"}
+    assert len(latent) >= 0.9 * len(truth), "the latent search alone"
+
+
+def test_paraphrases_need_their_answer(spark):
+    rng = random.Random(6)
+    rare = vocabulary(rng, 3000)
+    items = [(i, " ".join(rng.choice(rare) for _ in range(60)), f"New  Harbour{i}." if i % 2 else "True") for i in range(200)]
+    docs = []
+    for d in range(100):
+        words = items[d][1].split()
+        kept = [w if rng.random() > 0.42 else rng.choice(rare) for w in words]
+        docs.append((d, " ".join(kept) + (f". It is new harbour{d}" if d % 4 == 1 else " True")))
+    found = leakage.find(
+        spark.createDataFrame(docs, "doc_id int, text string"), "doc_id", "text",
+        spark.createDataFrame(items, "item_id int, text string, answer string"), "item_id", "text", "answer",
+    ).collect()
+    said = [r for r in found if r.kind == "paraphrase"]
+    assert len(said) > 12 and all(r.doc_id == r.item_id and r.doc_id % 4 == 1 and r.answer_found and 0.5 <= r.share < 2 / 3 for r in said)
+    assert all(r.share >= 2 / 3 or r.run >= 15 for r in found if r.kind != "paraphrase")
 
 
 def test_leaks_odd_tables(spark):

@@ -1,16 +1,19 @@
 """Problem 6: evaluation texts leaking into training text.
 
 Method: latent semantic retrieval. The held-out items are cut into passages; their TF-IDF matrix, with
-document frequencies counted over the whole corpus, gets a randomised SVD from one distributed pass
-(a sketch A'AΩ summed over partitions, then a Nyström decomposition of its small result); windows of
-all documents are projected into the latent space and compared by cosine with all passages, block by
-block; documents that share a run of words with an item, or hold two thirds of its words, are candidates
-whatever the frequency of the words is; and the candidates are checked by the longest common run and the longest common subsequence of
-words over the whole document. Whether the item's answer stands in the document is reported with it.
+document frequencies counted over the whole corpus, gets a distributed randomised SVD (sketches A'AQ summed
+over partitions by blocks of terms, one subspace iteration, Rayleigh-Ritz). Windows of all documents are
+projected into the latent space and compared by the cosine there with the passages, of which an index of
+centroids gives the near ones. What that search may miss is found whatever frequency, rank and index are:
+documents that share a run of words with an item, looked up by hash, and documents that hold two thirds of an
+item's words, by a prefix of its rarest words. All candidates are checked by the longest common run and the
+longest common subsequence of words over the whole document; a latent candidate that has half of the words in
+order, and the item's answer word by word, is a paraphrase, if few items have that answer.
 
 The corpus is read once: its words are encoded as numbers of the items' vocabulary and kept in the
-checkpoint folder for the passes that follow. Nothing of the corpus is shuffled except counts and the
-candidates; items, vocabulary and latent space are of the size of the held-out set, which is checked.
+checkpoint folder for the two passes that follow, one for the frequencies, one for search and check, however
+many items there are. Nothing of the corpus is shuffled but counts and the leaks; items, vocabulary and
+latent space are of the size of the held-out set, which is checked.
 
 Defined results for odd input: null and blank texts, of documents as of items, leak nothing; items
 shorter than the shortest run can only be found by two thirds of their words; copies of a document are
@@ -22,17 +25,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from verisift.llm.lookalikes import _PY, SUSPECT_RANGES, looks_like
-from verisift.operators.joins import sized_join
 from verisift.session import cut_lineage
 
 #: Consecutive words of an item that are a leak by themselves.
@@ -44,17 +47,21 @@ MIN_SHARE = 2 / 3
 WINDOW, STEP = 20, 8
 #: Words of a passage of an item, and the step.
 PASSAGE, PASSAGE_STEP = 80, 40
-#: Dimensions of the latent space at most.
-RANK = 512
-#: Cosine from which a window and a passage are candidates.
-MIN_COSINE = 0.3
+#: Dimensions of the latent space at most, those the sketch has besides, and terms of a block of its sums.
+RANK, OVERSAMPLING, SKETCH_TERMS = 512, 16, 2048
+#: Cosine in the latent space from which a window and a passage are candidates, and the centroids whose passages
+#: are looked at for a window: so many at least, and this part of them.
+MIN_COSINE, PROBES, PROBED_PART = 0.4, 32, 0.375
+#: Part of the runs of the items that may weigh less than a window that is looked at.
+LIGHT = 0.01
 #: Least weight of a term, also of one that stands in every document.
 MIN_WEIGHT = 0.1
-#: Items compared at once with a document by the words they share.
-OVERLAP_ITEMS = 256
-#: Largest number of held-out items of one call, and of a block that has its own latent space: both the
-#: vocabulary and the space are of the size of a block.
-MAX_ITEMS, BLOCK_ITEMS = 50_000, 2_000
+#: Share of an item's words that a document must have among the item's rarest words before all are counted.
+PREFIX_SHARE = 0.2
+#: Share of a paraphrased item's words in order, and the part of the items that may have the same answer.
+PARAPHRASE_SHARE, SAME_ANSWER = 0.5, 0.01
+#: Largest number of held-out items of one call: vocabulary and latent space are of their size.
+MAX_ITEMS = 20_000
 
 _SUSPECT = _PY(SUSPECT_RANGES)
 _SIGN = re.compile(r"[^\w\s]|_")
@@ -79,9 +86,9 @@ def without_instructions(texts: list[str | None]) -> list[str]:
     ]
 
 
-def longest_run(document: list[str], item: list[str]) -> int:
+def longest_run(document: list, item: list) -> int:
     """Length of the longest run of consecutive words common to both."""
-    places: dict[str, list[int]] = {}
+    places: dict = {}
     for i, word in enumerate(item):
         places.setdefault(word, []).append(i)
     best, before = 0, {}
@@ -92,14 +99,9 @@ def longest_run(document: list[str], item: list[str]) -> int:
     return best
 
 
-def runs_of(words: list[str]) -> set[tuple[str, ...]]:
-    """The runs of MIN_RUN consecutive words."""
-    return set(zip(*(words[i:] for i in range(MIN_RUN)), strict=False))
-
-
-def common_words_in_order(document: list[str], item: list[str]) -> int:
+def common_words_in_order(document: list, item: list) -> int:
     """Length of the longest common subsequence of words, by bit-parallel dynamic programming."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, word in enumerate(item):
         places[word] = places.get(word, 0) | 1 << i
     full = (1 << len(item)) - 1
@@ -110,55 +112,44 @@ def common_words_in_order(document: list[str], item: list[str]) -> int:
     return len(item) - row.bit_count()
 
 
-def cut_passages(words: list, length: int, step: int) -> list[list]:
+def cut_passages(words: np.ndarray, length: int, step: int) -> list[np.ndarray]:
     """Overlapping passages that together are all of ``words``."""
-    if not words:
+    if not len(words):
         return []
     last = max(0, len(words) - length)
     return [words[i : i + length] for i in [*range(0, last, step), last]]
 
 
 class HeldOut:
-    """The held-out items on the driver: words, vocabulary and passages."""
+    """The held-out items on the driver: words as codes of one vocabulary, passages, answers."""
 
     def __init__(self, rows: list[tuple]) -> None:
         """``rows`` are (id, text without instruction, answer)."""
         self.ids = [r[0] for r in rows]
-        self.words = [normal_words(r[1]) for r in rows]
-        self.answers = [(r[2] or "").strip().casefold() for r in rows]
-        terms = sorted({w for words in self.words for w in words})
+        words, answers = [normal_words(r[1]) for r in rows], [normal_words(r[2]) for r in rows]
+        terms = sorted({w for part in (words, answers) for ws in part for w in ws})
         self.codes = {w: i + 1 for i, w in enumerate(terms)}
         self.kind = np.uint16 if len(terms) < 65_535 else np.uint32
-        self.passages = [
-            (i, p) for i, words in enumerate(self.words) for p in cut_passages([self.codes[w] for w in words], PASSAGE, PASSAGE_STEP)
-        ]
+        self.words, self.answers = list(map(self.encode, words)), list(map(self.encode, answers))
+        same = Counter(map(tuple, answers))
+        most = max(2, int(SAME_ANSWER * len(rows)))
+        self.telling = [bool(a) and same[tuple(a)] <= most for a in answers]  # answers that few items have
+        self.passages = [(i, p) for i, ws in enumerate(self.words) for p in cut_passages(ws, PASSAGE, PASSAGE_STEP)]
 
     def encode(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.codes.get(w, 0) for w in words), self.kind, len(words))
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, items) of the runs of MIN_RUN words of all items, in the order of the hashes."""
-        hashes = [np.unique(run_hashes(self.encode(words))) for words in self.words]
+        hashes = [np.unique(run_hashes(words)) for words in self.words]
         owners = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         flat = np.concatenate(hashes)
         order = np.argsort(flat, kind="stable")
         return flat[order], owners[order]
 
-    def overlap_blocks(self) -> list[tuple]:
-        """(first item, terms, items, times, least) of each OVERLAP_ITEMS items: how often each term
-        stands in an item, and the words that make up MIN_SHARE of the item."""
-        blocks = []
-        for at in range(0, len(self.words), OVERLAP_ITEMS):
-            part = self.words[at : at + OVERLAP_ITEMS]
-            rows = [(self.codes[w], i, n) for i, words in enumerate(part) for w, n in Counter(words).items()]
-            terms, items, times = np.array(rows, np.int64).reshape(-1, 3).T
-            least = np.array([max(1, np.ceil(MIN_SHARE * len(words) - 1e-6)) for words in part], np.int64)
-            blocks.append((at, terms, items, times, least))
-        return blocks
-
-
-def held_out_blocks(items: DataFrame, key: str, text: str, answer: str | None = None) -> list[HeldOut]:
-    """The items, in blocks of BLOCK_ITEMS in the order of their ids; null ids are left out."""
+
+def held_out(items: DataFrame, key: str, text: str, answer: str | None = None) -> HeldOut:
+    """The items in the order of their ids; null ids are left out."""
     columns = [F.col(key).alias("id"), F.col(text).alias("text")]
     columns.append(F.col(answer).alias("answer") if answer else F.lit(None).cast("string").alias("answer"))
     rows = items.select(*columns).where("id IS NOT NULL").limit(MAX_ITEMS + 1).collect()
@@ -166,8 +157,75 @@ def held_out_blocks(items: DataFrame, key: str, text: str, answer: str | None =
         raise ValueError(f"more than {MAX_ITEMS} held-out items; give them in several calls")
     rows.sort(key=lambda r: (r["id"], r["text"] or ""))
     texts = without_instructions([r["text"] for r in rows])
-    whole = [(r["id"], t, r["answer"]) for r, t in zip(rows, texts, strict=True)]
-    return [HeldOut(whole[i : i + BLOCK_ITEMS]) for i in range(0, len(whole), BLOCK_ITEMS)]
+    return HeldOut([(r["id"], t, r["answer"]) for r, t in zip(rows, texts, strict=True)])
+
+
+@dataclass
+class Lists:
+    """Numbers in lists one after the other: list n is values[starts[n]:starts[n + 1]], with a count each."""
+
+    starts: np.ndarray
+    values: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray, lists: int) -> "Lists":
+        """Of (list, value, count) as columns of three rows."""
+        order = np.argsort(rows[0], kind="stable")
+        return cls(np.searchsorted(rows[0][order], np.arange(lists + 1)), rows[1][order], rows[2][order])
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among ``numbers``, value, count) of all members of these lists."""
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        place = np.repeat(np.arange(len(numbers)), sizes)
+        at = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[numbers], sizes)
+        return place, self.values[at], self.counts[at]
+
+
+class WordIndex:
+    """Finds the documents that hold MIN_SHARE of an item's words, whatever the frequency of the words is.
+
+    Of an item of n words a document must have m. Outside the rarest words that make up n - m + k there are
+    m - k, so the document must have k of the rarest; only then all are counted.
+    """
+
+    def __init__(self, words: list[np.ndarray], weights: np.ndarray) -> None:
+        terms, rare = [np.empty((3, 0), np.int64)], [np.empty((3, 0), np.int64)]
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.terms, self.sizes = len(weights), sizes
+        self.least = np.maximum(1, np.ceil(MIN_SHARE * sizes - 1e-6)).astype(np.int64)
+        self.first = np.maximum(1, np.ceil(PREFIX_SHARE * sizes)).astype(np.int64)
+        for i, ws in enumerate(words):
+            here, times = np.unique(ws, return_counts=True)
+            order = np.argsort(-weights[here], kind="stable")
+            here, times = here[order].astype(np.int64), times[order]
+            before = np.cumsum(times) - times
+            prefix = before < sizes[i] - self.least[i] + self.first[i]
+            number = np.full(len(here), i)
+            terms.append(np.stack([number, here, times]))
+            rare.append(np.stack([here, number, times])[:, prefix])
+        self.of_item = Lists.of(np.concatenate(terms, axis=1), len(words))
+        self.of_term = Lists.of(np.concatenate(rare, axis=1), len(weights))
+
+    def present(self, codes: list[np.ndarray]) -> np.ndarray:
+        """The terms of each document, as document * terms + term in order."""
+        document = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        return np.unique(document * self.terms + np.concatenate(codes).astype(np.int64))
+
+    def shared(self, present: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """How many of the item's words the document of each pair has."""
+        place, term, times = self.of_item.take(pairs[1])
+        keys = pairs[0][place] * self.terms + term
+        at = np.minimum(np.searchsorted(present, keys), len(present) - 1)
+        return np.bincount(place, times * (present[at] == keys), pairs.shape[1]).astype(np.int64)
+
+    def candidates(self, present: np.ndarray) -> np.ndarray:
+        """(documents, items) as two rows: the pairs with enough of the item's rarest words."""
+        place, item, times = self.of_term.take(present % self.terms)
+        items = len(self.sizes)
+        keys, inverse = np.unique(present[place] // self.terms * items + item, return_inverse=True)
+        enough = np.bincount(inverse, times, len(keys)) >= self.first[keys % items]
+        return np.stack([keys[enough] // items, keys[enough] % items])
 
 
 def encoded(documents: DataFrame, key: str, text: str, held: HeldOut) -> DataFrame:
@@ -214,50 +272,126 @@ def term_weights(counts: np.ndarray, documents: int) -> np.ndarray:
     return weights.astype(np.float32)
 
 
+def _passage_rows(held: HeldOut, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, values) of the TF-IDF row of each passage, divided by its length."""
+    for _, passage in held.passages:
+        terms, times = np.unique(passage, return_counts=True)
+        row = times * weights[terms]
+        yield terms, (row / max(np.linalg.norm(row), 1e-9)).astype(np.float32)
+
+
+def _sketch(passages: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A basis for the TF-IDF matrix A of the passages (codes): each task adds up its own, and the sums are
+    added by blocks of SKETCH_TERMS terms."""
+    shared = passages.sparkSession.sparkContext.broadcast((weights, basis))
+    size, width = basis.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, basis = shared.value
+        total = np.zeros((size, width), np.float32)
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                terms, times = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
+                row = times * weights[terms]
+                row = (row / max(np.linalg.norm(row), 1e-9)).astype(np.float32)
+                total[terms] += np.outer(row, row @ basis[terms])
+        for at in range(0, size, SKETCH_TERMS):
+            block = total[at : at + SKETCH_TERMS]
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([block.tobytes()], pa.binary())], ["block", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float32) for x in table.column("sums"))
+        return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    parts = passages.mapInArrow(run, "block bigint, sums binary").groupBy("block").applyInArrow(add, "block bigint, sums binary")
+    sums = np.zeros((size, width), np.float32)
+    for r in parts.collect():  # together one matrix of terms and dimensions
+        block = np.frombuffer(r["sums"], np.float32).reshape(-1, width)
+        sums[r["block"] : r["block"] + len(block)] = block
+    shared.destroy()
+    return sums
+
+
+def _orthonormal(matrix: np.ndarray) -> np.ndarray:
+    """A basis of the space of the columns, without directions that are next to nothing."""
+    values, vectors = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
+    kept = values > 1e-10 * max(values.max(initial=0.0), 1e-30)
+    return (matrix @ (vectors[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
+
+
 def latent_space(spark, held: HeldOut, weights: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(basis, passages): right singular vectors of the passages' TF-IDF matrix, and the passages in it,
-    each divided by its whole length.
+    """(basis, points): right singular vectors of the passages' TF-IDF matrix, and the passages' directions in
+    their space.
 
-    The sketch Y = A'AΩ is summed over the partitions of the passages; a Nyström decomposition of
-    (Y, Ω'Y) gives the singular vectors and values.
+    A random sketch is multiplied by A'A over all partitions of the passages, made orthonormal, multiplied
+    once more, and turned to the singular vectors by the eigenvectors of the small matrix (Rayleigh-Ritz).
     """
     size = len(weights)
     rank = min(RANK, len(held.passages), size)
-    width = min(rank + 16, size)
-    omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0].astype(np.float32)
-    rows = [(i, np.asarray(p, np.int64).tobytes()) for i, (_, p) in enumerate(held.passages)]
-    slices = max(1, len(rows) // 256)
-    passages = spark.createDataFrame(rows, "passage bigint, codes binary").repartition(slices, "passage")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, width), np.float64)
-        for batch in batches:
-            for packed in batch.codes:
-                terms, times = np.unique(np.frombuffer(packed, np.int64), return_counts=True)
-                row = times * weights[terms]
-                total[terms] += np.outer(row, row @ omega[terms])
-        yield pd.DataFrame({"part": [0], "sums": [total.tobytes()]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"sums": [sum(np.frombuffer(s) for s in frame.sums).tobytes()]})
-
-    parts = passages.mapInPandas(run, "part int, sums binary")
-    sums = parts.groupBy("part").applyInPandas(add, "sums binary").collect()
-    sketch = np.frombuffer(sums[0]["sums"]).reshape(size, width) if sums else np.zeros((size, width))
-    shift = 1e-7 * np.linalg.norm(sketch)
-    shifted = sketch + shift * omega
-    core = omega.T @ shifted
+    width = min(rank + OVERSAMPLING, size)
+    omega = np.random.default_rng(seed).standard_normal((size, width)).astype(np.float32)
+    rows = [(i, p.astype(np.int64).tobytes()) for i, (_, p) in enumerate(held.passages)]
+    slices = -(-len(rows) // 1024)
+    passages = spark.createDataFrame(rows, "passage bigint, codes binary").repartition(slices, "passage").select("codes")
+    basis = _orthonormal(_sketch(passages, weights, omega))
+    image = _sketch(passages, weights, basis)
+    core = basis.T @ image
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    root = vectors / np.sqrt(np.maximum(values, 1e-12))
-    left, singular, _ = np.linalg.svd(shifted @ root, full_matrices=False)
-    kept = singular[:rank] ** 2 > 2 * shift
-    basis = left[:, :rank][:, kept].astype(np.float32)
+    best = np.argsort(-values)[:rank]
+    basis = (basis @ vectors[:, best[values[best] > 1e-9]]).astype(np.float32)
     points = np.zeros((len(held.passages), basis.shape[1]), np.float32)
-    for i, (_, p) in enumerate(held.passages):
-        terms, times = np.unique(p, return_counts=True)
-        row = times * weights[terms]
-        points[i] = row @ basis[terms] / max(np.linalg.norm(row), 1e-9)
-    return basis, points
+    for i, (terms, row) in enumerate(_passage_rows(held, weights)):
+        points[i] = row @ basis[terms]
+    return basis, _directions(points)
+
+
+def _directions(points: np.ndarray) -> np.ndarray:
+    return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
+
+
+class LatentIndex:
+    """Finds the passages near a window of a document by their cosine in the latent space."""
+
+    def __init__(self, held: HeldOut, weights: np.ndarray, basis: np.ndarray, points: np.ndarray, seed: int = 7) -> None:
+        self.weights, self.projection = weights, weights[:, None] * basis
+        # windows that weigh less than nearly all runs of the items are not looked at
+        runs = [np.sort(weights[ws][r : r + MIN_RUN])[:-2].sum() for ws in held.words for r in range(0, max(1, len(ws) - MIN_RUN + 1), 4) if len(ws)]
+        self.least = float(np.quantile(runs, LIGHT)) if runs else 0.0
+        centroids = points[np.random.default_rng(seed).choice(len(points), max(1, int(len(points) ** 0.5)), replace=False)]
+        for _ in range(6):
+            nearest = np.argmax(points @ centroids.T, axis=1)
+            sums = np.zeros_like(centroids)
+            np.add.at(sums, nearest, points)
+            centroids = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _directions(sums), centroids)
+        nearest = np.argmax(points @ centroids.T, axis=1)
+        owner = np.array([i for i, _ in held.passages])
+        self.centroids = centroids
+        self.lists = [(points[nearest == c], owner[nearest == c]) for c in range(len(centroids))]
+
+    def near(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the pairs with a cosine of MIN_COSINE, in blocks of windows."""
+        found = [np.empty((2, 0), np.int64)]
+        heavy = np.flatnonzero(self.weights[rows].sum(axis=1) >= self.least)
+        for at in range(0, len(heavy), 1024):
+            numbers = heavy[at : at + 1024]
+            places = _directions(self.projection[rows[numbers]].sum(axis=1))
+            cosines = places @ self.centroids.T
+            probes = min(max(PROBES, int(PROBED_PART * len(self.centroids))), len(self.centroids))
+            bound = -np.partition(-cosines, probes - 1, axis=1)[:, probes - 1 : probes]
+            probed = cosines >= bound
+            for c, (points, owner) in enumerate(self.lists):
+                here = np.flatnonzero(probed[:, c])
+                if len(here) and len(points):
+                    window, passage = np.nonzero(places[here] @ points.T >= MIN_COSINE)
+                    found.append(np.stack([numbers[here[window]], owner[passage]]))
+        return tuple(np.concatenate(found, axis=1))
+
+    def candidates(self, codes: list[np.ndarray]) -> np.ndarray:
+        """(documents, items) as two rows: all pairs with a window near a passage."""
+        rows, documents = windows(codes)
+        window, item = self.near(rows)
+        return np.unique(np.stack([documents[window], item]), axis=1)
 
 
 def windows(codes: list[np.ndarray], width: int = WINDOW, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -275,39 +409,6 @@ def windows(codes: list[np.ndarray], width: int = WINDOW, step: int = STEP) -> t
     return np.where(inside, flat[np.where(inside, places + offsets, 0)], 0), documents
 
 
-def near_passages(
-    rows: np.ndarray, weights: np.ndarray, space: np.ndarray, points: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """(window, passage) of all pairs with a cosine of MIN_COSINE, in blocks of windows."""
-    found = [np.empty((2, 0), np.int64)]
-    weighted = weights[:, None] * space
-    for at in range(0, len(rows), 512):
-        block = rows[at : at + 512]
-        w = weights[block]
-        same = block[:, :, None] == block[:, None, :]
-        length = np.sqrt(np.einsum("ni,nij,nj->n", w, same, w))
-        near = weighted[block].sum(axis=1) @ points.T
-        hits = np.argwhere(near >= MIN_COSINE * length[:, None]).T
-        hits[0] += at
-        found.append(hits)
-    return tuple(np.concatenate(found, axis=1))
-
-
-def overlapping(codes: list[np.ndarray], size: int, blocks: list[tuple]) -> np.ndarray:
-    """(documents, items) as two rows: all pairs in which the document holds enough of the item's words to
-    have MIN_SHARE of them in order, whatever the frequency of the words is."""
-    present = [np.unique(c).astype(np.int64) for c in codes]
-    pairs = [np.empty((2, 0), np.int64)]
-    for first, terms, items, times, least in blocks:
-        table = np.zeros((size, len(least)), np.uint16 if least.max() < 30_000 else np.int64)
-        table[terms, items] = times
-        for at, here in enumerate(present):
-            near = np.flatnonzero(np.add.reduce(table[here], axis=0, dtype=table.dtype) >= least)
-            if len(near):
-                pairs.append(np.stack([np.full(len(near), at), near + first]))
-    return np.concatenate(pairs, axis=1)
-
-
 def run_hashes(codes: np.ndarray) -> np.ndarray:
     """A hash of each run of MIN_RUN consecutive codes, equal for equal runs."""
     hashes = np.zeros(max(0, len(codes) - MIN_RUN + 1), np.uint64)
@@ -333,86 +434,92 @@ def sharing_runs(codes: list[np.ndarray], hashes: np.ndarray, owners: np.ndarray
     return np.stack([np.repeat(found[0], counts), owners[np.repeat(found[1], counts) + nth]])
 
 
-def candidates(coded: DataFrame, held: HeldOut, weights: np.ndarray, space: np.ndarray, points: np.ndarray) -> DataFrame:
-    """(id, item) of the pairs with a window and a passage close in the latent space, and of those that
-    share a run of MIN_RUN words or MIN_SHARE of the item's words; item by number."""
-    kind = held.kind
-    owner = np.array([i for i, _ in held.passages])
-    # By Cauchy and Schwarz a window reaches the cosine only if its terms, with the weight they have in
-    # the passage that has most of them, make up this much; lighter windows are not projected.
-    bound, lightest = np.zeros_like(weights), np.inf
-    for _, passage in held.passages:
-        terms, times = np.unique(passage, return_counts=True)
-        bound[terms] = np.maximum(bound[terms], (times * weights[terms]) ** 2)
-        lightest = min(lightest, float(((times * weights[terms]) ** 2).sum()) or np.inf)
-    least = MIN_COSINE**2 * lightest * 0.999
-    broadcast = coded.sparkSession.sparkContext.broadcast((weights, bound, space, points, owner, held.overlap_blocks(), held.runs()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bound, space, points, owner, blocks, runs = broadcast.value
-        for batch in batches:
-            codes = [np.frombuffer(packed, kind) for packed in batch.column(1).to_pylist()]
-            rows, documents = windows(codes)
-            heavy = bound[rows].sum(axis=1) >= least
-            near, passages = near_passages(rows[heavy], weights, space, points)
-            latent = np.stack([documents[heavy][near], owner[passages]])
-            exact = [overlapping(codes, len(weights), blocks), sharing_runs(codes, *runs)]
-            pairs = np.unique(np.concatenate([latent, *exact], axis=1), axis=1)
-            taken = batch.column(0).take(pa.array(pairs[0]))
-            yield pa.RecordBatch.from_arrays([taken, pa.array(pairs[1])], ["id", "item"])
-
-    return coded.mapInArrow(run, f"id {dict(coded.dtypes)['id']}, item bigint")
+@dataclass
+class Index:
+    """All that a task needs to find and check the leaks of its documents."""
+
+    held: HeldOut
+    latent: LatentIndex
+    words: WordIndex
+    runs: tuple[np.ndarray, np.ndarray]
+
+    def leaks(self, codes: list[np.ndarray]) -> Iterator[tuple]:
+        """(document, item, kind, way, run, share, answer found) of a batch of documents, both by number."""
+        items, present = len(self.held.words), self.words.present(codes)
+        latent = self.latent.candidates(codes)
+        numbers = lambda pairs: pairs[0] * items + pairs[1]
+        by_latent, by_run = numbers(latent), numbers(sharing_runs(codes, *self.runs))
+        every = np.unique(np.concatenate([by_latent, by_run, numbers(self.words.candidates(present))]))
+        pairs = np.stack([every // items, every % items])
+        shared, size = self.words.shared(present, pairs), self.words.sizes[pairs[1]]
+        proposed, same_run = np.isin(every, by_latent), np.isin(every, by_run)
+        enough = (shared >= self.words.least[pairs[1]]) | same_run
+        telling = np.array(self.held.telling, bool)[pairs[1]] & proposed & (shared >= PARAPHRASE_SHARE * size)
+        for at in np.flatnonzero(enough | telling):
+            document, item = codes[pairs[0][at]], self.held.words[pairs[1][at]]
+            known = np.isin(document, item)
+            run = longest_run(np.where(known, document, 0).tolist(), item.tolist())
+            share = common_words_in_order(document[known].tolist(), item.tolist()) / len(item)
+            answered = contains(document, self.held.answers[pairs[1][at]])
+            if run >= MIN_RUN:
+                kind = "run"
+            elif share >= MIN_SHARE:
+                kind = "reworked"
+            elif telling[at] and answered and share >= PARAPHRASE_SHARE:
+                kind = "paraphrase"
+            else:
+                continue
+            yield int(pairs[0][at]), int(pairs[1][at]), kind, "latent" if proposed[at] else "exact", run, share, answered
+
+
+def contains(document: np.ndarray, words: np.ndarray) -> bool:
+    """Whether the words stand in the document one after the other; false for no words."""
+    if not len(words) or len(words) > len(document):
+        return False
+    starts = np.flatnonzero(document[: len(document) - len(words) + 1] == words[0])
+    return any(np.array_equal(document[s : s + len(words)], words) for s in starts)
 
 
 def find(
     documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, answer: str | None = None
 ) -> DataFrame:
-    """(key, item_key, run, share, answer_found): each document that carries at least MIN_RUN
-    consecutive words of an item, or MIN_SHARE of its words in order."""
+    """(key, item_key, kind, way, run, share, answer_found): each document that carries at least MIN_RUN
+    consecutive words of an item (kind run), MIN_SHARE of its words in order (reworked), or PARAPHRASE_SHARE of
+    them and its answer (paraphrase); way tells whether the latent search proposed it or only an exact one."""
     spark = documents.sparkSession
     id_type, item_type = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
-    schema = f"`{key}` {id_type}, `{item_key}` {item_type}, run int, share double, answer_found boolean"
-    found = spark.createDataFrame([], schema)
-    kind = to_arrow_type(items.schema[item_key].dataType)
-    for held in held_out_blocks(items, item_key, item_text, answer):
-        if held.passages:
-            found = found.unionAll(_leaks_of_block(documents, key, text, held, schema, kind))
+    schema = f"`{key}` {id_type}, `{item_key}` {item_type}, kind string, way string, run int, share double, answer_found boolean"
+    held = held_out(items, item_key, item_text, answer)
+    if not held.passages:
+        return spark.createDataFrame([], schema)
+    coded = cut_lineage(encoded(documents, key, text, held))
+    index = spark.sparkContext.broadcast(_index(spark, coded, held))
+    found = coded.mapInArrow(_finder(index, schema, to_arrow_type(items.schema[item_key].dataType)), schema)
     return found.dropDuplicates([key, item_key])
 
 
-def _leaks_of_block(documents: DataFrame, key: str, text: str, held: HeldOut, schema: str, item_kind: pa.DataType) -> DataFrame:
-    spark = documents.sparkSession
-    coded = cut_lineage(encoded(documents, key, text, held))
-    counts, total = document_frequencies(coded, held)
-    weights = term_weights(counts, total)
-    space, points = latent_space(spark, held, weights)
-    pairs = cut_lineage(candidates(coded, held, weights, space, points))
-    ids, words, answers = held.ids, held.words, held.answers
-    kinds = [item_kind, pa.int32(), pa.float64(), pa.bool_()]
+def _index(spark, coded: DataFrame, held: HeldOut) -> Index:
+    weights = term_weights(*document_frequencies(coded, held))
+    return Index(held, LatentIndex(held, weights, *latent_space(spark, held, weights)), WordIndex(held.words, weights), held.runs())
+
+
+#: Documents that a task looks at together.
+BATCH = 512
 
+
+def _finder(index: Broadcast, schema: str, item_kind: pa.DataType):
     names = T._parse_datatype_string(schema).names
+    kinds = [item_kind, pa.string(), pa.string(), pa.int32(), pa.float64(), pa.bool_()]
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        times, runs = list(map(Counter, words)), list(map(runs_of, words))
-        for batch in batches:
-            out: list[tuple] = []
-            for at, (value, numbers) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                document = normal_words(value)
-                present, here = set(document), runs_of(document)
-                for number in sorted(set(numbers)):
-                    item = words[number]
-                    shared = sum(n for w, n in times[number].items() if w in present)
-                    if shared < MIN_SHARE * len(item) - 1e-6 and here.isdisjoint(runs[number]):
-                        continue  # neither measure can be reached
-                    run = longest_run(document, item)
-                    share = common_words_in_order(document, item) / len(item)
-                    if run >= MIN_RUN or share >= MIN_SHARE:
-                        out.append((at, ids[number], run, share, bool(answers[number]) and answers[number] in present))
-            at, *columns = map(list, zip(*out, strict=True)) if out else [[]] * 5
-            rest = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
-            taken = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken, *rest], names)
-
-    lists = pairs.groupBy("id").agg(F.collect_set("item").alias("items"))  # at most as many as there are items
-    texts = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return sized_join(texts, cut_lineage(lists), ["id"]).select("id", "text", "items").mapInArrow(check, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = index.value.held
+        for whole in batches:
+            for first in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(first, BATCH)
+                codes = [np.frombuffer(packed, held.kind) for packed in batch.column(1).to_pylist()]
+                out = [(at, held.ids[item], *rest) for at, item, *rest in index.value.leaks(codes)]
+                at, *columns = map(list, zip(*out, strict=True)) if out else [[]] * 7
+                rest = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *rest], names)
+
+    return run

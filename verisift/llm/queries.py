@@ -96,11 +96,11 @@ def p6_leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p6_leaks(spark, sf).select("doc_id", "item_id")
+    return p6_leaks(spark, sf).where("kind <> 'paraphrase'").select("doc_id", "item_id")
 
 
 def p6_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
-    leaks = p6_leaks(spark, sf).groupBy("item_id").agg(
+    leaks = p6_leaks(spark, sf).where("kind <> 'paraphrase'").groupBy("item_id").agg(
         F.count("*").alias("documents"), F.max("run").alias("longest_run"), F.max("share").alias("largest_share")
     )
     split = table(spark, sf, "eval_items").select("item_id", "split_name")
