@@ -2,9 +2,10 @@
 
 Method: characters, case, white space, punctuation and the order of named fields are brought to one
 form in the JVM; that form is hashed to 128 bits; and groups are counted with map-side combining, the
-length and a CRC-32 of the form standing in the key as a check against collisions. No text is
+length and a CRC-32 of the form standing in the key as a check against collisions. For finding, no text is
 shuffled, no group is collected: a group of copies, however large, is one row of partial sums on every
-task, and its members find their group through a join that is broadcast or salted by counted size.
+task, and its members find their group through a join that is broadcast or salted by counted size. Only
+:func:`collapse` shuffles rows, by their ids, where the members of groups are too many to be broadcast.
 
 Defined results for odd input: null, empty and blank texts belong to no group and are kept as they
 are, one by one; a text of signs only is its own content; equal ids in several rows count as several
@@ -47,6 +48,18 @@ def _fields(pairs: Column) -> Column:
     return F.array_join(F.array_sort(named), "\u0003")
 
 
+def _object_fields(text: Column) -> Column:
+    """The (key, value) fields of a text that is a JSON object, else null. Objects within it have their fields in
+    order and in lower case; the numbers of such a text become texts, as they are compared by their digits."""
+    whole = F.when(text.rlike(r"(?s)^\s*\{.*\}\s*$"), text)
+    nested = F.when(whole.rlike(r"[:\[,]\s*[\[{]"), whole)
+    quoted = F.regexp_replace(nested, r"(?<=[:\[,\s])(-?[0-9][0-9.eE+-]*)(?=\s*[,\]}])", r'"$1"')
+    read = lambda t: F.from_json(t, "map<string,string>", {"allowSingleQuotes": "false"})
+    fields = F.map_entries(F.coalesce(read(quoted), read(whole)))
+    inner = lambda v: F.to_json(F.try_parse_json(F.when(v.rlike(r"^[\[{]"), F.lower(v))))
+    return F.transform(fields, lambda p: F.struct(p["key"].alias("key"), F.coalesce(inner(p["value"]), p["value"]).alias("value")))
+
+
 def _list_pairs(text: Column) -> Column:
     """The (name, value) pairs of a text that is a list of such pairs, else null. Of the separators
     that cut the whole text into pairs, the one that gives the most is taken."""
@@ -73,9 +86,7 @@ def _list_pairs(text: Column) -> Column:
 def content(text: Column) -> Column:
     """One form of all texts that differ only in white space, case, punctuation or the order of named
     fields. JSON objects, lists of fields and running text never have the same form."""
-    as_json = F.when(
-        text.rlike(r"(?s)^\s*\{.*\}\s*$"), F.map_entries(F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"}))
-    )
+    as_json = _object_fields(text)
     as_list = F.when(text.rlike(rf"(?s)^[^:=]{{1,80}}[:=].*[:=]"), _list_pairs(text))
     return F.coalesce(
         F.when(F.size(as_json) > 0, F.concat(F.lit("\u0004"), _fields(as_json))),
