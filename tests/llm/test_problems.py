@@ -291,7 +291,8 @@ def test_same_content(spark):
     groups = [
         ["The harvest, of 4.2 tons - was good.", "the  HARVEST of 4.2 tons\nwas good", "“The harvest of 4.2 tons was good”", "The harvest | of 4.2 tons; was good..."],
         ["The harvest of 42 tons was good."], ["The harvest of 4,2 tons was good."],
-        ['{"a": "x", "b": "1"}', '{\n "b":"1",\n "a":"X"}'], ['{"a": "1", "b": "x"}'], ["a: x; b: 1", "B = 1 | A = x", "a : x, b : 1"], ["a: 1; b: x"],
+        ['{"a": "x", "b": "1"}', '{\n "b":"1",\n "a":"X"}'], ['{"a": "1", "b": "x"}'], ['{"a": {"x": 1.50, "y": [2, {"p": 1, "q": "z"}]}, "c": 3}', '{"C": 3, "A": {"y": [2, {"q": "Z", "p": 1}], "X": 1.50}}'],
+        ['{"a": {"x": 1.5, "y": [2, {"p": 1, "q": "z"}]}, "c": 3}'], ['{"a": {"x": 1.50, "y": [{"p": 1, "q": "z"}, 2]}, "c": 3}'], ["a: x; b: 1", "B = 1 | A = x", "a : x, b : 1"], ["a: 1; b: x"],
         ["One. Two."], ["Two. One."], ["GROSSE STRASSE", "große straße"], ["Rin dam: 5. Rin mayor: Ane Lo. Rin area: 4.2.", "RIN  AREA: 4.2. RIN\nMAYOR: ANE LO - RIN DAM: 5", "Rin area: 4.2 | Rin dam: 5 | Rin mayor: Ane Lo"],
         ["Rin dam: 4.2. Rin mayor: Ane Lo. Rin area: 5."], ["Rin dam: 5. Then it rained. Rin area: 4.2."], ["Rin area: 4.2. Then it rained. Rin dam: 5."],
         ["The x bridge: 4.\n\nThe x dam: 5.", "The x bridge: 4. The x dam: 5."], ["!!!"], ["???"], ["12 45"], ["1245"],
@@ -588,6 +589,20 @@ def test_repeated_prompts_are_boilerplate():
     assert quality.measure_text(five[0], bits, 1)[-1] == "prose"
 
 
+def test_native_statistics_like_the_row_wise_ones(spark, data):
+    words = spark.read.parquet(f"{data}/common_words.parquet")
+    bits, languages = quality.common_bits(words)
+    odd = [
+        "\u00a0", " \u2003 x.\u2003\n\n“Of the…”)", "a\x1cb the\x85of", "é è ½ ²_#", "x" * 30 + "." + "'" * 30, "\x0b",
+        "The THE (the) the.\nder die das", None, "",
+    ]
+    texts = odd + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    rows = quality.measure(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", words).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r[name] for name in quality.STATISTICS) == quality.measure_text(texts[r.i], bits, languages), texts[r.i]
+
+
 def test_statistics(spark, data):
     assert rows_of(queries.p8_statistics(spark, data)) == sql_rows(data, queries.oracle_sql()["p8_statistics"])
     words = spark.createDataFrame(COMMON, "lang string, word string")

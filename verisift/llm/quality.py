@@ -1,13 +1,14 @@
 """Problem 8: per-document text quality statistics.
 
-Method: word, symbol, line-end and common-word statistics; repetition statistics on top (shares of
-duplicate lines and paragraphs, share of characters under the dominant run of 2 to 10 words; sentences that
-are mostly repetition are boilerplate); and combined rules
-that tell lines of running sentences from items of lists, rows of tables and junk. A document is not
-prose when more than half of its characters belong to such lines.
+Method: word, symbol, line-end and common-word statistics, as native expressions; repetition statistics on
+top (shares of duplicate lines and paragraphs, share of characters under the dominant run of 2 to 10 words;
+sentences that are mostly repetition are boilerplate); and combined rules that tell lines of running sentences
+from items of lists, rows of tables and junk. A document is not prose when more than half of its characters
+belong to such lines.
 
-Each document is measured alone, in Arrow batches; there is no shuffle and nothing is sent anywhere.
-Work is linear in the length of a text.
+Each document is measured alone; there is no shuffle and nothing is sent anywhere. Only what looks at lines
+and their neighbours, or at repetition, runs in Python, over Arrow batches. Work is linear in the length of a
+text.
 
 Defined results for odd input: a null text has null statistics and kind ``empty``; an empty or blank
 text has zeros and kind ``empty``; every row is measured, copies included; extra columns pass through
@@ -21,25 +22,26 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verisift.functions.text import WHITESPACE, not_blank
+
 #: Signs taken off the ends of a word before it is compared.
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡·•"
-STATISTICS = {
-    "word_count": "bigint",
-    "mean_word_length": "double",
-    "symbol_ratio": "double",
-    "punctuated_line_share": "double",
-    "common_word_share": "double",
+#: Statistics of words, signs and ends of lines, which are native, and those of lines and repetition.
+PLAIN = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
+JUDGED = {
     "duplicate_line_share": "double",
     "duplicate_paragraph_share": "double",
     "top_bigram_share": "double",
+    "top_run_share": "double",
     "prose_share": "double",
     "kind": "string",
 }
-SCHEMA = ", ".join(f"{name} {kind}" for name, kind in STATISTICS.items())
+STATISTICS = (*PLAIN, *JUDGED)
+SCHEMA = ", ".join(f"{name} {kind}" for name, kind in JUDGED.items())
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Characters at which Python splits words, but these statistics do not.
@@ -71,7 +73,7 @@ def line_is_prose(line: str, words: list[str], common: int) -> bool | None:
         odd = [w for w in words if not w.isalnum()]
         if len(odd) > 0.12 * n + 0.5 and sum(1 for w in odd if not _CLEAN.fullmatch(w)) > 0.12 * n + 0.5:
             return False
-    ended = bool(_END.search(line.rstrip()[-12:]))
+    ended = bool(_END.search(line.rstrip()))
     if not (ended and common >= 0.15 * n and n >= 8) and _ROW.search(line.strip()):
         return False
     if common < max(0.1 * n, 1) and _GAPS.search(line.strip()):
@@ -95,7 +97,7 @@ def prose_characters(lines: list[str], marks: list[bool | None]) -> int:
     for line, mark in zip(lines, marks, strict=True):
         if mark is None:
             mark = before and not _ITEM.match(line) and not _PAIR.match(line)
-        before = mark and not _END.search(line.rstrip()[-12:])
+        before = mark and not _END.search(line.rstrip())
         if mark:
             total += len(line)
     return total
@@ -130,18 +132,11 @@ def covered(words: list[str], chars: int) -> float:
     return best
 
 
-def measure_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
-    """The statistics of one text, in the order of STATISTICS.
-
-    ``common`` gives for each frequent word the languages it belongs to, as bits.
-    """
-    if text is None:
-        return (None,) * 9 + ("empty",)
-    lines = [x for x in text.split("\n") if x.strip()]
-    solid = len(text) - sum(map(text.count, " \t\n\r\f\v"))
-    if not solid or not lines:
-        return (0,) + (0.0,) * 8 + ("empty",)
+def _looked_at(text: str, common: dict[str, int], languages: int) -> tuple[list[str], list[str], list[bool | None], Counter]:
+    """(lines, words, marks, hits): the lines that are not blank, all words without signs at their ends, whether each
+    line is running text, and the number of frequent words for each set of languages."""
     plain = not _OTHER_SPACE.search(text)
+    lines = [x for x in text.split("\n") if x.strip()]
     words: list[str] = []
     marks, hits = [], Counter()
     for line in lines:
@@ -151,26 +146,49 @@ def measure_text(text: str | None, common: dict[str, int], languages: int) -> tu
         marks.append(line_is_prose(line, here, _most(known, languages)))
         hits += known
         words += here
+    return lines, words, marks, hits
+
+
+def _solid(text: str) -> int:
+    return len(text) - sum(map(text.count, " \t\n\r\f\v"))
+
+
+def judged_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
+    """The statistics of lines and repetition of one text, in the order of JUDGED.
+
+    ``common`` gives for each frequent word the languages it belongs to, as bits.
+    """
+    if text is None:
+        return (None,) * 5 + ("empty",)
+    solid = _solid(text)
+    lines, words, marks, _ = _looked_at(text, common, languages)
+    if not solid or not lines:
+        return (0.0,) * 5 + ("empty",)
     chars = sum(map(len, lines))
     share = prose_characters(lines, marks) / chars
     repeats = Counter(lines)
     twice = sum((c - 1) * len(x) for x, c in repeats.items() if c > 1) / chars
     paragraphs = Counter(p for p in _PARAGRAPH.split(text) if p.strip())
-    top = top_bigram(words, solid)
+    top, run = top_bigram(words, solid), covered(words, solid)
     again = sum((c - 1) * len(x) for x, c in paragraphs.items() if c > 1) / len(text)
-    repeated = top > 0.5 or twice > 0.6 or again > 0.6 or covered(words, solid) > 0.5
+    repeated = top > 0.5 or twice > 0.6 or again > 0.6 or run > 0.5
     running, share = share >= 0.5, 0.0 if repeated else share
+    return twice, again, top, run, share, "prose" if share >= 0.5 else "boilerplate" if running else _kind(lines, marks)
+
+
+def measure_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
+    """All statistics of one text, in the order of STATISTICS: the row-wise twin of :func:`measure`."""
+    judged = judged_text(text, common, languages)
+    if judged[-1] == "empty":
+        return (None,) * 5 + judged if text is None else (0, *(0.0,) * 4, *judged)
+    lines, words, _, hits = _looked_at(text, common, languages)
     return (
         len(words),
-        solid / len(words),
+        _solid(text) / len(words),
         len(_SYMBOL.findall(text)) / len(text),
-        sum(1 for x in lines if _END.search(x.rstrip()[-12:])) / len(lines),
+        sum(1 for x in lines if _END.search(x.rstrip())) / len(lines),
         _most(hits, languages) / len(words),
-        twice,
-        again,
-        top,
-        share,
-        "prose" if share >= 0.5 else "boilerplate" if running else _kind(lines, marks),
+        *judged,
     )
 
 
@@ -208,26 +226,57 @@ def common_bits(common_words: DataFrame) -> tuple[dict[str, int], int]:
     return bits, len(langs)
 
 
-def _measurer(common: dict[str, int], languages: int) -> Callable:
+def statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
+    """``df`` with the statistics of PLAIN as further columns, by native expressions. Null for null, 0 for blank."""
+    bits, languages = common_bits(common_words)
+    value = F.col(text)
+    words = F.filter(F.split(value, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    lines = F.filter(F.split(value, "\n"), not_blank)
+    ended = F.filter(lines, lambda x: F.rtrim(x, F.lit(WHITESPACE)).rlike(_END.pattern))
+    bare = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(EDGE))))
+    lists = [[w for w, b in bits.items() if b >> k & 1] for k in range(languages)]
+    known = [F.size(F.filter(bare, _in(own))) for own in lists]
+    most = F.greatest(*known, F.lit(0)) if known else F.lit(0)
+    empty = (F.size(words) == 0) | (F.size(lines) == 0)
+
+    def share(part: Column, whole: Column) -> Column:
+        return F.when(value.isNull(), None).when(empty, 0.0).otherwise(part / whole)
+
+    solid = F.length(F.translate(value, " \t\n\r\f\x0b", ""))
+    symbols = F.length(F.regexp_replace(value, r"[\p{L}\p{N}\p{Z}\s\x1c-\x1f\x{0085}]", ""))
+    count = F.when(value.isNull(), None).when(empty, 0).otherwise(F.size(words)).cast("bigint")
+    made = (count, share(solid, F.size(words)), share(symbols, F.length(value)), share(F.size(ended), F.size(lines)), share(most, F.size(words)))
+    return df.withColumns(dict(zip(PLAIN, made, strict=True)))
+
+
+def _in(own: list[str]) -> Callable[[Column], Column]:
+    return lambda w: w.isin(own)
+
+
+def _judge(common: dict[str, int], languages: int) -> Callable:
     @F.pandas_udf(T._parse_datatype_string(SCHEMA))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [measure_text(t if isinstance(t, str) else None, common, languages) for t in batch]
-            frame = pd.DataFrame(rows, columns=list(STATISTICS))
-            frame["word_count"] = frame["word_count"].astype("Int64")
-            yield frame
+            rows = [judged_text(t if isinstance(t, str) else None, common, languages) for t in batch]
+            yield pd.DataFrame(rows, columns=list(JUDGED))
 
     return run
 
 
+def judged(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
+    """``df`` with the statistics of JUDGED as further columns."""
+    kept = [F.col(c) for c in df.columns if c not in JUDGED]
+    found = df.select(*kept, _judge(*common_bits(common_words))(F.col(text)).alias("_judged"))
+    return found.select(*kept, *[F.col("_judged").getField(s).alias(s) for s in JUDGED])
+
+
 def measure(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
-    """``df`` with the statistics of ``text`` as further columns."""
+    """``df`` with all statistics of ``text`` as further columns."""
     kept = [F.col(c) for c in df.columns if c not in STATISTICS]
-    measured = df.select(*kept, _measurer(*common_bits(common_words))(F.col(text)).alias("_statistics"))
-    return measured.select(*kept, *[F.col("_statistics").getField(s).alias(s) for s in STATISTICS])
+    return judged(statistics(df, text, common_words), text, common_words).select(*kept, *STATISTICS)
 
 
 def find(df: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:
-    """(key) of the documents that are mostly a list, a table or junk. Null and blank texts are none."""
-    found = measure(df.select(key, text), text, common_words)
+    """(key) of the documents that are mostly a list, a table, junk or repetition. Null and blank texts are none."""
+    found = judged(df.select(key, text), text, common_words)
     return found.where("kind NOT IN ('prose', 'empty')").select(key).distinct()

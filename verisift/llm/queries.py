@@ -127,7 +127,8 @@ def p8_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return p8_quality(spark, sf).select("doc_id", *list(quality.STATISTICS)[:5])
+    columns = table(spark, sf, "documents").select("doc_id", "text")
+    return quality.statistics(columns, "text", table(spark, sf, "common_words")).drop("text")
 
 
 def queries() -> dict[str, Query]:
