@@ -166,3 +166,13 @@ def test_listed_snippets(spark):
 @given(st.text(alphabet='{}"final_swerquhyTF:, \\n[]', max_size=60))
 def test_reading_never_fails(output):
     assert decisions.decision_of(output)[0] in ("answer", "query", "invalid")
+
+
+def test_output_nested_too_deeply_is_invalid(spark):
+    deep = '[{"a":' * 10_000
+    read = lambda c: decisions.decision_kind(decisions.read_decision(c))
+    assert many(spark, [deep, "1" * 10_000, '{"final_answer": "True"}'], read) == ["invalid", "invalid", "answer"]
+
+
+def test_letter_counts():
+    assert similarity.LetterCounts().encode(["aAbz É"])[0] == [2.0, 1.0] + [0.0] * 23 + [1.0]

@@ -87,7 +87,8 @@ class ModelSettings:
 
 @dataclass(frozen=True)
 class LoopSettings:
-    """How the rounds of a claim go."""
+    """How the rounds of a claim go. ``guard`` keeps results that look like instructions away from the model;
+    ``calls_at_once`` is how many calls of model or search one task has under way."""
 
     max_steps: int = 5
     max_retries: int = 10
@@ -96,12 +97,15 @@ class LoopSettings:
     search_type: str = "corpus"
     num_searches: int = 3
     threshold: float = 0.9
+    guard: bool = False
+    calls_at_once: int = 8
 
     def __post_init__(self) -> None:
-        for name, least in (("max_steps", 0), ("max_retries", 0), ("tolerance", 2), ("num_searches", 1)):
+        for name, least in (("max_steps", 0), ("max_retries", 0), ("tolerance", 2), ("num_searches", 1), ("calls_at_once", 1)):
             _integer(name, getattr(self, name), least)
-        if not isinstance(self.diverse_prompt, bool):
-            raise ValueError("diverse_prompt must be true or false")
+        for name in ("diverse_prompt", "guard"):
+            if not isinstance(getattr(self, name), bool):
+                raise ValueError(f"{name} must be true or false")
         check_search(self.search_type, self.num_searches)
 
 

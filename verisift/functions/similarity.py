@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from string import ascii_lowercase
 from typing import Protocol
 from zlib import crc32
 
@@ -46,6 +47,13 @@ class HashedNgrams:
         return [c / norm for c in counts] if norm else counts
 
 
+class LetterCounts:
+    """How often each of the letters a to z stands in a text, in either case: an encoder that SQL can repeat."""
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.count(c) + t.count(c.upper())) for c in ascii_lowercase] for t in texts]
+
+
 class SentenceTransformerEncoder:
     """A sentence-transformers model, loaded once in each worker."""
 

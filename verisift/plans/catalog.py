@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,12 +13,20 @@ from verisift.functions import decisions, prompts, similarity, snippets, text
 from verisift.operators import defense, evidence
 from verisift.plans import loop
 from verisift.session import table
-from verisift.sources.search import CorpusSearch
+from verisift.sources.models import RecordedModel
+from verisift.sources.search import CorpusSearch, RecordedSearch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Tolerance and threshold of the repetition queries over the table of embeddings, whose cosines are small.
-TOLERANCE, CLOSE = 3, 0.1
+#: Tolerances and threshold of the repetition queries over the table of embeddings, whose cosines are small. So many
+#: vectors in a row are one conversation, within which a label is one history.
+TOLERANCES, CLOSE, CONVERSATION = (2, 3, 4), 0.1, 100
+#: Settings of the replays: with the first the rounds are used up, with the second queries and evidence repeat.
+REPLAY, TIGHT = LoopSettings(max_retries=2, tolerance=3, threshold=0.96), LoopSettings(max_retries=6, tolerance=2, threshold=0.8)
+#: Instructions that evidence is compared with.
+INSTRUCTIONS = [defense.FAMILIES[f].format(answer="True") for f in ("override", "role_spoof", "authority")]
+#: Cosines of letter counts from which evidence is relevant, and up to which it is no instruction.
+RELEVANT, INSTRUCTION = 0.85, 0.92
 
 
 def evidence_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,36 +87,42 @@ def final_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vector_history(spark: SparkSession, sf: str) -> DataFrame:
-    """Each vector with those before it that share its label, as far as the checks look back."""
-    before = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-TOLERANCE, -1)
-    seen = Window.partitionBy("label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf, "embeddings").select(
-        "vec_id", "embedding", F.collect_list("embedding").over(before).alias("history"), F.count("*").over(seen).alias("turns")
-    )
+    """Each vector with those before it in its conversation that share its label, as far as the checks look back."""
+    before = Window.partitionBy("talk", "label").orderBy("vec_id").rowsBetween(-max(TOLERANCES), -1)
+    seen = Window.partitionBy("talk", "label").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, -1)
+    talks = table(spark, sf, "embeddings").withColumn("talk", F.floor(F.col("vec_id") / CONVERSATION))
+    return talks.select("vec_id", "embedding", F.collect_list("embedding").over(before).alias("history"), F.count("*").over(seen).alias("turns"))
 
 
 def similarity_count(spark: SparkSession, sf: str) -> DataFrame:
-    near = similarity.count_similar(F.col("embedding"), F.col("history"), CLOSE).cast("bigint")
-    strict = similarity.count_similar(F.col("embedding"), F.col("history"), similarity.THRESHOLD).cast("bigint")
+    last = F.slice("history", -3, 3)
+    history = F.when(F.size("history") > 3, last).otherwise(F.col("history"))
+    near = similarity.count_similar(F.col("embedding"), history, CLOSE).cast("bigint")
+    strict = similarity.count_similar(F.col("embedding"), history, similarity.THRESHOLD).cast("bigint")
     return _vector_history(spark, sf).select("vec_id", near.alias("close"), strict.alias("very_close"))
 
 
 def early_stop_query(spark: SparkSession, sf: str) -> DataFrame:
-    stop = similarity.repeats_query(F.col("embedding"), F.col("history"), TOLERANCE, CLOSE)
-    return _vector_history(spark, sf).where(stop).select("vec_id")
+    """Whether the vector, as a proposed query, repeats those before it, for each tolerance."""
+    stops = {f"stop_{t}": similarity.repeats_query(F.col("embedding"), F.col("history"), t, CLOSE).cast("int") for t in TOLERANCES}
+    return _vector_history(spark, sf).select("vec_id", *[c.alias(n) for n, c in stops.items()])
 
 
 def early_stop_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    results = F.array_append("history", F.col("embedding"))
-    stop = similarity.repeats_evidence(results, TOLERANCE, CLOSE)
-    return _vector_history(spark, sf).where(stop).select("vec_id")
+    """Whether the last of the vectors before, as results, repeats those before it, for each tolerance."""
+    stops = {f"stop_{t}": similarity.repeats_evidence(F.col("history"), t, CLOSE).cast("int") for t in TOLERANCES}
+    return _vector_history(spark, sf).select("vec_id", *[c.alias(n) for n, c in stops.items()])
 
 
 def diversity_hints(spark: SparkSession, sf: str) -> DataFrame:
-    past = F.array_append("history", F.col("embedding"))
-    like = similarity.similar_lately(past, TOLERANCE, CLOSE)
-    none = F.array_repeat(F.lit("q"), (F.col("turns") + 1).cast("int"))
-    return _vector_history(spark, sf).select("vec_id", prompts.hints(none, like, like).alias("hints"))
+    """The hints where the vectors up to this one are the queries, and those before it the results."""
+    queries = F.array_append("history", F.col("embedding"))
+    made = F.array_repeat(F.lit("q"), (F.col("turns") + 1).cast("int"))
+
+    def hints(t: int):
+        return prompts.hints(made, similarity.similar_lately(F.col("history"), t, CLOSE), similarity.similar_lately(queries, t, CLOSE))
+
+    return _vector_history(spark, sf).select("vec_id", *[hints(t).alias(f"hints_{t}") for t in TOLERANCES])
 
 
 def search_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,6 +239,24 @@ def verify_claims_json(spark: SparkSession, sf: str) -> DataFrame:
     return loop.as_json(_verified(spark, sf))
 
 
+def _replayed(spark: SparkSession, sf: str, settings: LoopSettings) -> DataFrame:
+    """The recorded model calls and searches through the loop: all its ends, with usage and errors."""
+    model, search = RecordedModel(table(spark, sf, "model_calls")), RecordedSearch(table(spark, sf, "searches"))
+    done = loop.verify(table(spark, sf, "claims").select("claim_id", "claim"), settings, search, model, similarity.LetterCounts())
+    return done.select(
+        "claim_id", "status", F.col("answer.answer").alias("answer"), F.size("searches").alias("searches"),
+        "fallback_reason", "error", "rounds", "usage.*",
+    )
+
+
+def verify_replay(spark: SparkSession, sf: str) -> DataFrame:
+    return _replayed(spark, sf, REPLAY)
+
+
+def verify_replay_tight(spark: SparkSession, sf: str) -> DataFrame:
+    return _replayed(spark, sf, TIGHT)
+
+
 def evidence_risk(spark: SparkSession, sf: str) -> DataFrame:
     scanned = defense.scan(table(spark, sf, "evidence"), "evidence_id", "text")
     return scanned.select("evidence_id", F.round("risk", 6).alias("risk"), F.array_join("hits", ",").alias("hits"))
@@ -231,19 +264,53 @@ def evidence_risk(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_trust(spark: SparkSession, sf: str) -> DataFrame:
     rows = defense.scored(table(spark, sf, "evidence"), table(spark, sf, "claims"))
-    return rows.select("evidence_id", "claim_id", "source", "risk", "trust")
+    return rows.select("evidence_id", "claim_id", "source", F.round("risk", 6).alias("risk"), F.round("trust", 6).alias("trust"))
 
 
 def evidence_structured(spark: SparkSession, sf: str) -> DataFrame:
     return defense.structured(defense.scored(table(spark, sf, "evidence"), table(spark, sf, "claims")))
 
 
+def evidence_filter(spark: SparkSession, sf: str) -> DataFrame:
+    measured = defense.embedding_filter(
+        table(spark, sf, "evidence"), table(spark, sf, "claims"), similarity.LetterCounts(), INSTRUCTIONS, RELEVANT, INSTRUCTION
+    )
+    return measured.select(
+        "evidence_id", "claim_id", F.round("relevance", 6).alias("relevance"), F.round("similarity", 6).alias("similarity"), F.col("kept").cast("int").alias("kept")
+    )
+
+
+def verification_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate where each claim cites the evidence of its second step, and, as some do, an id of the next claim."""
+    rows = defense.scored(table(spark, sf, "evidence"), table(spark, sf, "claims"))
+    evidence_rows = table(spark, sf, "evidence").where("step = 2")
+    cited = evidence_rows.select("claim_id", "evidence_id").unionAll(
+        evidence_rows.where("claim_id % 7 = 0").select((F.col("claim_id") - 1).alias("claim_id"), "evidence_id")
+    )
+    return defense.gated(rows, cited).withColumn("passes", F.col("passes").cast("int"))
+
+
+def attack_detection(spark: SparkSession, sf: str) -> DataFrame:
+    return defense.detection(table(spark, sf, "evidence"), "text")
+
+
+def evidence_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of pages made of the evidence: its title, its text in a hidden element, its address in JSON-LD."""
+    page = F.concat(
+        F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit('</title><script type="application/ld+json">{"@id": "'),
+        F.coalesce("url", F.lit("")), F.lit('"}</script></head><body><p style="display:none">'), F.coalesce("provider", F.lit("")),
+        F.lit("</p><!-- "), F.coalesce("fingerprint", F.lit("")), F.lit(" --></body></html>"),
+    )
+    return defense.parts_found(table(spark, sf, "evidence").select("evidence_id", page.alias("page")), "evidence_id", "page")
+
+
 QUERIES: tuple[Query, ...] = (
     evidence_fingerprint, evidence_source_host, evidence_ingest, evidence_rejected, evidence_dedup, build_knowledge,
     final_knowledge, query_history, search_history, decision_prompt, final_prompt, diversity_hints, similarity_count,
     early_stop_query, early_stop_evidence, search_topk, snippet_join_space, snippet_join_para, snippet_parse_keyed,
     snippet_parse_listed, no_result_default, query_postamble, normalize_label, extract_decision, final_answer_valid,
-    usage_totals, backoff_schedule, segment_join, search_dicts, evidence_risk, evidence_trust, evidence_structured, verify_claims, verify_claims_usage, verify_claims_json,
+    usage_totals, backoff_schedule, segment_join, search_dicts, evidence_risk, evidence_trust, evidence_structured, evidence_filter,
+    verification_gate, attack_detection, evidence_parts, verify_claims, verify_claims_usage, verify_claims_json, verify_replay, verify_replay_tight,
 )
 
 
@@ -271,13 +338,18 @@ VALID = f"trim(coalesce(text, ''), {WHITE}) <> '' AND url IS NOT NULL AND title
 RESULTS = """(SELECT claim_id, string_agg(result, chr(10) ORDER BY step, search_id) AS results
     FROM searches WHERE result IS NOT NULL AND claim_id IS NOT NULL GROUP BY 1)"""
 COSINE = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
-LAGS = "".join(f", lag(embedding, {n}) OVER w AS before{n}" for n in (1, 2, 3))
+LAGS = "".join(f", lag(embedding, {n}) OVER w AS before{n}" for n in (1, 2, 3, 4))
 VECTORS = f"""(SELECT vec_id, embedding, row_number() OVER w - 1 AS turns{LAGS}
-    FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id))"""
+    FROM embeddings WINDOW w AS (PARTITION BY vec_id // {CONVERSATION}, label ORDER BY vec_id))"""
+
+
+def _near(n: int, threshold: float, of: str = "embedding") -> str:
+    return f"coalesce({COSINE.format(of, f'before{n}')} > {threshold}, false)"
 
 
-def _near(n: int, threshold: float) -> str:
-    return f"coalesce({COSINE.format('embedding', f'before{n}')} > {threshold}, false)"
+def _all_near(numbers: range, of: str) -> str:
+    """Whether all of the vectors so many before are close to one."""
+    return "(" + " AND ".join(["true", *(_near(n, CLOSE, of) for n in numbers)]) + ")"
 
 
 def _label(value: str) -> str:
@@ -304,15 +376,158 @@ RANKED = r"""
 """
 VERDICTS = r""",
     results AS (SELECT claim_id, string_agg(text, ' ' ORDER BY rank) AS result FROM ranked JOIN documents USING (doc_id) GROUP BY 1),
-    words AS (SELECT claim_id, claim, list_distinct(regexp_extract_all(lower(claim), '\pL{5,}')) AS wanted,
+    words AS (SELECT claim_id, claim, result, list_distinct(regexp_extract_all(lower(claim), '\pL{5,}')) AS wanted,
                      regexp_extract_all(lower(result), '\pL{5,}') AS known
-              FROM claims LEFT JOIN results USING (claim_id))
-    SELECT claim_id, claim, 'final' AS status,
-           CASE WHEN len(wanted) > 0 AND len(list_intersect(wanted, coalesce(known, []))) >= 0.7 * len(wanted) THEN 'True' ELSE 'False' END AS answer,
+              FROM claims LEFT JOIN results USING (claim_id)),
+    judged AS (SELECT *, len(list_intersect(wanted, coalesce(known, []))) AS common,
+                      len(wanted) > 0 AND len(list_intersect(wanted, coalesce(known, []))) >= 0.7 * len(wanted) AS verdict FROM words)
+"""
+VERIFIED = """
+    SELECT claim_id, claim, 'final' AS status, CASE WHEN verdict THEN 'True' ELSE 'False' END AS answer,
            1 AS searches, CAST(NULL AS VARCHAR) AS fallback_reason, CAST(NULL AS VARCHAR) AS error, 2 AS rounds
-    FROM words
+    FROM judged
+"""
+
+
+def _tokens(value: str) -> str:
+    """Number of words between white space."""
+    return f"len(list_filter(regexp_split_to_array({value}, '[' || {WHITE} || ']+'), lambda x: x <> ''))"
+
+
+#: What the default rule says and is asked, and the tokens of that: the query, spelled in ASCII as JSON, has no white
+#: space but its spaces.
+SAID = f""", said AS (
+    SELECT *, 'Words found: ' || common || ' of ' || len(wanted) || '. {{"final_answer": "' || CASE WHEN verdict THEN 'True' ELSE 'False' END || '"}}' AS response,
+           coalesce(nullif(result, ''), {_quoted(snippets.NO_RESULT)}) AS shown, trim(claim, {WHITE}) AS query FROM judged),
+    counted AS (SELECT *,
+        CAST({_tokens(_filled(prompts.DECISION_TEMPLATE, "claim", _quoted(prompts.NO_KNOWLEDGE)))}
+            + {_tokens(_filled(prompts.DECISION_TEMPLATE, "claim", "shown"))} AS BIGINT) AS input_tokens,
+        CAST(1 + len(list_filter(string_split(query, ' '), lambda x: x <> '')) + 7 AS BIGINT) AS output_tokens FROM said)
 """
 
+def _letters(value: str) -> str:
+    counted = f"length({value}) * 2 - length(replace({value}, chr(CAST(97 + i AS INTEGER)), '')) - length(replace({value}, chr(CAST(65 + i AS INTEGER)), ''))"
+    return f"list_transform(range(26), lambda i: CAST({counted} AS DOUBLE))"
+
+
+def _alike(a: str, b: str, threshold: float) -> str:
+    """Whether the cosine is larger; that of no letters is none."""
+    cosine = f"list_cosine_similarity({a}, {b})"
+    return f"coalesce(CASE WHEN isnan({cosine}) THEN false ELSE {cosine} > {threshold} END, false)"
+
+
+def _lags(name: str, count: int) -> str:
+    return ", ".join(f"lag({name}, {n}) OVER w AS {name}{n}" for n in range(1, count + 1))
+
+
+def _outcomes(settings: LoopSettings) -> str:
+    """What came of the calls of a claim for each step and for the final answer: the first that raised or is valid ends
+    the asking."""
+    return f"""
+    WITH read AS (SELECT * FROM (SELECT DISTINCT ON (call_id) * FROM model_calls)
+                  JOIN (SELECT call_id, said, asked, has_answer, has_query FROM {READ}) USING (call_id)),
+    numbered AS (
+        SELECT *, CASE WHEN phase = 'decide' THEN step ELSE 0 END AS turn,
+            row_number() OVER (PARTITION BY claim_id, phase, CASE WHEN phase = 'decide' THEN step ELSE 0 END ORDER BY step, attempt, call_id) AS nth,
+            CASE WHEN raises IS NOT NULL THEN 'error'
+                 WHEN phase = 'final' THEN CASE WHEN NOT has_query AND {_label('said')} IS NOT NULL THEN 'answer' ELSE 'invalid' END
+                 WHEN has_answer = has_query THEN 'invalid'
+                 WHEN has_answer THEN CASE WHEN {_label('said')} IS NOT NULL THEN 'answer' ELSE 'invalid' END
+                 WHEN trim(coalesce(asked, ''), {WHITE}) <> '' THEN 'query' ELSE 'invalid' END AS kind,
+            CASE WHEN has_query THEN trim(asked, {WHITE}) ELSE {_label('said')} END AS value
+        FROM read WHERE claim_id IS NOT NULL),
+    kept AS (
+        SELECT *, coalesce(min(nth) FILTER (kind <> 'invalid') OVER (PARTITION BY claim_id, phase, turn), {settings.max_retries + 1}) AS last
+        FROM numbered WHERE nth <= {settings.max_retries + 1}),
+    places AS (SELECT claim_id, phase, turn FROM claims, (SELECT 'decide' AS phase, unnest(range(1, {settings.max_steps + 1})) AS turn
+                                                         UNION ALL SELECT 'final', 0)),
+    outcomes AS (
+        SELECT claim_id, phase, turn, coalesce(max(kind) FILTER (nth = last), 'invalid') AS kind, max(value) FILTER (nth = last) AS value,
+            max(raises) FILTER (nth = last) AS raised,
+            coalesce(sum(input_tokens) FILTER (raises IS NULL), 0) AS input_tokens, coalesce(sum(output_tokens) FILTER (raises IS NULL), 0) AS output_tokens,
+            count(*) FILTER (nth IS NOT NULL AND (raises IS NOT NULL OR input_tokens IS NULL OR output_tokens IS NULL))
+            + CASE WHEN coalesce(bool_or(nth = last AND kind <> 'invalid'), false) THEN 0 ELSE {settings.max_retries + 1} - count(nth) END AS unreported
+        FROM places LEFT JOIN (SELECT * FROM kept WHERE nth <= last) USING (claim_id, phase, turn) GROUP BY ALL)
+"""
+
+
+def _replay_sql(settings: LoopSettings) -> str:
+    """The loop over the outcomes: a claim ends at its first step without a query, or whose query or evidence repeats."""
+    return _outcomes(settings) + f""",
+    found AS (SELECT claim_id, step AS turn, coalesce(nullif(min_by(result, search_id), ''), {_quoted(snippets.NO_RESULT)}) AS result
+              FROM searches WHERE claim_id IS NOT NULL GROUP BY ALL),
+    steps AS (
+        SELECT o.*, {_letters("coalesce(value, '')")} AS q, {_letters(f"coalesce(result, {_quoted(snippets.NO_RESULT)})")} AS r
+        FROM outcomes o LEFT JOIN found USING (claim_id, turn) WHERE phase = 'decide'),
+    lagged AS (SELECT *, {_lags('q', settings.tolerance)}, {_lags('r', settings.tolerance)} FROM steps WINDOW w AS (PARTITION BY claim_id ORDER BY turn)),
+    ends AS (
+        SELECT *, (turn >= {settings.tolerance} AND {' AND '.join(_alike('q', f'q{n}', settings.threshold) for n in range(1, settings.tolerance))})
+               OR (turn > {settings.tolerance} AND {' AND '.join(_alike('r1', f'r{n}', settings.threshold) for n in range(2, settings.tolerance + 1))}) AS early
+        FROM lagged),
+    last AS (SELECT claim_id, coalesce(min(turn) FILTER (kind <> 'query' OR early), {settings.max_steps + 1}) AS ended FROM ends GROUP BY 1),
+    spent AS (
+        SELECT claim_id, ended, sum(input_tokens) FILTER (turn <= ended) AS input_tokens, sum(output_tokens) FILTER (turn <= ended) AS output_tokens,
+            sum(unreported) FILTER (turn <= ended) AS unreported, max(kind) FILTER (turn = ended) AS kind, max(value) FILTER (turn = ended) AS value,
+            max(raised) FILTER (turn = ended) AS raised
+        FROM ends JOIN last USING (claim_id) GROUP BY ALL),
+    judged AS (
+        SELECT s.*, f.kind AS final_kind, f.value AS final_value, f.raised AS final_raised, f.input_tokens AS final_in, f.output_tokens AS final_out,
+            f.unreported AS final_unreported, coalesce(s.kind, 'query') IN ('query', 'invalid') AS fallen
+        FROM spent s JOIN (SELECT * FROM outcomes WHERE phase = 'final') f USING (claim_id))
+    SELECT claim_id,
+        CASE WHEN blank THEN 'error' WHEN NOT fallen THEN CASE kind WHEN 'answer' THEN 'final' ELSE 'error' END
+             WHEN final_kind = 'answer' THEN 'final' WHEN final_kind = 'error' THEN 'error' ELSE 'no_verdict' END AS status,
+        CASE WHEN blank THEN NULL WHEN NOT fallen AND kind = 'answer' THEN value WHEN fallen AND final_kind = 'answer' THEN final_value END AS answer,
+        CAST(CASE WHEN blank THEN 0 ELSE ended - 1 END AS INTEGER) AS searches,
+        CASE WHEN blank OR NOT fallen THEN NULL WHEN ended > {settings.max_steps} THEN '{loop.ALL_ROUNDS}'
+             WHEN kind = 'invalid' THEN '{loop.NO_DECISION}' ELSE '{loop.REPEATED}' END AS fallback_reason,
+        CASE WHEN blank THEN 'ValueError: a claim must hold a word' WHEN NOT fallen THEN raised WHEN final_kind = 'error' THEN final_raised END AS error,
+        CAST(CASE WHEN blank THEN 0 ELSE least(ended, {settings.max_steps}) END AS INTEGER) AS rounds,
+        CAST(CASE WHEN blank THEN 0 ELSE j.input_tokens + CASE WHEN fallen THEN final_in ELSE 0 END END AS BIGINT) AS input_tokens,
+        CAST(CASE WHEN blank THEN 0 ELSE j.output_tokens + CASE WHEN fallen THEN final_out ELSE 0 END END AS BIGINT) AS output_tokens,
+        CAST(CASE WHEN blank THEN 0 ELSE j.unreported + CASE WHEN fallen THEN final_unreported ELSE 0 END END AS BIGINT) AS unreported_calls
+    FROM judged j JOIN (SELECT claim_id, trim(coalesce(claim, ''), {WHITE}) = '' AS blank FROM claims) USING (claim_id)
+"""
+
+
+def _risk(value: str) -> str:
+    weights = " + ".join(f"CASE WHEN regexp_matches({value}, {_quoted('(?i)' + p)}) THEN {defense.WEIGHTS[n]} ELSE 0 END" for n, p in defense.RULES.items())
+    return f"CAST(coalesce(least({weights}, 1), 0) AS DOUBLE)"
+
+
+def _scan_risk(value: str) -> str:
+    """The largest risk of the windows of a text."""
+    size, step = defense.WINDOW_WORDS, defense.WINDOW_STEP
+    words = f"regexp_split_to_array({value}, '\\s+')"
+    last = f"greatest(len({words}) - {size}, 0)"
+    starts = f"list_append(range(0, {last} + 1, {step}), {last})"
+    return f"coalesce(list_max(list_transform({starts}, lambda s: {_risk(f'array_to_string({words}[s + 1:s + {size}], chr(32))')})), 0)"
+
+
+def _terms(value: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({value}), '\\pL{{5,}}'))"
+
+
+#: Evidence with risk and trust, as the guards score it.
+SCORED = f"""(SELECT evidence_id, e.claim_id, {HOST} AS source, text, risk,
+        greatest(least({defense.TRUST[0]} * coalesce(CASE WHEN len(wanted) > 0 THEN len(list_intersect(wanted, {_terms('text')})) / len(wanted) END, 0)
+            + {defense.TRUST[1]} * least(length(text) / 200.0, 1) + {defense.TRUST[2]} * CAST({HOST} <> '' AS INTEGER) - {defense.TRUST[3]} * risk, 1), 0) AS trust
+    FROM (SELECT *, {_risk('text')} AS risk FROM evidence WHERE trim(coalesce(text, ''), {WHITE}) <> '') e
+    LEFT JOIN (SELECT claim_id, {_terms('claim')} AS wanted FROM claims) c ON e.claim_id = c.claim_id)"""
+
+
+def _attacked(family: str) -> str:
+    """A text with an instruction of a family in its middle."""
+    plain = defense.FAMILIES["override"].format(answer="True")
+    added = {"encoded": base64.b64encode(plain.encode()).decode(), "unicode": "\u200b".join(plain)}.get(family)
+    added = added or defense.FAMILIES[family].format(answer="True")
+    half = "CAST(floor(length(text) / 2) AS BIGINT)"
+    return f"substr(text, 1, {half}) || chr(10) || {_quoted(added)} || chr(10) || substr(text, {half} + 1)"
+
+
+PAGE = """'<html><head><title>' || coalesce(title, '') || '</title><script type="application/ld+json">{"@id": "' || coalesce(url, '')
+    || '"}</script></head><body><p style="display:none">' || coalesce(provider, '') || '</p><!-- ' || coalesce(fingerprint, '') || ' --></body></html>'"""
+
 
 def oracle_sql() -> dict[str, str]:
     joined = f"""SELECT claim_id, string_agg(result, {{}} ORDER BY step, search_id) AS result FROM searches
@@ -337,18 +552,61 @@ def oracle_sql() -> dict[str, str]:
             WHERE claim_id IS NOT NULL GROUP BY 1""",
         "decision_prompt": asked.format(_filled(prompts.DECISION_TEMPLATE, "claim", "coalesce(nullif(results, ''), 'N/A')")),
         "final_prompt": asked.format(_filled(prompts.FINAL_TEMPLATE, "claim", "coalesce(results, '')")),
-        "diversity_hints": f"""SELECT vec_id,
-            CASE WHEN turns + 1 >= 2 THEN {_quoted(prompts.DIVERSE_HINT)} ELSE '' END
-            || CASE WHEN turns + 1 >= {TOLERANCE - 1} AND {_near(1, CLOSE)} THEN {_quoted(prompts.EVIDENCE_HINT + prompts.QUERY_HINT)} ELSE '' END AS hints
-            FROM {VECTORS}""",
+        "diversity_hints": "SELECT vec_id, " + ", ".join(
+            f"""CASE WHEN turns + 1 >= 2 THEN {_quoted(prompts.DIVERSE_HINT)} ELSE '' END
+            || CASE WHEN turns >= {t - 1} AND {_all_near(range(2, t), 'before1')} THEN {_quoted(prompts.EVIDENCE_HINT)} ELSE '' END
+            || CASE WHEN turns + 1 >= {t - 1} AND {_all_near(range(1, t - 1), 'embedding')} THEN {_quoted(prompts.QUERY_HINT)} ELSE '' END AS hints_{t}"""
+            for t in TOLERANCES) + f" FROM {VECTORS}",
         "similarity_count": f"""SELECT vec_id,
             CAST({' + '.join(f'CAST({_near(n, CLOSE)} AS BIGINT)' for n in (1, 2, 3))} AS BIGINT) AS close,
             CAST({' + '.join(f'CAST({_near(n, similarity.THRESHOLD)} AS BIGINT)' for n in (1, 2, 3))} AS BIGINT) AS very_close
             FROM {VECTORS}""",
-        "early_stop_query": f"SELECT vec_id FROM {VECTORS} WHERE {_near(1, CLOSE)} AND {_near(2, CLOSE)}",
-        "early_stop_evidence": f"SELECT vec_id FROM {VECTORS} WHERE {_near(1, CLOSE)} AND {_near(2, CLOSE)}",
+        "early_stop_query": "SELECT vec_id, " + ", ".join(
+            f"CAST(turns >= {t - 1} AND {_all_near(range(1, t), 'embedding')} AS INTEGER) AS stop_{t}" for t in TOLERANCES) + f" FROM {VECTORS}",
+        "early_stop_evidence": "SELECT vec_id, " + ", ".join(
+            f"CAST(turns >= {t} AND {_all_near(range(2, t + 1), 'before1')} AS INTEGER) AS stop_{t}" for t in TOLERANCES) + f" FROM {VECTORS}",
         "search_topk": RANKED.format("WHERE claim_id % 20 = 0") + "SELECT * FROM ranked",
-        "verify_claims": RANKED.format("") + VERDICTS,
+        "verify_claims": RANKED.format("") + VERDICTS + VERIFIED,
+        "verify_claims_usage": RANKED.format("") + VERDICTS + SAID + """SELECT 'final' AS status, count(*) AS claims,
+            CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+            CAST(0 AS BIGINT) AS unreported_calls FROM counted""",
+        "verify_claims_json": RANKED.format("") + VERDICTS + SAID + """SELECT claim_id, CAST(to_json({
+            'claim': claim, 'result': {'response': response, 'answer': CASE WHEN verdict THEN 'True' ELSE 'False' END},
+            'searches': {'google_searches': [{'query': query, 'result': shown}]},
+            'usage': {'input_tokens': input_tokens, 'output_tokens': output_tokens, 'unreported_calls': 0}}) AS VARCHAR) AS json FROM counted""",
+        "verify_replay": _replay_sql(REPLAY),
+        "verify_replay_tight": _replay_sql(TIGHT),
+        "evidence_risk": f"""SELECT evidence_id, round({_scan_risk('text')}, 6) AS risk, coalesce(array_to_string(list_filter([
+            {', '.join(f"CASE WHEN regexp_matches(text, {_quoted('(?i)' + p)}) THEN '{n}' END" for n, p in defense.RULES.items())}],
+            lambda x: x IS NOT NULL), ','), '') AS hits FROM evidence""",
+        "evidence_trust": f"SELECT evidence_id, claim_id, source, round(risk, 6) AS risk, round(trust, 6) AS trust FROM {SCORED}",
+        "evidence_structured": f"""SELECT claim_id, CAST(to_json(list({{'id': evidence_id, 'source': source, 'risk': round(risk, 4),
+            'trust': round(trust, 4), 'text': text}} ORDER BY trust DESC, evidence_id)) AS VARCHAR) AS evidence FROM (
+            SELECT * FROM {SCORED} WHERE risk < {defense.QUARANTINE} AND claim_id IS NOT NULL
+            QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY trust DESC, evidence_id) <= 5) GROUP BY 1""",
+        "evidence_filter": f"""SELECT evidence_id, claim_id, round(relevance0, 6) AS relevance, round(similarity0, 6) AS similarity,
+            CAST(relevance0 >= {RELEVANT} AND similarity0 <= {INSTRUCTION} AS INTEGER) AS kept FROM (
+            SELECT evidence_id, claim_id, coalesce(list_cosine_similarity(v, c), 0) AS relevance0,
+                greatest({', '.join(f'list_cosine_similarity(v, {similarity.LetterCounts().encode([i])[0]})' for i in INSTRUCTIONS)}, 0) AS similarity0
+            FROM (SELECT *, {_letters('text')} AS v FROM evidence WHERE trim(coalesce(text, ''), {WHITE}) <> '') e
+            LEFT JOIN (SELECT claim_id, {_letters('claim')} AS c FROM claims) USING (claim_id))""",
+        "verification_gate": f"""WITH known AS (SELECT claim_id, evidence_id, risk FROM {SCORED} WHERE claim_id IS NOT NULL),
+            second AS (SELECT claim_id, evidence_id FROM evidence WHERE step = 2 AND claim_id IS NOT NULL),
+            asked AS (SELECT DISTINCT claim_id, evidence_id, true AS cited FROM (
+                SELECT * FROM second UNION ALL SELECT claim_id - 1, evidence_id FROM second WHERE claim_id % 7 = 0))
+            SELECT *, CAST(safe >= 1 AND unknown = 0 AND filtered = 0 AS INTEGER) AS passes FROM (
+                SELECT claim_id, count(*) FILTER (risk < {defense.QUARANTINE}) AS safe, count(cited) AS cited,
+                    count(*) FILTER (cited AND risk IS NULL) AS unknown, count(*) FILTER (cited AND risk >= {defense.QUARANTINE}) AS filtered
+                FROM known FULL JOIN asked USING (claim_id, evidence_id) GROUP BY 1)""",
+        "attack_detection": " UNION ALL ".join(
+            f"""SELECT '{f}' AS family, count(*) AS texts, count(*) FILTER ({_risk('t')} > 0) AS detected,
+            count(*) FILTER ({_scan_risk('t')} >= {defense.QUARANTINE}) AS quarantined FROM (SELECT {_attacked(f)} AS t FROM evidence WHERE text IS NOT NULL)"""
+            for f in (*defense.FAMILIES, *defense.HIDDEN_FAMILIES)),
+        "evidence_parts": "SELECT evidence_id, part, n, text, round(risk, 6) AS risk FROM (" + " UNION ALL ".join(
+            f"""SELECT evidence_id, '{name}' AS part, CAST(n AS INTEGER) AS n, text, {_risk('text')} AS risk FROM (
+            SELECT evidence_id, unnest(found) AS text, unnest(range(1, len(found) + 1)) AS n FROM (
+            SELECT evidence_id, regexp_extract_all({PAGE}, {_quoted(pattern)}, 1) AS found FROM evidence))"""
+            for name, pattern in defense.PARTS.items()) + ")",
         "snippet_join_space": joined.format("' '"),
         "snippet_join_para": joined.format("chr(10) || chr(10)"),
         "snippet_parse_keyed": f"""SELECT doc_id, coalesce(nullif(array_to_string(list_filter([

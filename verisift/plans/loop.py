@@ -11,10 +11,11 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +23,13 @@ from verisift.config import LoopSettings, ModelSettings
 from verisift.functions import prompts
 from verisift.functions.decisions import decision_of, final_answer_of
 from verisift.functions.similarity import Encoder, HashedNgrams, encode, repeats_evidence, repeats_query, similar_lately
+from verisift.functions.snippets import NO_RESULT
 from verisift.functions.text import not_blank
+from verisift.operators.defense import QUARANTINE, scan_risk
 from verisift.operators.evidence import queries_of, results_of
 from verisift.session import cut_lineage
-from verisift.sources.models import Generator, load_model
-from verisift.sources.search import CorpusSearch, Searcher
+from verisift.sources.models import Generator, RecordedAnswers, RecordedModel, load_model
+from verisift.sources.search import Searcher, TableSearch
 
 LOGGER = logging.getLogger(__name__)
 
@@ -88,32 +91,72 @@ def call_model(generator: Generator, prompt: str, context: dict[str, Any], retri
     return kind, value, response, error, tokens["input_tokens"], tokens["output_tokens"], unreported, calls
 
 
-def _asker(make: Callable[[], Generator], phase: str, step: int, retries: int):
-    @F.pandas_udf(CALLED)
-    def ask(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        generator = make()
-        for ids, claims, texts, knowledge in batches:
-            rows = [
-                call_model(
-                    generator, p, {"claim_id": i, "claim": c, "knowledge": k, "phase": phase, "step": step}, retries
-                )
-                for i, c, p, k in zip(ids, claims, texts, knowledge, strict=True)
+#: Calls of a model or a search in one task; a lost task makes no more than these again.
+CALLS_OF_TASK = 500
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows (cut) in tasks of about CALLS_OF_TASK, and in as many tasks as there are cores while there are fewer."""
+    tasks = max(-(-rows.count() // CALLS_OF_TASK), 1)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), "claim_id")
+
+
+def _together(calls: list[Callable[[], tuple]], at_once: int) -> list[tuple]:
+    """Results of calls, in their order, of which ``at_once`` are under way at a time."""
+    if at_once <= 1 or len(calls) <= 1:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda call: call(), calls))
+
+
+def ask(rows: DataFrame, prompt: Column, model: Callable[[], Generator] | RecordedModel, phase: str, step: int, settings: LoopSettings) -> DataFrame:
+    """``rows`` with what the model answers to ``prompt`` in a column ``called`` of the form of CALLED."""
+    retries, at_once = settings.max_retries, settings.calls_at_once
+    knowledge = prompts.knowledge(results_of(F.col("searches")), "")
+    if isinstance(model, RecordedModel):
+        none = F.array().cast(RecordedModel.CALLS)
+        recorded = model.recorded(phase, step, retries + 1)
+        asked = rows.join(recorded, "claim_id", "left").withColumn("recorded", F.coalesce("recorded", none))
+
+        @F.pandas_udf(CALLED)
+        def replay(ids: pd.Series, texts: pd.Series, recorded: pd.Series) -> pd.DataFrame:
+            context = {"phase": phase, "step": step}
+            found = [
+                call_model(RecordedAnswers(list(calls)), p, context | {"claim_id": i}, retries)
+                for i, p, calls in zip(ids, texts, recorded, strict=True)
             ]
-            yield pd.DataFrame(rows, columns=CALLED.names)
+            return pd.DataFrame(found, columns=CALLED.names)
+
+        return asked.withColumn("called", replay("claim_id", prompt, "recorded")).drop("recorded")
 
-    return ask.asNondeterministic()  # else a later filter would ask again
+    @F.pandas_udf(CALLED)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        generator = model()
+        most = min(at_once, getattr(generator, "at_once", None) or at_once)
+
+        def call(i: int, c: str, p: str, k: str) -> Callable[[], tuple]:
+            return lambda: call_model(generator, p, {"claim_id": i, "claim": c, "knowledge": k, "phase": phase, "step": step}, retries)
+
+        for columns in batches:
+            yield pd.DataFrame(_together([call(*row) for row in zip(*columns, strict=True)], most), columns=CALLED.names)
 
+    # not deterministic, else a later filter would ask again
+    return spread(rows).withColumn("called", run.asNondeterministic()("claim_id", "claim", prompt, knowledge))
 
-def _searcher(searcher: Searcher):
+
+def _searcher(searcher: Searcher, at_once: int):
     @F.pandas_udf("result string, error string")
     def run(queries: pd.Series) -> pd.DataFrame:
-        rows = []
-        for query in queries:
-            try:
-                rows.append((searcher.run(query), None))
-            except Exception as problem:
-                rows.append((None, f"{type(problem).__name__}: {problem}"))
-        return pd.DataFrame(rows, columns=["result", "error"])
+        def call(query: str) -> Callable[[], tuple]:
+            def one() -> tuple:
+                try:
+                    return searcher.run(query), None
+                except Exception as problem:
+                    return None, f"{type(problem).__name__}: {problem}"
+
+            return one
+
+        return pd.DataFrame(_together([call(q) for q in queries], at_once), columns=["result", "error"])
 
     return run.asNondeterministic()
 
@@ -144,7 +187,7 @@ def _with_usage(state: DataFrame) -> DataFrame:
     return state.withColumn("usage", added)
 
 
-def decide(active: DataFrame, settings: LoopSettings, make: Callable[[], Generator], step: int) -> DataFrame:
+def decide(active: DataFrame, settings: LoopSettings, model: Callable[[], Generator] | RecordedModel, step: int) -> DataFrame:
     """The active claims with the decision of this round in a column ``called``."""
     results = results_of(F.col("searches"))
     prompt = prompts.decision_prompt(F.col("claim"), results)
@@ -158,16 +201,16 @@ def decide(active: DataFrame, settings: LoopSettings, make: Callable[[], Generat
                 similar_lately(F.col("query_vecs"), t, limit),
             ),
         )
-    ask = _asker(make, "decide", step, settings.max_retries)
-    return active.withColumn("called", ask("claim_id", "claim", prompt, prompts.knowledge(results, "")))
+    return ask(active, prompt, model, "decide", step, settings)
 
 
 def one_round(
-    active: DataFrame, settings: LoopSettings, make: Callable[[], Generator], search: CorpusSearch | Searcher, encoder: Encoder, step: int
+    active: DataFrame, settings: LoopSettings, model: Callable[[], Generator] | RecordedModel, search: TableSearch | Searcher, encoder: Encoder, step: int
 ) -> DataFrame:
-    """The active claims after one more round: decision, repetition checks, search, history."""
+    """The active claims after one more round: decision, repetition checks, search, history. With the guard, a
+    result with a window of risk is kept away: the fixed text for no result stands for it."""
     columns = active.columns
-    called = cut_lineage(_with_usage(decide(active, settings, make, step)))
+    called = cut_lineage(_with_usage(decide(active, settings, model, step)))
     kind = F.col("called.kind")
     judged = called.where(kind != "query").withColumns(
         {
@@ -187,12 +230,14 @@ def one_round(
         {"status": F.lit(FALLBACK), "fallback_reason": F.lit(REPEATED), "rounds": F.lit(step)}
     )
     going = asked.where(~repeated)
-    if isinstance(search, CorpusSearch):
-        results = search.search(going, "claim_id", "query")
+    if isinstance(search, TableSearch):
+        results = search.search(going, "claim_id", "query", step)
         found = going.join(results, "claim_id").withColumn("failed", F.lit(None).cast("string"))
     else:
-        answered = cut_lineage(going.withColumn("answered", _searcher(search)("query")))
+        answered = cut_lineage(spread(going).withColumn("answered", _searcher(search, settings.calls_at_once)("query")))
         found = answered.withColumns({"result": F.col("answered.result"), "failed": F.col("answered.error")})
+    if settings.guard:
+        found = found.withColumn("result", F.when(scan_risk(F.col("result")) >= QUARANTINE, NO_RESULT).otherwise(F.col("result")))
     found = cut_lineage(found.withColumn("result_vector", encode(F.col("result"), encoder)))
     ok = F.col("failed").isNull()
     pair = F.struct(F.col("query"), F.col("result"))
@@ -209,13 +254,10 @@ def one_round(
     return judged.select(columns).unionByName(stopped.select(columns)).unionByName(appended.select(columns))
 
 
-def final_verification(waiting: DataFrame, settings: LoopSettings, make: Callable[[], Generator], step: int) -> DataFrame:
+def final_verification(waiting: DataFrame, settings: LoopSettings, model: Callable[[], Generator] | RecordedModel, step: int) -> DataFrame:
     """The claims without a decision after a last prompt that takes no search query."""
-    results = results_of(F.col("searches"))
-    ask = _asker(make, "final", step, settings.max_retries)
-    called = waiting.withColumn(
-        "called", ask("claim_id", "claim", prompts.final_prompt(F.col("claim"), results), prompts.knowledge(results, ""))
-    )
+    prompt = prompts.final_prompt(F.col("claim"), results_of(F.col("searches")))
+    called = ask(waiting, prompt, model, "final", step, settings)
     kind = F.col("called.kind")
     return (
         _with_usage(cut_lineage(called))
@@ -233,8 +275,8 @@ def final_verification(waiting: DataFrame, settings: LoopSettings, make: Callabl
 def verify(
     claims: DataFrame,
     settings: LoopSettings,
-    search: CorpusSearch | Searcher,
-    model: ModelSettings | Generator | None = None,
+    search: TableSearch | Searcher,
+    model: ModelSettings | Generator | RecordedModel | None = None,
     encoder: Encoder | None = None,
 ) -> DataFrame:
     """Verified claims: one row for each of ``claims`` (claim_id, claim), whose ids are unique.
@@ -244,7 +286,10 @@ def verify(
     valid decision; all without a verdict get one final verification. Errors keep what was done so far.
     """
     given = model or ModelSettings()
-    make = (lambda: load_model(given)) if isinstance(given, ModelSettings) else (lambda: given)
+    if isinstance(given, ModelSettings):
+        asked = lambda: load_model(given)
+    else:
+        asked = given if isinstance(given, RecordedModel) else lambda: given
     encoder = encoder or HashedNgrams()
     state = cut_lineage(start(claims))
     done = [state.where(F.col("status") != ACTIVE)]
@@ -252,7 +297,7 @@ def verify(
     for step in range(1, settings.max_steps + 1):
         if active.isEmpty():
             break
-        state = cut_lineage(one_round(active, settings, make, search, encoder, step))
+        state = cut_lineage(one_round(active, settings, asked, search, encoder, step))
         done.append(state.where(F.col("status") != ACTIVE))
         active = state.where(F.col("status") == ACTIVE)
         LOGGER.info("round %s of %s done", step, settings.max_steps)
@@ -260,7 +305,7 @@ def verify(
     whole = active.withColumns({"status": F.lit(FALLBACK), "fallback_reason": F.lit(reason)})
     for part in done:
         whole = whole.unionByName(part)
-    waiting = final_verification(whole.where(F.col("status") == FALLBACK), settings, make, settings.max_steps)
+    waiting = final_verification(whole.where(F.col("status") == FALLBACK), settings, asked, settings.max_steps)
     ended = whole.where(F.col("status") != FALLBACK).unionByName(waiting)
     return ended.select("claim_id", "claim", "status", "answer", "searches", "usage", "fallback_reason", "error", "rounds")
 

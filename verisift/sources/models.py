@@ -12,6 +12,9 @@ import re
 from functools import lru_cache
 from typing import Any, Protocol
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from verisift.config import ModelSettings, api_key
 
 # The system message, addresses and key variables of the hosted models.
@@ -21,7 +24,8 @@ KEYS = {"openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY", "groq": "G
 
 
 class Generator(Protocol):
-    """Answers a prompt. ``context`` has claim_id, claim, phase, step, attempt and knowledge of the call."""
+    """Answers a prompt. ``context`` has claim_id, claim, phase, step, attempt and knowledge of the call. An attribute
+    ``at_once`` limits how many prompts it takes at the same time in one worker."""
 
     def generate(self, prompt: str, context: dict[str, Any]) -> tuple[str, dict | None]: ...
 
@@ -78,6 +82,8 @@ class HostedModel:
 class LocalModel:
     """A text-generation pipeline in the worker's own memory; usage is not reported."""
 
+    at_once = 1
+
     def __init__(self, settings: ModelSettings) -> None:
         torch, transformers = importlib.import_module("torch"), importlib.import_module("transformers")
         gpu = torch.cuda.is_available()
@@ -101,6 +107,8 @@ class OverlapRule:
     True if the knowledge has at least 70 % of the claim's distinct words of five letters or more. The rule
     says nothing about truth. Counts words as tokens."""
 
+    at_once = 1  # it waits for nothing
+
     def __init__(self, share: float = 0.7) -> None:
         self.share = share
 
@@ -131,10 +139,69 @@ class ScriptedModel:
         return response, None if given is None and made is None else {"input_tokens": given, "output_tokens": made}
 
 
+class RecordedModel:
+    """Answers of a table of model calls (call_id, claim_id, phase, step, attempt, response, input_tokens,
+    output_tokens, raises), for replaying a run over all claims at once.
+
+    A decision gets the calls of its claim and step, a final answer those of its claim, in the order of step,
+    attempt and call; calls delivered again count once. Where no call is left the answer is an empty text.
+    """
+
+    CALLS = "array<struct<response: string, input_tokens: bigint, output_tokens: bigint, raises: string>>"
+
+    def __init__(self, calls: DataFrame) -> None:
+        self.calls = calls.dropDuplicates(["call_id"])
+
+    def recorded(self, phase: str, step: int, most: int) -> DataFrame:
+        """(claim_id, recorded): the first ``most`` calls of each claim."""
+        here = self.calls.where(F.col("phase") == phase)
+        if phase == "decide":
+            here = here.where(F.col("step") == step)
+        order = Window.partitionBy("claim_id").orderBy("step", "attempt", "call_id")
+        first = here.where("claim_id IS NOT NULL").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        call = F.struct("nth", "response", "input_tokens", "output_tokens", "raises")
+        gathered = first.groupBy("claim_id").agg(F.array_sort(F.collect_list(call)).alias("recorded"))
+        return gathered.select("claim_id", F.transform("recorded", lambda r: r.dropFields("nth")).alias("recorded"))
+
+
+class RecordedAnswers:
+    """The recorded calls of one claim as a generator. What was raised is raised again."""
+
+    def __init__(self, calls: list[dict]) -> None:
+        self.calls = calls
+
+    def generate(self, prompt: str, context: dict[str, Any]) -> tuple[str, dict | None]:
+        nth = context["attempt"] - 1
+        if nth >= len(self.calls):
+            return "", None
+        call = self.calls[nth]
+        if call["raises"]:
+            name, _, message = call["raises"].partition(": ")
+            raise type(name, (Exception,), {})(message)
+        return call["response"], {n: call[n] for n in ("input_tokens", "output_tokens")}
+
+
+class Echoing:
+    """A generator that shows prompts or responses on the standard output of its worker."""
+
+    def __init__(self, generator: Generator, prompts: bool, responses: bool) -> None:
+        self.generator, self.prompts, self.responses = generator, prompts, responses
+        self.at_once = getattr(generator, "at_once", None)
+
+    def generate(self, prompt: str, context: dict[str, Any]) -> tuple[str, dict | None]:
+        if self.prompts:
+            print(prompt, flush=True)
+        answer = self.generator.generate(prompt, context)
+        if self.responses:
+            print(answer[0], flush=True)
+        return answer
+
+
 @lru_cache(maxsize=4)
 def load_model(settings: ModelSettings) -> Generator:
     """The generator of a model name; made once in each worker."""
     makers = {"rule": lambda s: OverlapRule(), "hf": LocalModel} | dict.fromkeys(KEYS, HostedModel)
     if settings.organization not in makers:
         raise ValueError(f"unknown model provider: {settings.organization}")
-    return makers[settings.organization](settings)
+    model = makers[settings.organization](settings)
+    return Echoing(model, settings.show_prompts, settings.show_responses) if settings.show_prompts or settings.show_responses else model

@@ -239,7 +239,7 @@ class CorpusSearch:
             F.col("query").alias(key), "rank", "document", "score"
         )
 
-    def search(self, queries: DataFrame, key: str, query: str) -> DataFrame:
+    def search(self, queries: DataFrame, key: str, query: str, step: int = 1) -> DataFrame:
         """(key, result): texts of the best documents in their order, joined by spaces; the fixed text for
         queries that find nothing."""
         ranked = cut_lineage(self.ranked(queries, key, query))
@@ -252,6 +252,25 @@ class CorpusSearch:
         )
 
 
+class RecordedSearch:
+    """Results of a table of searches (search_id, claim_id, step, result): that of the claim and step, of the smallest
+    id where there are several; the fixed text where it is null, empty or missing."""
+
+    def __init__(self, searches: DataFrame) -> None:
+        named = searches.where("claim_id IS NOT NULL").groupBy("claim_id", "step")
+        self.results = named.agg(F.min_by("result", "search_id").alias("recorded"))
+
+    def search(self, queries: DataFrame, key: str, query: str, step: int = 1) -> DataFrame:
+        here = self.results.where(F.col("step") == step).select(F.col("claim_id").alias(key), "recorded")
+        return queries.select(key).join(here, key, "left").select(
+            key, F.coalesce(F.nullif(F.col("recorded"), F.lit("")), F.lit(NO_RESULT)).alias("result")
+        )
+
+
+#: Searchers that answer a whole table of queries.
+TableSearch = CorpusSearch | RecordedSearch
+
+
 def terms(text):
     """Distinct words of at least five letters, without case."""
     words = F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{TERM_LETTERS},}}"), F.lit(0))

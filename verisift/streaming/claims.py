@@ -8,13 +8,13 @@ from pyspark.sql.streaming import DataStreamWriter
 from verisift.config import LoopSettings, ModelSettings
 from verisift.plans.loop import verify
 from verisift.sources.models import Generator
-from verisift.sources.search import CorpusSearch, Searcher
+from verisift.sources.search import Searcher, TableSearch
 
 
 def verify_stream(
     claims: DataFrame,
     settings: LoopSettings,
-    search: CorpusSearch | Searcher,
+    search: TableSearch | Searcher,
     out: str,
     model: ModelSettings | Generator | None = None,
 ) -> DataStreamWriter:
