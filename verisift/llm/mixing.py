@@ -22,9 +22,11 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,11 +53,14 @@ def _encoding(vocabulary: str):
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """Number of tokens of a text; 0 for null."""
+    """Number of tokens of a text; 0 for null. The vocabulary, a file of the driver, is sent to the executors."""
+    context = SparkSession.active().sparkContext
+    context.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     @F.pandas_udf(T.LongType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(SparkFiles.get(name))
         for batch in batches:
             texts = batch.fillna("").tolist()
             yield pd.Series([len(encoding.encode_ordinary(t)) for t in texts], dtype="int64")
@@ -139,7 +144,8 @@ def sizes(df: DataFrame, key: str, text: str, source: str, vocabulary: str = VOC
 def plan(sized: DataFrame, targets: DataFrame, total: float | None = None) -> list[Share]:
     """The share of each target."""
     wanted = read_targets(targets)
-    sums = sized.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    named = F.broadcast(sized.sparkSession.createDataFrame([(s,) for s in wanted], "source string"))  # at most MAX_TARGETS
+    sums = sized.join(named, "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("tokens"))
     return water_fill(wanted, {r["source"]: int(r["tokens"]) for r in sums.collect()}, total)  # one row a target
 
 
