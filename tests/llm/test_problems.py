@@ -597,10 +597,12 @@ def test_native_statistics_like_the_row_wise_ones(spark, data):
         "The THE (the) the.\nder die das", None, "",
     ]
     texts = odd + [r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    rows = quality.measure(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", words).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        assert tuple(r[name] for name in quality.STATISTICS) == quality.measure_text(texts[r.i], bits, languages), texts[r.i]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert len(texts) == quality.measure(df, "text", words).count()
+    for names, rows in ((quality.PLAIN, quality.statistics(df, "text", words)), (quality.JUDGED, quality.judged(df, "text", words))):
+        for r in rows.collect():
+            expected = dict(zip(quality.STATISTICS, quality.measure_text(texts[r.i], bits, languages), strict=True))
+            assert {name: r[name] for name in names} == {name: expected[name] for name in names}, texts[r.i]
 
 
 def test_statistics(spark, data):

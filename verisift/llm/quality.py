@@ -1,7 +1,7 @@
 """Problem 8: per-document text quality statistics.
 
-Method: word, symbol, line-end and common-word statistics, as native expressions; repetition statistics on
-top (shares of duplicate lines and paragraphs, share of characters under the dominant run of 2 to 10 words;
+Method: word, symbol, line-end and common-word statistics, by themselves as native expressions; repetition
+statistics on top (shares of duplicate lines and paragraphs, share of characters under the dominant run of 2 to 10 words;
 sentences that are mostly repetition are boilerplate); and combined rules that tell lines of running sentences
 from items of lists, rows of tables and junk. A document is not prose when more than half of its characters
 belong to such lines.
@@ -30,18 +30,11 @@ from verisift.functions.text import WHITESPACE, not_blank
 
 #: Signs taken off the ends of a word before it is compared.
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡·•"
-#: Statistics of words, signs and ends of lines, which are native, and those of lines and repetition.
+#: Statistics of words, signs and ends of lines, and those of lines and repetition.
 PLAIN = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
-JUDGED = {
-    "duplicate_line_share": "double",
-    "duplicate_paragraph_share": "double",
-    "top_bigram_share": "double",
-    "top_run_share": "double",
-    "prose_share": "double",
-    "kind": "string",
-}
+JUDGED = ("duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share", "top_run_share", "prose_share", "kind")
 STATISTICS = (*PLAIN, *JUDGED)
-SCHEMA = ", ".join(f"{name} {kind}" for name, kind in JUDGED.items())
+KINDS = dict.fromkeys(STATISTICS, "double") | {"word_count": "bigint", "kind": "string"}
 
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Characters at which Python splits words, but these statistics do not.
@@ -103,9 +96,8 @@ def prose_characters(lines: list[str], marks: list[bool | None]) -> int:
     return total
 
 
-def top_bigram(words: list[str], chars: int) -> float:
+def top_bigram(pairs: Counter, chars: int) -> float:
     """Share of the text's characters under its most frequent repeated pair of words."""
-    pairs = Counter(zip(words, words[1:], strict=False))
     count = max(pairs.values(), default=0)
     if count < 2:
         return 0.0
@@ -113,16 +105,18 @@ def top_bigram(words: list[str], chars: int) -> float:
     return min(1.0, count * longest / chars)
 
 
-def covered(words: list[str], chars: int) -> float:
+def covered(words: list[str], pairs: Counter, chars: int) -> float:
     """Largest share of the text's characters under the places of its most frequent run of 2 to 10 words."""
-    best = 0.0
+    best, counts = 0.0, pairs
     for n in range(2, 11):
         runs = list(zip(*(words[i:] for i in range(n)), strict=False))
-        counts = Counter(runs)
+        counts = counts if n == 2 else Counter(runs)
         top = max(counts.values(), default=0)
         if top < 2:
             break  # longer runs are no more frequent
         run = max((r for r, c in counts.items() if c == top), key=lambda r: sum(map(len, r)))
+        if top * sum(map(len, run)) / chars <= best:
+            continue  # at most that much is under it
         marked, end = 0, 0
         for at, here in enumerate(runs):
             if here == run:
@@ -153,42 +147,47 @@ def _solid(text: str) -> int:
     return len(text) - sum(map(text.count, " \t\n\r\f\v"))
 
 
-def judged_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
-    """The statistics of lines and repetition of one text, in the order of JUDGED.
-
-    ``common`` gives for each frequent word the languages it belongs to, as bits.
-    """
-    if text is None:
-        return (None,) * 5 + ("empty",)
-    solid = _solid(text)
-    lines, words, marks, _ = _looked_at(text, common, languages)
-    if not solid or not lines:
-        return (0.0,) * 5 + ("empty",)
+def _judged(text: str, solid: int, lines: list[str], words: list[str], marks: list[bool | None]) -> tuple:
     chars = sum(map(len, lines))
     share = prose_characters(lines, marks) / chars
     repeats = Counter(lines)
     twice = sum((c - 1) * len(x) for x, c in repeats.items() if c > 1) / chars
     paragraphs = Counter(p for p in _PARAGRAPH.split(text) if p.strip())
-    top, run = top_bigram(words, solid), covered(words, solid)
+    pairs = Counter(zip(words, words[1:], strict=False))
+    top, run = top_bigram(pairs, solid), covered(words, pairs, solid)
     again = sum((c - 1) * len(x) for x, c in paragraphs.items() if c > 1) / len(text)
     repeated = top > 0.5 or twice > 0.6 or again > 0.6 or run > 0.5
     running, share = share >= 0.5, 0.0 if repeated else share
     return twice, again, top, run, share, "prose" if share >= 0.5 else "boilerplate" if running else _kind(lines, marks)
 
 
+def judged_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
+    """The statistics of lines and repetition of one text, in the order of JUDGED.
+
+    ``common`` gives for each frequent word the languages it belongs to, as bits.
+    """
+    if text is None:
+        return (None,) * 5 + ("empty",)
+    solid = _solid(text)
+    lines, words, marks, _ = _looked_at(text, common, languages)
+    return _judged(text, solid, lines, words, marks) if solid and lines else (0.0,) * 5 + ("empty",)
+
+
 def measure_text(text: str | None, common: dict[str, int], languages: int) -> tuple:
-    """All statistics of one text, in the order of STATISTICS: the row-wise twin of :func:`measure`."""
-    judged = judged_text(text, common, languages)
-    if judged[-1] == "empty":
-        return (None,) * 5 + judged if text is None else (0, *(0.0,) * 4, *judged)
-    lines, words, _, hits = _looked_at(text, common, languages)
+    """All statistics of one text, in the order of STATISTICS."""
+    if text is None:
+        return (None,) * 10 + ("empty",)
+    solid = _solid(text)
+    lines, words, marks, hits = _looked_at(text, common, languages)
+    if not solid or not lines:
+        return (0, *(0.0,) * 9, "empty")
     return (
         len(words),
-        _solid(text) / len(words),
+        solid / len(words),
         len(_SYMBOL.findall(text)) / len(text),
         sum(1 for x in lines if _END.search(x.rstrip())) / len(lines),
         _most(hits, languages) / len(words),
-        *judged,
+        *_judged(text, solid, lines, words, marks),
     )
 
 
@@ -226,54 +225,72 @@ def common_bits(common_words: DataFrame) -> tuple[dict[str, int], int]:
     return bits, len(langs)
 
 
+#: White space between words here.
+_BETWEEN = r" \t\n\r\f\x0B"
+
+
 def statistics(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
     """``df`` with the statistics of PLAIN as further columns, by native expressions. Null for null, 0 for blank."""
     bits, languages = common_bits(common_words)
-    value = F.col(text)
-    words = F.filter(F.split(value, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    lines = F.filter(F.split(value, "\n"), not_blank)
-    ended = F.filter(lines, lambda x: F.rtrim(x, F.lit(WHITESPACE)).rlike(_END.pattern))
-    bare = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(EDGE))))
+    value, words, lines = F.col(text), F.col("_p8_words"), F.col("_p8_lines")
+    # in columns of their own, to be computed once
+    cut = df.withColumns(
+        {
+            "_p8_words": F.split(F.btrim(F.lower(value), F.lit(" \t\n\r\f\x0b")), rf"[{_BETWEEN}]+"),
+            "_p8_lines": F.filter(F.split(value, "\n"), lambda x: x.rlike(rf"[^{WHITESPACE}]")),
+        }
+    )
+    cut = cut.withColumn("_p8_bare", F.transform(words, lambda w: F.btrim(w, F.lit(EDGE))))
+    ended = F.filter(lines, lambda x: x.rlike(_END.pattern.removesuffix("$") + rf"[{WHITESPACE}]*$"))
     lists = [[w for w, b in bits.items() if b >> k & 1] for k in range(languages)]
-    known = [F.size(F.filter(bare, _in(own))) for own in lists]
+    known = [F.size(F.filter("_p8_bare", _in(own))) for own in lists]
     most = F.greatest(*known, F.lit(0)) if known else F.lit(0)
-    empty = (F.size(words) == 0) | (F.size(lines) == 0)
+    empty = (F.size(lines) == 0) | (F.get(words, 0) == "")
 
     def share(part: Column, whole: Column) -> Column:
         return F.when(value.isNull(), None).when(empty, 0.0).otherwise(part / whole)
 
-    solid = F.length(F.translate(value, " \t\n\r\f\x0b", ""))
-    symbols = F.length(F.regexp_replace(value, r"[\p{L}\p{N}\p{Z}\s\x1c-\x1f\x{0085}]", ""))
+    solid = F.length(F.regexp_replace(value, rf"[{_BETWEEN}]+", ""))
+    symbols = F.length(F.regexp_replace(value, r"[\p{L}\p{N}\p{Z}\s\x1c-\x1f\x{0085}]+", ""))
     count = F.when(value.isNull(), None).when(empty, 0).otherwise(F.size(words)).cast("bigint")
     made = (count, share(solid, F.size(words)), share(symbols, F.length(value)), share(F.size(ended), F.size(lines)), share(most, F.size(words)))
-    return df.withColumns(dict(zip(PLAIN, made, strict=True)))
+    return cut.withColumns(dict(zip(PLAIN, made, strict=True))).drop("_p8_words", "_p8_lines", "_p8_bare")
 
 
 def _in(own: list[str]) -> Callable[[Column], Column]:
     return lambda w: w.isin(own)
 
 
-def _judge(common: dict[str, int], languages: int) -> Callable:
-    @F.pandas_udf(T._parse_datatype_string(SCHEMA))
+def _measurer(names: tuple[str, ...], measurer: Callable, common: dict[str, int], languages: int) -> Callable:
+    schema = ", ".join(f"{name} {KINDS[name]}" for name in names)
+
+    @F.pandas_udf(T._parse_datatype_string(schema))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [judged_text(t if isinstance(t, str) else None, common, languages) for t in batch]
-            yield pd.DataFrame(rows, columns=list(JUDGED))
+            rows = [measurer(t if isinstance(t, str) else None, common, languages) for t in batch]
+            frame = pd.DataFrame(rows, columns=list(names))
+            if "word_count" in frame:
+                frame["word_count"] = frame["word_count"].astype("Int64")
+            yield frame
 
     return run
 
 
+def _measured(df: DataFrame, text: str, common_words: DataFrame, names: tuple[str, ...], measurer: Callable) -> DataFrame:
+    kept = [F.col(c) for c in df.columns if c not in names]
+    run = _measurer(names, measurer, *common_bits(common_words))
+    return df.select(*kept, run(F.col(text)).alias("_measured")).select(*kept, *[F.col("_measured").getField(s).alias(s) for s in names])
+
+
 def judged(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
     """``df`` with the statistics of JUDGED as further columns."""
-    kept = [F.col(c) for c in df.columns if c not in JUDGED]
-    found = df.select(*kept, _judge(*common_bits(common_words))(F.col(text)).alias("_judged"))
-    return found.select(*kept, *[F.col("_judged").getField(s).alias(s) for s in JUDGED])
+    return _measured(df, text, common_words, JUDGED, judged_text)
 
 
 def measure(df: DataFrame, text: str, common_words: DataFrame) -> DataFrame:
-    """``df`` with all statistics of ``text`` as further columns."""
-    kept = [F.col(c) for c in df.columns if c not in STATISTICS]
-    return judged(statistics(df, text, common_words), text, common_words).select(*kept, *STATISTICS)
+    """``df`` with all statistics of ``text`` as further columns, in the pass over lines and words that JUDGED takes:
+    the native expressions beside it would cut the texts a second time."""
+    return _measured(df, text, common_words, STATISTICS, measure_text)
 
 
 def find(df: DataFrame, key: str, text: str, common_words: DataFrame) -> DataFrame:
