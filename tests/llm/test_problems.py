@@ -361,7 +361,7 @@ def test_blocks_join_lines_that_follow_each_other(spark):
 
 
 def test_boilerplate_like_sql(spark, data):
-    for name in ("p5_found", "p5_cleaned"):
+    for name in ("p5_found", "p5_lines", "p5_blocks", "p5_cleaned"):
         assert rows_of(queries.queries()[name](spark, data)) == sql_rows(data, queries.oracle_sql()[name])
 
 

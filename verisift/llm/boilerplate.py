@@ -122,6 +122,17 @@ def lines_of_sources(df: DataFrame, key: str, url: str, text: str, **limits: flo
     ).drop("line")
 
 
+def blocks_of_sources(df: DataFrame, key: str, url: str, text: str, **limits: float) -> DataFrame:
+    """(source, block_text, lines, records): the blocks of each source: their lines in the order of the alphabet, and the
+    records of the most frequent one. A block has no more lines than its source has excessive ones."""
+    lines = lines_of_sources(df, key, url, text, **limits)
+    return lines.groupBy("source", "block").agg(
+        F.array_join(F.array_sort(F.collect_list("line_text")), "\n").alias("block_text"),
+        F.count("*").alias("lines"),
+        F.max("records").alias("records"),
+    ).drop("block")
+
+
 def clean(df: DataFrame, url: str, text: str, **limits: float) -> DataFrame:
     """``df`` with the excessive lines of each record's source deleted from ``text``."""
     rows = df.select(

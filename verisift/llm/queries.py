@@ -82,7 +82,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return boilerplate.lines_of_sources(table(spark, sf, "evidence"), "evidence_id", "url", "text")
+    return boilerplate.lines_of_sources(table(spark, sf, "evidence"), "evidence_id", "url", "text").drop("block")
+
+
+def p5_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return boilerplate.blocks_of_sources(table(spark, sf, "evidence"), "evidence_id", "url", "text")
 
 
 def p5_cleaned(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,7 +137,7 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        p1_found, p1_normalized, p2_found, p2_rates, p2_limits, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_cleaned,
+        p1_found, p1_normalized, p2_found, p2_rates, p2_limits, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_blocks, p5_cleaned,
         p6_found, p6_leaks, p6_leaked_items, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics,
     )}
 
@@ -162,6 +166,31 @@ LINES = r"""
 """
 
 
+#: An example of each excessive line, and the blocks: what consecutive lines of enough support connect.
+SHOWN = LINES + r""",
+    shown AS (
+        SELECT source, line, min(trim(regexp_replace(part, '\s+', ' ', 'g'))) AS line_text, min(e.records) AS records
+        FROM parts JOIN lines USING (evidence_id, source, line_no) JOIN excessive e USING (source, line) GROUP BY ALL)
+"""
+BLOCKS = SHOWN.replace("WITH", "WITH RECURSIVE", 1) + r""",
+    steps AS (
+        SELECT evidence_id, source, line, lead(line) OVER (PARTITION BY evidence_id ORDER BY line_no) AS after FROM lines WHERE line <> ''),
+    edges AS (
+        SELECT source, line, after FROM (
+            SELECT source, line, after, count(DISTINCT evidence_id) AS records
+            FROM steps SEMI JOIN excessive USING (source, line) WHERE line <> after GROUP BY ALL)
+        JOIN (SELECT source, count(*) AS total FROM records GROUP BY 1) USING (source)
+        WHERE records >= 10 AND records >= 0.04 * total AND (source, after) IN (SELECT (source, line) FROM excessive)),
+    joined AS (SELECT source, line, after FROM edges UNION SELECT source, after, line FROM edges),
+    reached AS (
+        SELECT source, line, line AS other FROM excessive
+        UNION SELECT r.source, r.line, b.after FROM reached r JOIN joined b ON r.source = b.source AND r.other = b.line),
+    named AS (SELECT source, line, min(other) AS block FROM reached GROUP BY ALL)
+    SELECT source, string_agg(line_text, chr(10) ORDER BY line_text) AS block_text, count(*) AS lines, max(records) AS records
+    FROM shown JOIN named USING (source, line) GROUP BY source, block
+"""
+
+
 #: The word, symbol, line-end and common-word statistics of problem 8.
 STATISTICS = r"""
     WITH words AS (
@@ -197,6 +226,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p8_statistics": STATISTICS,
         "p5_found": LINES + "SELECT evidence_id, line_no FROM lines SEMI JOIN excessive USING (source, line)",
+        "p5_lines": SHOWN + "SELECT source, line_text, records FROM shown",
+        "p5_blocks": BLOCKS,
         "p5_cleaned": LINES
         + """, kept AS (
             SELECT evidence_id, string_agg(part, chr(10) ORDER BY p.line_no) AS kept
