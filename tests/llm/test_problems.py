@@ -606,7 +606,8 @@ def test_native_statistics_like_the_row_wise_ones(spark, data):
 
 
 def test_statistics(spark, data):
-    assert rows_of(queries.p8_statistics(spark, data)) == sql_rows(data, queries.oracle_sql()["p8_statistics"])
+    for name in ("p8_statistics", "p8_repetition"):
+        assert rows_of(queries.queries()[name](spark, data)) == sql_rows(data, queries.oracle_sql()[name])
     words = spark.createDataFrame(COMMON, "lang string, word string")
     df = spark.createDataFrame([(1, "The end.\nThe end.\n\nA x", "c")], "doc_id int, text string, kind string")
     row = quality.measure(df, "text", words).collect()[0]

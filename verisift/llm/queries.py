@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verisift.llm import boilerplate, duplicates, leakage, lookalikes, mixing, quality, residue, truncation
-from verisift.functions.text import provider_key, source_host
+from verisift.functions.text import WHITESPACE, provider_key, source_host
 from verisift.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,10 +135,16 @@ def p8_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return quality.statistics(columns, "text", table(spark, sf, "common_words")).drop("text")
 
 
+def p8_repetition(spark: SparkSession, sf: str) -> DataFrame:
+    columns = table(spark, sf, "documents").select("doc_id", "text")
+    judged = quality.judged(columns, "text", table(spark, sf, "common_words"))
+    return judged.select("doc_id", "duplicate_line_share", "duplicate_paragraph_share", "top_bigram_share")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         p1_found, p1_normalized, p2_found, p2_rates, p2_limits, p3_found, p3_residue, p3_evidence_kept, p3_searches_kept, p4_found, p4_collapsed, p5_found, p5_lines, p5_blocks, p5_cleaned,
-        p6_found, p6_leaks, p6_leaked_items, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics,
+        p6_found, p6_leaks, p6_leaked_items, p7_uses, p7_shares, p8_found, p8_quality, p8_statistics, p8_repetition,
     )}
 
 
@@ -222,9 +228,40 @@ STATISTICS = r"""
 """
 
 
+_WHITE = "'" + WHITESPACE + "'"
+#: The shares of repeated lines and paragraphs, and of the most frequent pair of words, of problem 8.
+REPETITION = rf"""
+    WITH texts AS (
+        SELECT doc_id, text, length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')) AS solid FROM documents
+        WHERE trim(coalesce(text, ''), {_WHITE}) <> ''),
+    lines AS (
+        SELECT doc_id, line, count(*) AS n
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE trim(line, {_WHITE}) <> '' GROUP BY ALL),
+    twice AS (SELECT doc_id, sum((n - 1) * length(line)) / sum(n * length(line)) AS share FROM lines GROUP BY 1),
+    paragraphs AS (
+        SELECT doc_id, part, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS part FROM texts)
+        WHERE trim(part, {_WHITE}) <> '' GROUP BY ALL),
+    again AS (SELECT doc_id, sum((n - 1) * length(part)) AS chars FROM paragraphs GROUP BY 1),
+    lists AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS raw FROM texts),
+    words AS (
+        SELECT doc_id, unnest(range(len(raw))) AS nth, trim(unnest(raw), '{quality.EDGE.replace("'", "''")}') AS word FROM lists),
+    pairs AS (
+        SELECT doc_id, word, after, count(*) AS n FROM (
+            SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY nth) AS after FROM words) WHERE after IS NOT NULL GROUP BY ALL),
+    top AS (
+        SELECT doc_id, n, max(length(word) + length(after)) AS longest FROM pairs
+        WHERE n >= 2 GROUP BY doc_id, n QUALIFY n = max(n) OVER (PARTITION BY doc_id))
+    SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(twice.share, 0) END AS duplicate_line_share,
+        CASE WHEN d.text IS NOT NULL THEN coalesce(again.chars / length(d.text), 0) END AS duplicate_paragraph_share,
+        CASE WHEN d.text IS NOT NULL THEN coalesce(CASE WHEN n >= 2 THEN least(1.0, n * longest / solid) END, 0) END AS top_bigram_share
+    FROM documents d LEFT JOIN texts USING (doc_id) LEFT JOIN twice USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN top USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p8_statistics": STATISTICS,
+        "p8_repetition": REPETITION,
         "p5_found": LINES + "SELECT evidence_id, line_no FROM lines SEMI JOIN excessive USING (source, line)",
         "p5_lines": SHOWN + "SELECT source, line_text, records FROM shown",
         "p5_blocks": BLOCKS,
